@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import packing, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), _tokenizer())
+
+
 def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.apply_policy(quality.ledger(_read(spark, sf_dir, "documents")), "v2")
     base = F.col("failed").bitwiseAND(F.lit(quality.mask("base")).cast("long")) != 0
@@ -19,7 +29,7 @@ def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_ledger,)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op2_quality_ledger)}
 
 
 _OP2 = r"""
