@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality
+from . import chat, mixing, packing, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,8 +28,19 @@ def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents")).drop("copies")
+
+
+def op7_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(chat.format_turns(turns.unionByName(more)))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_harmonic_packing, op2_quality_ledger)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op2_quality_ledger, op6_source_mix, op7_chat_round_trip)}
 
 
 _OP2 = r"""
@@ -61,5 +72,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+_OP6 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+'))::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(30)) || chr(31) || coalesce(source, chr(30)) || chr(31) || coalesce(text, chr(30))), 1, 15))::BIGINT AS h
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         (1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3)::DOUBLE AS weight FROM d GROUP BY source
+), fill AS ( -- each round fills every source that its share overflows
+  SELECT 0 AS k, source, weight, 3.0 * source_size AS cap, false AS is_full, (SELECT sum(source_size) FROM s)::DOUBLE AS total FROM s
+  UNION ALL
+  SELECT k + 1, source, weight, cap, is_full OR cap <= weight * level, total FROM (
+    SELECT *, (total - coalesce(sum(cap) FILTER (WHERE is_full) OVER (), 0)) / nullif(sum(weight) FILTER (WHERE NOT is_full) OVER (), 0) AS level FROM fill
+  ) WHERE k < (SELECT count(*) FROM s)
+), last AS (
+  SELECT *, (total - coalesce(sum(cap) FILTER (WHERE is_full) OVER (), 0)) / nullif(sum(weight) FILTER (WHERE NOT is_full) OVER (), 0) AS level
+  FROM fill WHERE k = (SELECT max(k) FROM fill)
+), t AS (
+  SELECT s.source, s.source_size, CASE WHEN is_full THEN cap ELSE s.weight * level END AS target
+  FROM s JOIN last ON s.source IS NOT DISTINCT FROM last.source
+), r AS (
+  SELECT d.*, t.source_size, t.target, floor(coalesce(t.target / nullif(t.source_size, 0), 0) + 1e-12)::BIGINT AS rounds,
+         sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id) AS run
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, (size * (rounds + CASE WHEN run <= target - rounds * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_ledger": _OP2}
+    return {"op2_quality_ledger": _OP2, "op6_source_mix": _OP6}
