@@ -43,11 +43,13 @@ def test_slices_and_nulls():
 
 
 def test_whole_table(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
     got = {r.doc_id: r for r in queries.op9_secret_index(spark, sf).collect()}
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
         want = base(r.text or "")
         text = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
         assert got[r.doc_id].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert got[r.doc_id].n_assign == sum(k == "assign" for k, _, _ in want)
         assert got[r.doc_id].n_hex == sum(k == "hex" for k, _, _ in want)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, secret_scan
+from . import chat, mixing, packing, ppm, quality, secret_scan
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,13 +41,18 @@ def op7_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secret_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = secret_scan.find_secrets(_read(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE]
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in secret_scan.BASE]
     base = secret_scan.listed(F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE)))
     return d.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
 
 
+def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_harmonic_packing, op2_quality_ledger, op6_source_mix, op7_chat_round_trip, op9_secret_index)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op2_quality_ledger, op6_source_mix, op7_chat_round_trip, op9_secret_index, op10_ppm_score)}
 
 
 _OP2 = r"""
