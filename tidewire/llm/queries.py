@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, ppm, quality, secret_scan
+from . import chat, mixing, ngram_join, packing, ppm, quality, secret_scan
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_read(spark, sf_dir, "documents")).drop("copies")
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).drop("copies")
 
@@ -52,7 +56,7 @@ def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_harmonic_packing, op2_quality_ledger, op6_source_mix, op7_chat_round_trip, op9_secret_index, op10_ppm_score)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op2_quality_ledger, op4_ngram_join, op6_source_mix, op7_chat_round_trip, op9_secret_index, op10_ppm_score)}
 
 
 _OP2 = r"""
@@ -84,6 +88,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+_OP4 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS gram
+  FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS u(i) WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE both >= 0.8 * (x.n + y.n - both) - 1e-9
+), reach(a, b) AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a
+)
+SELECT d.doc_id, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS class_id, (SELECT count(*) FROM l WHERE l.a = d.doc_id)::BIGINT AS n_links
+FROM d LEFT JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id
+"""
+
+
 _OP6 = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+'))::BIGINT AS size,
@@ -114,4 +138,4 @@ SELECT doc_id, size, source_size, target, (size * (rounds + CASE WHEN run <= tar
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_ledger": _OP2, "op6_source_mix": _OP6}
+    return {"op2_quality_ledger": _OP2, "op4_ngram_join": _OP4, "op6_source_mix": _OP6}
