@@ -79,10 +79,10 @@ def gram_sets(texts: pa.Array, n: int = NGRAM) -> list[np.ndarray]:
         if b - a >= n:
             out.append(np.unique(grams[a : b - n + 1]))
         elif b > a:
-            x = np.uint64(b - a)
-            for w in h[a:b]:
-                x = x * _P + w
-            out.append(_mix(np.array([x], dtype=np.uint64)))
+            x = np.array([b - a], dtype=np.uint64)
+            for k in range(a, b):
+                x = x * _P + h[k : k + 1]
+            out.append(_mix(x))
         else:
             out.append(np.empty(0, np.uint64))
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ngram_join, packing, ppm, quality, secret_scan
+from . import ann, chat, mixing, ngram_join, packing, ppm, quality, secret_scan
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
 
 
+def op3_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_read(spark, sf_dir, "embeddings"), 100, 10)
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_read(spark, sf_dir, "documents")).drop("copies")
 
@@ -56,7 +60,7 @@ def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_harmonic_packing, op2_quality_ledger, op4_ngram_join, op6_source_mix, op7_chat_round_trip, op9_secret_index, op10_ppm_score)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op2_quality_ledger, op3_graph_neighbours, op4_ngram_join, op6_source_mix, op7_chat_round_trip, op9_secret_index, op10_ppm_score)}
 
 
 _OP2 = r"""
@@ -97,9 +101,9 @@ WITH RECURSIVE d AS (
 ), n AS (
   SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
 ), p AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
 ), l AS (
-  SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE both >= 0.8 * (x.n + y.n - both) - 1e-9
+  SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE common >= 0.8 * (x.n + y.n - common) - 1e-9
 ), reach(a, b) AS (
   SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a
 )
