@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, mixing, ngram_join, packing, ppm, quality, secret_scan
+from . import ann, chat, langid, mixing, ngram_join, packing, ppm, quality, secret_scan
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_read(spark, sf_dir, "documents")).drop("copies")
 
 
+def op5_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(_read(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).drop("copies")
 
@@ -60,7 +64,7 @@ def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_harmonic_packing, op2_quality_ledger, op3_graph_neighbours, op4_ngram_join, op6_source_mix, op7_chat_round_trip, op9_secret_index, op10_ppm_score)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op2_quality_ledger, op3_graph_neighbours, op4_ngram_join, op5_byte_gru_language, op6_source_mix, op7_chat_round_trip, op9_secret_index, op10_ppm_score)}
 
 
 _OP2 = r"""
