@@ -24,7 +24,7 @@ from .tokens import blocks
 PER_LANGUAGE, SAMPLE_CHARS = 256, 200
 #: State of each direction; bytes a window; windows a step when predicting.
 HIDDEN, WINDOW, ROWS = 12, 96, 4096
-EPOCHS, BATCH, RATE = 30, 64, 0.01
+EPOCHS, BATCH, RATE = 15, 64, 0.01
 UNKNOWN = "und"
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[:65] = True  # bytes below the letters: blanks, digits and most punctuation say little and are not pooled
