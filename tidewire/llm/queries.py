@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, mixing, ngram_join, packing, ppm, quality, secret_scan
+from . import ann, chat, langid, mixing, ngram_join, packing, pii, ppm, quality, secret_scan
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,6 +51,14 @@ def op7_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(turns.unionByName(more)))
 
 
+def op8_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pii.find_pii(_read(spark, sf_dir, "documents"))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    base = secret_scan.listed(F.filter("spans", lambda s: s["kind"].isin(*pii.BASE)))
+    return d.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
+
+
 def op9_secret_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = secret_scan.find_secrets(_read(spark, sf_dir, "documents"))
     kinds = F.transform("spans", lambda s: s["kind"])
@@ -64,7 +72,7 @@ def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_harmonic_packing, op2_quality_ledger, op3_graph_neighbours, op4_ngram_join, op5_byte_gru_language, op6_source_mix, op7_chat_round_trip, op9_secret_index, op10_ppm_score)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op2_quality_ledger, op3_graph_neighbours, op4_ngram_join, op5_byte_gru_language, op6_source_mix, op7_chat_round_trip, op8_weak_pii, op9_secret_index, op10_ppm_score)}
 
 
 _OP2 = r"""
