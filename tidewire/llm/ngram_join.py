@@ -22,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 from .components import components
@@ -246,7 +248,7 @@ def _verified(n: int, threshold: float) -> Callable:
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if hi - lo < 2:
                     continue
-                sets = gram_sets(table["text"].slice(lo, hi - lo).combine_chunks(), n)
+                sets = gram_sets(pa.array([zstandard.decompress(t) for t in table["packed"].slice(lo, hi - lo).to_pylist()], pa.binary()).cast(pa.string()), n)
                 size = np.array([len(s) for s in sets], dtype=np.float64)
                 both = _intersections(sets).astype(np.float64)
                 similar = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
@@ -263,18 +265,9 @@ def _verified(n: int, threshold: float) -> Callable:
     return run
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row a row of docs: doc_id, class_id, n_links, copies.
-
-    class_id is the least doc_id of all documents that links connect it with, n_links the number
-    of other rows whose n-gram sets have that Jaccard similarity or more with its own, copies
-    (rows with the very same set) included. Links are exact; a pair at the threshold is
-    found with the given recall, one above it more surely. Null, empty and blank texts have no
-    n-grams: they link with nothing and are classes of their own. Null ids never name a class of
-    others. Repeated rows are copies of each other.
-    """
+def classes_of(d: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """For (doc_id, text): the written rows (doc_id, key, ...), and per key its class_id, n_links, copies, and whether it is its class's one to keep."""
     bands, rows = bands_for(threshold, recall)
-    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     told = materialize(signed(d, n, bands, rows), "signed")
     by_key = told.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("buckets").alias("buckets"), F.any_value("small").alias("small"))
     classes = materialize(by_key.withColumn("id", F.monotonically_increasing_id()), "classes")
@@ -283,32 +276,72 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRA
     crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     inside = members.join(crowded, "bucket").join(classes.select("id", "small"), "id")
     dealt = _dealt(inside.select("bucket", "id", "small", "m"), "bucket", "m", BUCKET_CHUNK)
-    maybe = dealt.select(F.col("bucket"), F.col("i").cast("long"), F.col("j").cast("long"), "id", "small").mapInArrow(_maybe_similar(bands, rows, threshold), "a long, b long")
+    maybe = dealt.select("bucket", F.col("i").cast("long"), F.col("j").cast("long"), "id", "small").mapInArrow(_maybe_similar(bands, rows, threshold), "a long, b long")
     clusters = components(maybe, "clusters").withColumnRenamed("node", "id")
     sized = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     wanted = materialize(clusters.join(sized, "component").join(classes.select("id", "key", "copies"), "id"), "wanted")
 
-    texts = keyed(d, n).join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    dealt = _dealt(texts.join(wanted, "key").select("component", "id", "copies", "text", "m"), "component", "m", CLUSTER_CHUNK)
-    columns = ["component", F.col("i").cast("long"), F.col("j").cast("long"), "id", "copies", "own", "text"]
+    # the texts move at every size of the input, so that the plan at a small one says what a large one costs
+    texts = keyed(d, n).join(wanted.select("key").hint("merge"), "key", "left_semi").dropDuplicates(["key"])
+    dealt = _dealt(texts.join(wanted.hint("merge"), "key").select("component", "id", "copies", "packed", "m"), "component", "m", CLUSTER_CHUNK)
+    columns = ["component", F.col("i").cast("long"), F.col("j").cast("long"), "id", "copies", "own", "packed"]
     found = materialize(dealt.select(*columns).mapInArrow(_verified(n, threshold), "a long, b long, links long"), "links")
 
     links = found.filter("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
     named = components(found.filter("b IS NOT NULL").select("a", "b"), "linked")
-    lowest = named.join(classes.select("id", "first"), F.col("node") == F.col("id")).groupBy("component").agg(F.min("first").alias("least"))
-    linked = named.join(lowest, "component").select("node", "least")
+    order = F.struct(F.col("first").isNull(), "first", "id")
+    lowest = named.join(classes.select("id", "first"), F.col("node") == F.col("id")).groupBy("component").agg(F.min("first").alias("least"), F.min_by("id", order).alias("keeper"))
+    linked = named.join(lowest, "component").select("node", "least", "keeper")
     all_ = classes.join(linked, F.col("id") == F.col("node"), "left").join(links, F.col("id") == F.col("a"), "left")
-    all_ = all_.select("key", F.coalesce("least", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "copies")
-    return told.select("doc_id", "key").join(all_, "key", "left").select("doc_id", F.coalesce("class_id", F.when(F.col("key").isNull(), F.col("doc_id"))).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    return told, all_.select("key", F.coalesce("least", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "copies", (F.coalesce("keeper", "id") == F.col("id")).alias("keep"))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row a row of docs: doc_id, class_id, n_links, copies.
+
+    class_id is the least doc_id of all documents that links connect it with, n_links the number
+    of other rows whose n-gram sets have that Jaccard similarity or more with its own, copies
+    (rows with the very same set) included. Links are exact; a pair at the threshold is
+    found with the given recall, one above it more surely. Null, empty and blank texts have no
+    n-grams: they link with nothing and are classes of their own. Null ids never name a class of
+    others. Repeated rows are copies of each other.
+    """
+    told, classes = classes_of(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), n, threshold, recall)
+    joined = told.select("doc_id", "key").join(classes.drop("keep"), "key", "left")
+    return joined.select("doc_id", F.coalesce("class_id", F.when(F.col("key").isNull(), F.col("doc_id"))).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
+def deduplicate(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """docs with one row of each class, that of the least doc_id, and with docs' own columns only. Rows without n-grams all stay.
+
+    Only keys that have copies or go away are joined with the rows, and only rows with copies are grouped.
+    """
+    _, classes = classes_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), n, threshold, recall)
+    special = materialize(classes.filter("copies > 1 OR NOT keep").select("key", "keep"), "special")
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch, at, BLOCK_BYTES):
+                keys = pa.array([_key(s) for s in gram_sets(block.column(at), n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([keys, block.to_struct_array()], ["key", "row"])
+
+    fields = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("row", docs.schema)])
+    rows = docs.mapInArrow(run, fields).join(special.hint("merge"), "key", "left")
+    plain = rows.filter("keep IS NULL").select("row.*")
+    order = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.xxhash64("row.text"))
+    chosen = rows.filter("keep").groupBy("key").agg(F.min_by("row", order).alias("row")).select("row.*")
+    return plain.unionByName(chosen)
 
 
 def keyed(docs: DataFrame, n: int = NGRAM) -> DataFrame:
-    """(key, text) of the rows of (doc_id, text) that have n-grams."""
+    """(key, packed text) of the rows of (doc_id, text) that have n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, 0, BLOCK_BYTES):
                 keys = pa.array([_key(s) for s in gram_sets(block.column(0), n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([keys, block.column(0)], ["key", "text"])
+                packed = pa.array([zstandard.compress((t or b""), 1) for t in block.column(0).cast(pa.binary()).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([keys, packed], ["key", "packed"])
 
-    return docs.select("text").mapInArrow(run, "key binary, text string").filter("key IS NOT NULL")
+    return docs.select("text").mapInArrow(run, "key binary, packed binary").filter("key IS NOT NULL")
