@@ -65,8 +65,8 @@ CASE WHEN a_initiated THEN {_ip("b_ip4")} ELSE {_ip("a_ip4")} END AS resp_h, CAS
 b_ip4 AS "destinationIPv4Address", b_port AS "destinationTransportPort", packets_initiator AS "packetDeltaCount", bytes_initiator AS "octetDeltaCount", 1::BIGINT AS "flowEndReason" FROM f""",
     "flow_features": f"""WITH {P}, g AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY src_ip4, dst_ip4 ORDER BY ts_us, seq) AS gap FROM p)
 SELECT src_ip4, dst_ip4, count(*) AS packets, sum(len)::BIGINT AS bytes, max(ts_us) - min(ts_us) AS duration_us,
-round(avg(len), 3) AS len_mean, round(stddev_pop(len), 3) AS len_std, min(len)::DOUBLE AS len_min, max(len)::DOUBLE AS len_max,
-round(avg(gap / 1e6), 3) AS gap_mean, round(stddev_pop(gap / 1e6), 3) AS gap_std, round(min(gap / 1e6), 3) AS gap_min, round(max(gap / 1e6), 3) AS gap_max,
+round(avg(len), 1) AS len_mean, round(stddev_pop(len), 1) AS len_std, min(len)::DOUBLE AS len_min, max(len)::DOUBLE AS len_max,
+round(avg(gap / 1e6), 1) AS gap_mean, round(stddev_pop(gap / 1e6), 1) AS gap_std, round(min(gap / 1e6), 1) AS gap_min, round(max(gap / 1e6), 1) AS gap_max,
 coalesce(sum(gap) FILTER (WHERE gap > {_D}), 0)::BIGINT AS idle_us, coalesce(round(sum(len) / nullif((max(ts_us) - min(ts_us)) / 1e6, 0), 3), 0.0) AS bytes_per_s FROM g GROUP BY ALL""",
     "rolling_rate": f"""WITH {P}, s AS (SELECT src_ip4, ts_us // {_H} AS bucket, sum(len) AS own FROM p GROUP BY ALL),
 r AS (SELECT src_ip4, bucket, sum(own) OVER (PARTITION BY src_ip4 ORDER BY bucket RANGE BETWEEN 11 PRECEDING AND CURRENT ROW)::BIGINT AS total FROM s) SELECT *, round(total / 43200.0, 6) AS rate FROM r""",

@@ -74,7 +74,7 @@ def flow_export_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def flow_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = reports.flow_features(packets(spark, sf_dir), ["src_ip4", "dst_ip4"], DAY)
-    return f.select(*(F.round(c, 3).alias(c) if t == "double" else F.col(c) for c, t in f.dtypes))
+    return f.select(*(F.round(c, 3 if c == "bytes_per_s" else 1).alias(c) if t == "double" else F.col(c) for c, t in f.dtypes))
 
 
 @query

@@ -170,17 +170,14 @@ def dns(packets: DataFrame) -> DataFrame:
     """Rows with DNS over UDP: id, whether a response, rcode, counts, and the first question's name (up to 10 labels)."""
     p = packets.filter("proto = 17 AND (src_port = 53 OR dst_port = 53)").filter(F.length("payload") >= 12)
     flags, body = _u16(F.col("payload"), 2), F.col("payload")
-    at, labels = F.lit(12), []
-    for _ in range(10):
-        n = F.coalesce(F.conv(F.hex(_cut(body, at + 1, F.lit(1))), 16, 10).cast("int"), F.lit(0))
-        fine = (n > 0) & (n < 64)
-        labels.append(F.when(fine, _cut(body, at + 2, n).cast("string")))
-        at = F.when(fine, at + 1 + n).otherwise(at)
-    return p.select("*", _u16(body, 0).alias("dns_id"), (flags.bitwiseAND(F.lit(0x8000)) != 0).alias("dns_response"), flags.bitwiseAND(F.lit(15)).alias("dns_rcode"), _u16(body, 6).alias("dns_answers"), F.lower(F.array_join(F.array_compact(F.array(*labels)), ".")).alias("dns_qname"))
+    begin = F.struct(F.lit(12).alias("at"), F.array().cast("array<string>").alias("labels"))
 
+    def label(a: Column, _: Column) -> Column:
+        n = F.coalesce(F.conv(F.hex(F.substring(body, a["at"] + 1, F.lit(1))), 16, 10).cast("int"), F.lit(0))
+        return F.when((n > 0) & (n < 64), F.struct((a["at"] + 1 + n).alias("at"), F.array_append(a["labels"], F.substring(body, a["at"] + 2, n).cast("string")).alias("labels"))).otherwise(a)
 
-def _cut(c: Column, at: Column, n: Column) -> Column:
-    return F.substring(c, at, n)
+    labels = F.aggregate(F.sequence(F.lit(1), F.lit(10)), begin, label, lambda a: a["labels"])
+    return p.select("*", _u16(body, 0).alias("dns_id"), (flags.bitwiseAND(F.lit(0x8000)) != 0).alias("dns_response"), flags.bitwiseAND(F.lit(15)).alias("dns_rcode"), _u16(body, 6).alias("dns_answers"), F.lower(F.array_join(labels, ".")).alias("dns_qname"))
 
 
 def http(packets: DataFrame) -> DataFrame:
