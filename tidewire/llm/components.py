@@ -23,9 +23,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
         seen = now
-        both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("m", "u").alias("m"))
-        large = both.join(least, F.col("u") == F.col("n")).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # written, so that the join's two sides are plain shuffles and a node of many edges can be split
+        lower = materialize(e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n"), name)
+        large = e.join(lower, F.col("v") == F.col("n"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         large = materialize(large, name)
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
         small = large.join(least, F.col("u") == F.col("n")).select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))))
