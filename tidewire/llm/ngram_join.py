@@ -320,11 +320,21 @@ def deduplicate(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, r
     special = materialize(classes.filter("copies > 1 OR NOT keep").select("key", "keep"), "special")
     at = docs.columns.index("text")
 
+    number = docs.columns.index("doc_id")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[bytes, tuple] = {}  # of the rows of a key only the one of least id can stay: later ones go before they are shuffled
         for batch in batches:
             for block in blocks(batch, at, BLOCK_BYTES):
-                keys = pa.array([_key(s) for s in gram_sets(block.column(at), n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([keys, block.to_struct_array()], ["key", "row"])
+                keys, keep = [], []
+                for i, (grams, doc) in enumerate(zip(gram_sets(block.column(at), n), block.column(number).to_pylist(), strict=True)):
+                    key, order = _key(grams), (doc is None, doc or 0)
+                    if key is None or order <= least.get(key, order):
+                        keys.append(key)
+                        keep.append(i)
+                        if key is not None:
+                            least[key] = order
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), block.take(pa.array(keep, pa.int64())).to_struct_array()], ["key", "row"])
 
     fields = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("row", docs.schema)])
     rows = docs.mapInArrow(run, fields).join(special.hint("merge"), "key", "left")
@@ -335,13 +345,19 @@ def deduplicate(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, r
 
 
 def keyed(docs: DataFrame, n: int = NGRAM) -> DataFrame:
-    """(key, packed text) of the rows of (doc_id, text) that have n-grams."""
+    """(key, packed text) of (doc_id, text), a row a key and task: copies go before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             for block in blocks(batch, 0, BLOCK_BYTES):
-                keys = pa.array([_key(s) for s in gram_sets(block.column(0), n)], pa.binary())
-                packed = pa.array([zstandard.compress((t or b""), 1) for t in block.column(0).cast(pa.binary()).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([keys, packed], ["key", "packed"])
+                keys, packed = [], []
+                for i, grams in enumerate(gram_sets(block.column(0), n)):
+                    key = _key(grams)
+                    if key is not None and key not in seen:
+                        seen.add(key)
+                        keys.append(key)
+                        packed.append(zstandard.compress(block.column(0)[i].as_py().encode(), 1))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], ["key", "packed"])
 
-    return docs.select("text").mapInArrow(run, "key binary, packed binary").filter("key IS NOT NULL")
+    return docs.select("text").mapInArrow(run, "key binary, packed binary")
