@@ -1,21 +1,25 @@
 """Scoring text by a language model: prediction by partial matching over bytes, beside a word unigram base.
 
-Prediction by partial matching: the training corpus fills a trie of byte contexts up to order 2
+Prediction by partial matching: the training corpus fills a trie of byte contexts up to an order
 with the counts of what followed. A byte is predicted in its longest context; where that context
 has not seen it, the context's escape estimate (distinct followers over followers plus distinct
 followers) is paid and the next shorter one predicts, without the symbols that the longer ones
 would have predicted. Last come equal shares of what is left of the 256 symbols. The start and
 the end of a text are symbols that UTF-8 never holds, so that the model is a distribution over
-texts. Order 2 has at most 256 ** 3 counts whatever the corpus, so the trie is broadcast; with
-the training counts fixed, each context's 256 code lengths are worked out once.
-
-Word counts have no such bound. Each worker tells blocks of documents, and for each block its
-distinct words; those words alone are joined with the corpus-wide counts, and come back to their
-block. So a word moves once a block, however often it occurs, and no task sees the vocabulary.
+texts.
+
+Neither words nor long contexts have a bound. Each worker tells blocks of documents, and for each
+block its distinct words and its distinct grams (a context of full order with the symbol after it).
+Words are joined with their corpus-wide counts, and come back to their block. Grams go by the last
+three bytes of their context to buckets, whose number follows the corpus: there they meet their
+counts of all blocks, at every order from three up, and their code lengths go back to the blocks. So
+a word or a gram moves once a block, however often it occurs, and no task sees the vocabulary or
+the trie. Only orders 0 to 2, at most 256 ** 3 counts whatever the corpus, are broadcast.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,20 +37,47 @@ START, END = 0xFE, 0xFF
 #: The end of a document as a word; it holds a blank, as no word does.
 END_WORD = " "
 BLOCK_BYTES = 4 << 20
-#: Text a block whose words are looked up together.
+#: Text a block whose words and grams are looked up together.
 WORDS_BYTES = 8 << 20
+#: Order of the registered query's model.
+ORDER = 5
+#: Training text a bucket of grams, beside the first buckets.
+BUCKET_BYTES, BUCKETS = 32 << 20, 64
+
+
+def symbols(raw: list[bytes], order: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all grams (order symbols and the next) that the texts' bytes and ends close, and each text's number of them."""
+    data = np.frombuffer(b"".join(bytes((START,)) * order + t + bytes((END,)) for t in raw), np.uint8)
+    sizes = np.array([len(t) + 1 for t in raw])
+    codes = np.zeros(max(0, len(data) - order), dtype=np.int64)
+    for i in range(order + 1):
+        codes <<= 8
+        codes |= data[i : i + len(codes)]
+    keep = np.ones(len(codes), dtype=bool)
+    begin = np.cumsum(sizes + order)[:-1] - order  # grams that end in a later text's start
+    for i in range(order):
+        keep[begin + i] = False
+    return codes[keep], sizes
+
+
+def distinct(codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes in order of bucket and code, each one's bucket, and where among them each of the codes is."""
+    coded = pa.array(codes).dictionary_encode()
+    found = coded.dictionary.to_numpy()
+    bucket = ((found >> 8 & 0xFFFFFF) * 2654435761 & 0xFFFFFFFF) // 256 % buckets
+    order = np.lexsort((found, bucket))
+    rank = np.empty(len(order), dtype=np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return found[order], bucket[order], rank[coded.indices.to_numpy()]
+
 
+def pack(x: np.ndarray) -> bytes:
+    """The array's bytes, all first ones before all second ones, which compresses well."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
-def symbols(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all trigrams of symbols that the texts' bytes and ends close, and each text's number of them."""
-    data = np.frombuffer(b"".join(bytes((START, START)) + t + bytes((END,)) for t in raw), np.uint8).astype(np.uint32)
-    sizes = np.array([len(t) + 3 for t in raw])
-    codes = np.empty(len(data), dtype=np.uint32)
-    codes[2:] = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
-    keep = np.ones(len(data), dtype=bool)
-    begin = np.cumsum(sizes) - sizes
-    keep[begin] = keep[begin + 1] = False
-    return codes[keep], sizes - 2
+
+def unpack(x: bytes, of: str) -> np.ndarray:
+    return np.frombuffer(x, np.uint8).reshape(np.dtype(of).itemsize, -1).T.copy().view(of).ravel()
 
 
 class Trie:
@@ -54,6 +85,8 @@ class Trie:
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray):
         codes, counts = np.asarray(codes, dtype=np.int64), np.asarray(counts, dtype=np.float64)
+        self.codes, which = np.unique(codes, return_inverse=True)
+        self.counts = np.bincount(which, counts, minlength=len(self.codes))
         seen, row = np.unique(codes >> 8, return_inverse=True)
         order2 = np.zeros((len(seen), 256))
         np.add.at(order2, (row, codes & 255), counts)
@@ -68,6 +101,8 @@ class Trie:
         self.row[seen] = np.arange(len(seen))
         rows = [self._rows(levels) for levels in self._levels(order2, seen, order1, last, order0)]
         self.lengths = np.concatenate(rows).astype(np.float32)
+        self.total, self.distinct = np.zeros(len(self.lengths)), np.zeros(len(self.lengths))
+        self.total[: len(seen)], self.distinct[: len(seen)] = order2.sum(axis=1), (order2 > 0).sum(axis=1)
 
     @staticmethod
     def _levels(order2, seen, order1, last, order0, step: int = 2048):
@@ -95,10 +130,58 @@ class Trie:
         left = (~excluded).sum(axis=1, keepdims=True)
         return np.where(excluded, out, paid - np.log10(np.maximum(left, 1)))
 
-    def score(self, raw: list[bytes]) -> np.ndarray:
-        codes, sizes = symbols(raw)
-        each = self.lengths[self.row[codes >> 8], codes & 255].astype(np.float64)
-        return np.add.reduceat(each, np.cumsum(sizes) - sizes)
+    def count(self, codes: np.ndarray) -> np.ndarray:
+        """How often each trigram was seen."""
+        if not len(self.codes):
+            return np.zeros(len(codes))
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.counts[at], 0)
+
+    def predict(self, grams: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
+        """log10 of the probability of each gram's symbol after its context of the order, 2 at least.
+
+        grams are distinct, with how often each was seen (or 0); with a gram come all others whose contexts
+        end in the same three symbols. What followed a context has followed each shorter one, so what is
+        excluded at an order is what the next longer context has seen.
+        """
+        out, paid, open_ = np.zeros(len(grams)), np.zeros(len(grams)), np.ones(len(grams), dtype=bool)
+        gone, kinds = np.zeros(len(grams)), np.zeros(len(grams))  # sum and number of the excluded followers
+
+        def level(n: np.ndarray, total: np.ndarray, number: np.ndarray) -> None:
+            nonlocal open_
+            left, new = total - gone, number - kinds
+            escapes = (left > 0) & (number < 256)
+            whole = np.where(left > 0, left + np.where(escapes, new, 0), 1)
+            hit = open_ & (n > 0)
+            out[hit] = paid[hit] + np.log10(n[hit] / whole[hit])
+            open_ = open_ & ~hit
+            pay = open_ & escapes
+            paid[pay] += np.log10(new[pay] / whole[pay])
+
+        sums = lambda size: np.unique(grams & ((1 << 8 * size) - 1), return_inverse=True)
+        nodes, of = sums(order + 1)
+        n = np.bincount(of, counts, minlength=len(nodes))
+        for k in range(order, 2, -1):
+            contexts, context = np.unique(nodes >> 8, return_inverse=True)
+            number = np.bincount(context, n > 0, minlength=len(contexts))
+            level(n[of], np.bincount(context, n, minlength=len(contexts))[context[of]], number[context[of]])
+            if k > 3:
+                below, below_of = sums(k)
+                m = np.bincount(below_of, counts, minlength=len(below))
+                shorter = m[np.searchsorted(below, nodes & ((1 << 8 * k) - 1))]
+            else:
+                below = below_of = m = None
+                shorter = self.count(nodes & 0xFFFFFF)
+            gone = np.bincount(context, np.where(n > 0, shorter, 0), minlength=len(contexts))[context[of]]
+            kinds = number[context[of]]
+            nodes, of, n = below, below_of, m
+        row = self.row[grams >> 8 & 0xFFFF]
+        total, number = self.total[row], self.distinct[row]
+        level(self.count(grams & 0xFFFFFF), total, number)
+        # below order 2 nothing depends on longer contexts: its length there, less the escape it holds
+        with np.errstate(divide="ignore", invalid="ignore"):
+            escape = np.where((total > 0) & (number < 256), np.log10(number / (total + number)), 0)
+        return np.where(open_, paid + self.lengths[row, grams & 255] - escape, out)
 
 
 def _raw(texts: pa.Array) -> list[bytes]:
@@ -106,7 +189,7 @@ def _raw(texts: pa.Array) -> list[bytes]:
 
 
 def train(docs: DataFrame) -> Trie:
-    """The trie of the documents in (held_out, text) that are not held out.
+    """The trie, up to order 2, of the documents in (held_out, text) that are not held out.
 
     Workers count trigrams of symbols; at most 256 ** 3 sums reach the driver, whatever the corpus.
     """
@@ -125,6 +208,7 @@ def train(docs: DataFrame) -> Trie:
 
 def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All lower-cased words of the texts, and how many each text has."""
+    texts = texts.take(pa.array(np.arange(len(texts))))  # ascii_lower reads wrong bytes of some slices of a longer array
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
     flat, size = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     real = pc.greater(pc.binary_length(flat), 0)  # leading or trailing blanks leave an empty one
@@ -133,80 +217,115 @@ def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(real), kept[ends] - kept[ends - size]
 
 
-BLOCK = "block long, number int, word string, n long, doc_id long, held_out boolean, tokens long, words binary, score double"
+BLOCK = "block long, number int, word string, n long, doc_id long, held_out boolean, place int, text string, bucket int, grams binary, counts binary"
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
-def tell_blocks(docs: DataFrame, trie: Trie) -> DataFrame:
-    """Documents and words of each block of (doc_id, held_out, text).
+def tell_blocks(docs: DataFrame, order: int, buckets: int) -> DataFrame:
+    """Documents, words and grams of each block of (doc_id, held_out, text).
 
-    A document: block, doc_id, held_out, tokens, words (their numbers within the block, as unsigned
-    32-bit integers) and its score by the trie. A word (number not null): block, number, word,
-    n (how often the block's training documents have it).
+    A document: block, doc_id, held_out, place (its number within the block) and text. A word (number
+    not null): block, number, word, n (how often the block's training documents have it). Grams (bucket
+    not null): block, bucket, grams (their codes, as differences) and counts.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(trie)
-    names = [x.split()[0] for x in BLOCK.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.float64()]
+    fields = [x.split() for x in BLOCK.split(", ")]
 
     def rows(count: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(count, t) for c, t in zip(names, types, strict=True)], names)
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], _TYPES[t]) if c in columns else pa.nulls(count, _TYPES[t]) for c, t in fields], [c for c, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
         for batch in batches:
             for part in blocks(batch, 2, WORDS_BYTES):
                 held = part.column(1).to_numpy(zero_copy_only=False)
-                scores = np.concatenate([shared.value.score(_raw(some.column(2))) for some in blocks(part, 2, BLOCK_BYTES)])
                 flat, size = _split(part.column(2))
                 coded = flat.dictionary_encode()
-                which = coded.indices.to_numpy(zero_copy_only=False).astype("<u4")
+                which = coded.indices.to_numpy(zero_copy_only=False)
                 words = coded.dictionary.cast(pa.string())
                 n = np.bincount(which[~np.repeat(held, size)], minlength=len(words))
-                ends, body = (np.cumsum(size) * 4).tolist(), which.tobytes()
                 for at in range(0, part.num_rows, 2000):
-                    some = slice(at, min(at + 2000, part.num_rows))
-                    own = [body[b - 4 * k : b] for b, k in zip(ends[some], size[some].tolist(), strict=True)]
-                    m = len(own)
-                    yield rows(m, block=np.full(m, block), doc_id=part.column(0).slice(at, m), held_out=held[some], tokens=size[some] + 1, words=own, score=scores[some])
+                    some = part.slice(at, 2000)
+                    m = some.num_rows
+                    yield rows(m, block=np.full(m, block), doc_id=some.column(0), held_out=some.column(1), place=np.arange(at, at + m, dtype=np.int32), text=some.column(2).cast(pa.string()))
                 for at in range(0, len(words), 50_000):
                     m = len(words[at : at + 50_000])
                     yield rows(m, block=np.full(m, block), number=np.arange(at, at + m, dtype=np.int32), word=words[at : at + m], n=n[at : at + m])
                 yield rows(1, block=[block], number=[len(words)], word=[END_WORD], n=[int((~held).sum())])
+                del flat, coded, which, words
+                codes, size = symbols(_raw(part.column(2)), order)
+                found, bucket, where = distinct(codes, buckets)
+                del codes
+                n = np.bincount(where[~np.repeat(held, size)], minlength=len(found)).astype("<u4")
+                del where
+                edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(found)]
+                own = [(bucket[a], pack(np.diff(found[a:b], prepend=0)), pack(n[a:b])) for a, b in itertools.pairwise(edges)]
+                which, codes, counts = zip(*own, strict=True)
+                yield rows(len(own), block=np.full(len(own), block), bucket=np.array(which, dtype=np.int32), grams=codes, counts=counts)
                 block += 1
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, BLOCK)
 
 
+def gram_lengths(told: DataFrame, trie: Trie, order: int) -> DataFrame:
+    """log10 probabilities (32-bit floats) of each block's grams of a bucket: of, bucket, lengths."""
+    shared = told.sparkSession.sparkContext.broadcast(trie)
+
+    def run(rows: pa.Table) -> pa.Table:
+        each = [np.cumsum(unpack(x.as_py(), "<i8")) for x in rows["grams"]]
+        found, where = np.unique(np.concatenate(each), return_inverse=True)
+        n = np.bincount(where, np.concatenate([unpack(x.as_py(), "<u4") for x in rows["counts"]]), minlength=len(found))
+        lengths = shared.value.predict(found, n, order).astype("<f4")[where]
+        own = [pack(x) for x in np.split(lengths, np.cumsum([len(x) for x in each])[:-1])]
+        return pa.table([rows["block"], rows["bucket"], pa.array(own, pa.binary())], names=["of", "bucket", "lengths"])
+
+    of_buckets = told.filter("bucket IS NOT NULL").select("block", "bucket", "grams", "counts")
+    return of_buckets.groupBy("bucket").applyInArrow(run, "of long, bucket int, lengths binary")
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 5, held: int = 1) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 5, held: int = 1, order: int = 2) -> DataFrame:
     """One row a row of docs with its log10 probability under both models.
 
-    Both learn from the documents whose id has another checksum remainder than ``held``. A null
-    text is an empty one, of which the end is left; a null id counts as an empty text.
-    Without training documents all counts are 0. Case of ASCII letters makes no difference.
+    Both learn from the documents whose id has another checksum remainder than ``held``; ``order``
+    is the longest context's number of bytes, from 2 to 6. A null text is an empty one, of which the end
+    is left; a null id counts as an empty text. Without training documents all counts are 0. Case of
+    ASCII letters makes no difference.
     """
+    if not 2 <= order <= 6:
+        raise ValueError(f"order {order}: from 2 to 6")
     d = docs.select(F.col(key).cast("long").alias("doc_id"), (fold(F.col(key), modulus) == held).alias("held_out"), F.col(text).cast("string").alias("text"))
-    told = materialize(tell_blocks(d, train(d)), "blocks")
+    trie = train(d)
+    buckets = BUCKETS + int(trie.counts.sum()) // BUCKET_BYTES
+    told = materialize(tell_blocks(d, order, buckets), "blocks")
     of_blocks = told.filter("number IS NOT NULL").select("block", "number", "word", "n")
     counts = of_blocks.groupBy("word").agg(F.sum("n").alias("c"))
     counts = materialize(counts, "counts")
     known = of_blocks.join(counts, "word").select(F.col("block").alias("of"), F.col("number").alias("at"), "c")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    rest = np.log10(total + 0.5 * (distinct + 1))
-
-    def run(documents: pa.Table, words: pa.Table) -> pa.Table:
+    known = known.unionByName(gram_lengths(told, trie, order), allowMissingColumns=True)
+    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    rest = np.log10(total + 0.5 * (kinds + 1))
+
+    def run(documents: pa.Table, known: pa.Table) -> pa.Table:
+        documents = documents.sort_by("place")
+        texts = documents["text"].combine_chunks()
+        words, grams = known.filter(pc.is_valid(known["at"])), known.filter(pc.is_valid(known["bucket"])).sort_by("bucket")
         c = np.zeros(words.num_rows, dtype=np.int64)  # the end's number is the last one
         c[words["at"].to_numpy()] = words["c"].to_numpy()
         length, seen = np.log10(c + 0.5) - rest, (c > 0).astype(np.int64)
-        size = documents["tokens"].to_numpy() - 1
-        which = np.frombuffer(b"".join(documents["words"].to_pylist()), "<u4")
+        flat, size = _split(texts)
+        which = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False)  # as tell_blocks numbered them
         edges = np.concatenate(([0], np.cumsum(size)))
         sums, hits = (np.concatenate((x[which], np.zeros_like(x[-1:]))) for x in (length, seen))  # so that the last slice may be empty
         of = lambda x: np.where(size > 0, np.add.reduceat(x, edges[:-1]), 0)
-        out = [documents["doc_id"], documents["held_out"], documents["tokens"], pa.chunked_array([pa.array(of(hits) + seen[-1], pa.int64())]), pa.chunked_array([pa.array(of(sums) + length[-1], pa.float64())]), documents["score"]]
+        lengths = np.concatenate([unpack(x.as_py(), "<f4") for x in grams["lengths"]])
+        codes, symbols_of = symbols(_raw(texts), order)
+        each = lengths[distinct(codes, buckets)[2]].astype(np.float64)
+        scores = np.add.reduceat(each, np.cumsum(symbols_of) - symbols_of)
+        out = [documents["doc_id"], documents["held_out"], *(pa.chunked_array([pa.array(x, t)]) for x, t in ((size + 1, pa.int64()), (of(hits) + seen[-1], pa.int64()), (of(sums) + length[-1], pa.float64()), (scores, pa.float64())))]
         return pa.table(out, names=[x.split()[0] for x in SCORES.split(", ")])
 
-    documents = told.filter("number IS NULL").select("block", "doc_id", "held_out", "tokens", "words", "score")
+    documents = told.filter("place IS NOT NULL").select("block", "doc_id", "held_out", "place", "text")
     scored = documents.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(run, SCORES)
     return scored.withColumn("train_tokens", F.lit(int(total)).cast("long"))

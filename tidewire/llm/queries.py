@@ -68,7 +68,7 @@ def op9_secret_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.score(_read(spark, sf_dir, "documents"))
+    return ppm.score(_read(spark, sf_dir, "documents"), order=ppm.ORDER)
 
 
 def queries() -> dict:
