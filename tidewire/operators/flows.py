@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import net
+from . import folds
 
 KEY = ["proto", "a_ip4", "a_port", "b_ip4", "b_port"]
 #: Idle time a protocol, in microseconds. The values are ours; pass others as needed.
@@ -159,22 +163,57 @@ def ordered_payload(segments: DataFrame, by: list[str]) -> DataFrame:
     return s.filter(F.length("fresh") > 0).drop("covered")
 
 
+def _assemble(timeout_us: int) -> Callable:
+    """A step of folds.fold over (ts_us, offset, more, payload): the number of the datagram; null for a copy, and after an overlap.
+
+    State: number, time of the first fragment, its fragments, their sorted places, bytes, end (once known), done, spoiled.
+    """
+
+    def step(state, t, offset, more, payload):
+        nth, begin, parts, places, held, end, done, spoiled = state
+        part = (offset, more, payload)
+        aged = begin is None or t - begin > timeout_us
+        if not aged and part in parts:
+            return state, (None,)
+        if aged or done:
+            nth, begin, parts, places, held, end, done, spoiled = nth + 1, t, set(), [], 0, None, False, False
+        elif spoiled:
+            return state, (None,)
+        place = (offset, offset + len(payload))
+        at = bisect.bisect(places, place)
+        spoiled = (at > 0 and places[at - 1][1] > place[0]) or (at < len(places) and places[at][0] < place[1]) or (not more and end is not None)
+        parts.add(part)
+        places.insert(at, place)
+        held += len(payload)
+        end = place[1] if not more else end
+        done = not spoiled and held == end == places[-1][1]
+        return (nth, begin, parts, places, held, end, done, spoiled), (nth,)
+
+    return step
+
+
 def whole_datagrams(fragments: DataFrame, timeout_us: int = 30_000_000, most_bytes: int = 65_535) -> DataFrame:
     """IPv4 fragments (src_ip4, dst_ip4, proto, ident, ts_us, offset, more, payload) put together: complete ones without gap or overlap, in time.
 
-    A datagram has at most 65,535 bytes, which bounds what is gathered.
+    An ident is used again: fragments go by in order of ts_us (and seq, where there is one), and once a datagram
+    is complete, or the timeout since its first fragment is exceeded, the next fragment begins another. A fragment
+    equal to one of the last datagram within that timeout is a copy. A datagram has at most 65,535 bytes,
+    and nothing is taken after an overlap, which bounds what is held and gathered.
     """
     by = ["src_ip4", "dst_ip4", "proto", "ident"]
-    w = Window.partitionBy(*by).orderBy("offset", "ts_us")
-    f = fragments.dropDuplicates([*by, "offset", "more", "payload"]).filter(F.col("offset") + F.length("payload") <= most_bytes)
+    order = ["ts_us", *(["seq"] if "seq" in fragments.columns else []), "offset"]
+    f = fragments.filter(F.col("ts_us").isNotNull() & (F.col("offset") + F.length("payload") <= most_bytes)).select(*by, *order, "more", "payload")
+    start = lambda: (0, None, set(), [], 0, None, False, False)
+    f = folds.fold(f, by, order, ["ts_us", "offset", "more", "payload"], start, _assemble(timeout_us), {"nth": "long"}).filter("nth IS NOT NULL")
+    w = Window.partitionBy(*by, "nth").orderBy("offset", "ts_us")
     expected = F.coalesce(F.sum(F.length("payload")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     f = f.withColumn("fits", F.col("offset") == expected)
-    done = f.groupBy(*by).agg(
-        F.bool_and("fits").alias("fits"), F.count_if(~F.col("more")).alias("ends"), (F.max("ts_us") - F.min("ts_us")).alias("took"), F.min("ts_us").alias("ts_us"),
+    done = f.groupBy(*by, "nth").agg(
+        F.bool_and("fits").alias("fits"), F.count_if(~F.col("more")).alias("ends"), F.min("ts_us").alias("ts_us"),
         F.array_sort(F.collect_list(F.struct("offset", "payload"))).alias("parts"),
     )
     body = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["payload"]))
-    return done.filter((F.col("ends") == 1) & F.col("fits") & (F.col("took") <= timeout_us)).select(*by, "ts_us", body.alias("payload"), F.size("parts").alias("n_fragments"))
+    return done.filter((F.col("ends") == 1) & F.col("fits")).select(*by, "ts_us", body.alias("payload"), F.size("parts").alias("n_fragments"))
 
 
 def running_clock(packets: DataFrame, by: str = "source_idx") -> DataFrame:
