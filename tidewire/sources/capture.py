@@ -167,7 +167,7 @@ def _u16(c: Column, at: int) -> Column:
 
 
 def dns(packets: DataFrame) -> DataFrame:
-    """Rows with DNS over UDP: id, whether a response, rcode, counts, and the first question's name (up to 10 labels)."""
+    """Rows with DNS over UDP: id, whether a response, rcode, counts, and the first question's name, all of it up to the zero byte or a pointer."""
     p = packets.filter("proto = 17 AND (src_port = 53 OR dst_port = 53)").filter(F.length("payload") >= 12)
     flags, body = _u16(F.col("payload"), 2), F.col("payload")
     begin = F.struct(F.lit(12).alias("at"), F.array().cast("array<string>").alias("labels"))
@@ -176,7 +176,9 @@ def dns(packets: DataFrame) -> DataFrame:
         n = F.coalesce(F.conv(F.hex(F.substring(body, a["at"] + 1, F.lit(1))), 16, 10).cast("int"), F.lit(0))
         return F.when((n > 0) & (n < 64), F.struct((a["at"] + 1 + n).alias("at"), F.array_append(a["labels"], F.substring(body, a["at"] + 2, n).cast("string")).alias("labels"))).otherwise(a)
 
-    labels = F.aggregate(F.sequence(F.lit(1), F.lit(10)), begin, label, lambda a: a["labels"])
+    # a name has 127 labels at most, each of two bytes or more
+    most = F.least(F.lit(127), F.greatest(F.lit(1), F.ceil((F.length("payload") - 12) / 2).cast("int")))
+    labels = F.aggregate(F.sequence(F.lit(1), most), begin, label, lambda a: a["labels"])
     return p.select("*", _u16(body, 0).alias("dns_id"), (flags.bitwiseAND(F.lit(0x8000)) != 0).alias("dns_response"), flags.bitwiseAND(F.lit(15)).alias("dns_rcode"), _u16(body, 6).alias("dns_answers"), F.lower(F.array_join(labels, ".")).alias("dns_qname"))
 
 
