@@ -131,15 +131,27 @@ def active_at(f: DataFrame, at_us: int, idle: Column | None = None) -> DataFrame
     return f.filter((F.col("start_us") <= at_us) & (F.col("end_us") > F.lit(at_us) - idle))
 
 
-def history(packets: DataFrame, by: list[str], most: int = 64) -> DataFrame:
-    """The first ``most`` flag letters of each flow in order, upper case from its first sender. Only those packets are gathered."""
+#: Runs of equal letters that are written as one piece of a history.
+PIECE = 4096
+
+
+def history(packets: DataFrame, by: list[str]) -> DataFrame:
+    """The flag letters of all of each flow's packets in order, upper case from its first sender.
+
+    Runs of a letter are counted, and pieces of ``PIECE`` runs become text before a flow's pieces are put
+    together, so that what is gathered is the text itself: a byte a packet.
+    """
     w = Window.partitionBy(*by).orderBy("ts_us", "seq")
     flags = F.col("tcp_flags")
     bit = lambda b: flags.bitwiseAND(F.lit(b)) != 0
     letter = F.when(bit(SYN) & bit(ACK), "h").when(bit(SYN), "s").when(bit(RST), "r").when(bit(FIN), "f").when(F.col("len") > 0, "d").otherwise("a")
-    p = packets.withColumns({"n": F.row_number().over(w), "own": F.col("src_ip4") == F.first("src_ip4").over(w)}).filter(F.col("n") <= most)
-    letters = p.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("n", F.when(F.col("own"), F.upper(letter)).otherwise(letter).alias("c")))).alias("x"))
-    return letters.select(*by, F.array_join(F.transform("x", lambda s: s["c"]), "").alias("history"))
+    own = F.col("src_ip4") == F.first("src_ip4").over(w)
+    p = packets.select(*by, "ts_us", "seq", F.when(own, F.upper(letter)).otherwise(letter).alias("c_"))
+    p = p.withColumn("new_", F.coalesce((F.lag("c_").over(w) != F.col("c_")).cast("long"), F.lit(1).cast("long")))
+    runs = p.withColumn("run_", F.sum("new_").over(w)).groupBy(*by, "run_", "c_").agg(F.count(F.lit(1)).cast("int").alias("k_"))
+    text = lambda x, get: F.array_join(F.transform(F.array_sort(x), get), "")
+    pieces = runs.groupBy(*by, F.floor(F.col("run_") / PIECE).alias("piece_")).agg(text(F.collect_list(F.struct("run_", "c_", "k_")), lambda s: F.repeat(s["c_"], s["k_"])).alias("x_"))
+    return pieces.groupBy(*by).agg(text(F.collect_list(F.struct("piece_", "x_")), lambda s: s["x_"]).alias("history"))
 
 
 def stretches(rows: DataFrame, by: list[str], order: list[str], side: str, size: str) -> DataFrame:
