@@ -183,8 +183,8 @@ def dns(packets: DataFrame) -> DataFrame:
 
 
 def http(packets: DataFrame) -> DataFrame:
-    """Rows whose payload begins an HTTP/1 message: method, path, host, agent, status."""
-    text = F.decode(F.substring("payload", 1, 4096), "ISO-8859-1")
+    """Rows whose payload begins an HTTP/1 message: method, path, host, agent, status, from its head, up to the first empty line."""
+    text = F.substring_index(F.decode("payload", "ISO-8859-1"), "\r\n\r\n", 1)
     p = packets.withColumn("http_", text).filter(F.col("http_").rlike(r"^(?:(?:GET|HEAD|POST|PUT|DELETE|OPTIONS|PATCH|CONNECT) \S+ HTTP/1|HTTP/1\.[01] \d{3})"))
     get = lambda pattern: F.nullif(F.regexp_extract("http_", pattern, 1), F.lit(""))
     return p.select("*", get(r"^([A-Z]+) ").alias("http_method"), get(r"^[A-Z]+ (\S+) ").alias("http_path"), F.lower(get(r"(?i)\r\nHost: *([^\r\n]+)")).alias("http_host"), get(r"(?i)\r\nUser-Agent: *([^\r\n]+)").alias("http_agent"), get(r"^HTTP/1\.[01] (\d{3})").cast("int").alias("http_status")).drop("http_")
