@@ -106,12 +106,10 @@ def reloaded(rows: DataFrame, versions: DataFrame) -> DataFrame:
     return rows.join(dimension(v), "domain").filter("ts_us >= since_us AND ts_us < until_us").drop("since_us", "until_us")
 
 
-def sequences(rows: DataFrame, keys: list[str], letter: Column, pattern: str, window_us: int, most: int = 1000) -> DataFrame:
-    """Keys and stretches of the window's length whose events, as one letter each in order, hold the pattern (a regex over letters).
+def sequences(rows: DataFrame, keys: list[str], letter: Column, pattern: str, window_us: int) -> DataFrame:
+    """Events that end the pattern, a string of letters, within the window.
 
-    A pattern may lie across two stretches; each stretch is therefore read together with the one
-    before, and its letters gathered only where the two have at most ``most`` events; longer ones
-    are told apart by a window over each event's own last few letters, as many as the pattern is long.
+    Only adjacent events of a key match, one letter each in order: another event in between breaks the pattern.
     """
     if not re.fullmatch(r"[A-Za-z]+", pattern):
         raise ValueError("a pattern is a string of letters")
