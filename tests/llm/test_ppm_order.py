@@ -36,6 +36,7 @@ def by_hand(train, text, order):
 
 def test_the_query_uses_contexts_of_five_bytes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ppm, "WORDS_BYTES", 300)  # many blocks, whose counts must meet
+    monkeypatch.setattr(ppm, "GROUP_BLOCKS", 4)  # in several groups
     words = ["The", "thesis", "SAT", "é", "there", "a\tmat", "other", "then"]
     texts = [" ".join(words[(j * j + i * j) % 8] + "x" * (i * j % 3) for j in range(i % 23)) for i in range(80)]
     spark.createDataFrame(list(enumerate([*texts, None, "", "zzz the theses"])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")

@@ -9,12 +9,14 @@ the end of a text are symbols that UTF-8 never holds, so that the model is a dis
 texts.
 
 Neither words nor long contexts have a bound. Each worker tells blocks of documents, and for each
-block its distinct words and its distinct grams (a context of full order with the symbol after it).
-Words are joined with their corpus-wide counts, and come back to their block. Grams go by the last
-three bytes of their context to buckets, whose number follows the corpus: there they meet their
-counts of all blocks, at every order from three up, and their code lengths go back to the blocks. So
-a word or a gram moves once a block, however often it occurs, and no task sees the vocabulary or
-the trie. Only orders 0 to 2, at most 256 ** 3 counts whatever the corpus, are broadcast.
+block its distinct words and its distinct grams (a context of full order with the symbol after it),
+dealt out to buckets whose number follows the corpus: words by a checksum, grams by the last three
+bytes of their context. A bucket's words, or grams, of a block are one compressed row, sorted so that
+neighbours are alike. There they meet their counts of all blocks and go back to their block as code
+lengths. So a word or a gram moves once a block, however often it occurs, and no task sees the
+vocabulary or the trie. As all blocks have the grams of the commonest contexts, grams are summed by
+bucket and group of blocks before they are summed by bucket, and looked up a group at a time. Only
+orders 0 to 2, at most 256 ** 3 counts whatever the corpus, are broadcast.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,50 +38,95 @@ from .tokens import blocks
 
 #: Bytes that no UTF-8 text holds: before a text's first byte, and after its last one.
 START, END = 0xFE, 0xFF
-#: The end of a document as a word; it holds a blank, as no word does.
-END_WORD = " "
 BLOCK_BYTES = 4 << 20
 #: Text a block whose words and grams are looked up together.
-WORDS_BYTES = 8 << 20
+WORDS_BYTES = 4 << 20
+#: Grams looked at at once.
+WINDOW = 1 << 20
 #: Order of the registered query's model.
 ORDER = 5
-#: Training text a bucket of grams, beside the first buckets.
-BUCKET_BYTES, BUCKETS = 32 << 20, 64
+#: Training text a bucket of words or grams, beside the first buckets, and blocks a group.
+BUCKET_BYTES, BUCKETS, GROUP_BLOCKS = 32 << 20, 64, 1024
 
 
-def symbols(raw: list[bytes], order: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all grams (order symbols and the next) that the texts' bytes and ends close, and each text's number of them."""
+def _laid(raw: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All symbols of the texts in a row, the places of grams (not those that end in a text's start), and each text's number of them."""
     data = np.frombuffer(b"".join(bytes((START,)) * order + t + bytes((END,)) for t in raw), np.uint8)
     sizes = np.array([len(t) + 1 for t in raw])
-    codes = np.zeros(max(0, len(data) - order), dtype=np.int64)
-    for i in range(order + 1):
-        codes <<= 8
-        codes |= data[i : i + len(codes)]
-    keep = np.ones(len(codes), dtype=bool)
-    begin = np.cumsum(sizes + order)[:-1] - order  # grams that end in a later text's start
+    keep = np.ones(max(0, len(data) - order), dtype=bool)
+    begin = np.cumsum(sizes + order)[:-1] - order
     for i in range(order):
         keep[begin + i] = False
-    return codes[keep], sizes
+    return data, keep, sizes
 
 
-def distinct(codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct codes in order of bucket and code, each one's bucket, and where among them each of the codes is."""
-    coded = pa.array(codes).dictionary_encode()
-    found = coded.dictionary.to_numpy()
-    bucket = ((found >> 8 & 0xFFFFFF) * 2654435761 & 0xFFFFFFFF) // 256 % buckets
-    order = np.lexsort((found, bucket))
-    rank = np.empty(len(order), dtype=np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
-    return found[order], bucket[order], rank[coded.indices.to_numpy()]
+def _codes(data: np.ndarray, order: int, a: int, b: int) -> np.ndarray:
+    codes = np.zeros(b - a, dtype=np.int64)
+    for i in range(order + 1):
+        codes <<= 8
+        codes |= data[a + i : b + i]
+    return codes
+
+
+def symbols(raw: list[bytes], order: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all grams (order symbols and the next) that the texts' bytes and ends close, and each text's number of them."""
+    data, keep, sizes = _laid(raw, order)
+    return _codes(data, order, 0, len(keep))[keep], sizes
+
+
+def turned(codes: np.ndarray, order: int, back: bool = False) -> np.ndarray:
+    """Codes with the last three symbols of the context before the earlier ones, so that those of a bucket are close when sorted; or ``back``."""
+    head, tail = 8 * max(0, order - 3), 8 * min(3, order)
+    if back:
+        return (codes >> 8 & (1 << head) - 1) << tail + 8 | (codes >> head + 8) << 8 | codes & 255
+    return (codes >> 8 & (1 << tail) - 1) << head + 8 | (codes >> tail + 8) << 8 | codes & 255
+
+
+def distinct(raw: list[bytes], order: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct turned codes of the texts in order of bucket and code, each one's bucket, where among them each gram's is, and each text's number of grams.
+
+    Texts are walked a window at a time, across their bounds, so that only 4 bytes a gram are held.
+    """
+    data, keep, sizes = _laid(raw, order)
+    each = []
+    for a in range(0, len(keep), WINDOW):
+        b = min(a + WINDOW, len(keep))
+        coded = pa.array(turned(_codes(data, order, a, b)[keep[a:b]], order)).dictionary_encode()
+        each.append((coded.dictionary.to_numpy(), coded.indices.to_numpy()))
+    found = np.unique(np.concatenate([x for x, _ in each]))
+    bucket = ((found >> 8 * max(1, order - 2)) * 2654435761 & 0xFFFFFFFF) // 256 % buckets
+    ranked = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(ranked), dtype=np.int32)
+    rank[ranked] = np.arange(len(ranked), dtype=np.int32)
+    return found[ranked], bucket[ranked], np.concatenate([rank[np.searchsorted(found, x)][at] for x, at in each]), sizes
+
+
+def _times(where: np.ndarray, counts: np.ndarray, kinds: int) -> np.ndarray:
+    """How often each kind occurs where ``counts`` holds."""
+    out = np.zeros(kinds, dtype=np.int64)
+    for a in range(0, len(where), WINDOW):
+        out += np.bincount(where[a : a + WINDOW][counts[a : a + WINDOW]], minlength=kinds)
+    return out.astype("<u4")
+
+
+def distinct_words(flat: pa.Array, buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The same of words."""
+    coded = flat.dictionary_encode()
+    found = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in found), np.int64, len(found))
+    ranked = pc.sort_indices(pa.table([pa.array(bucket), coded.dictionary], names=["bucket", "word"]), [("bucket", "ascending"), ("word", "ascending")]).to_numpy()
+    rank = np.empty(len(ranked), dtype=np.int32)
+    rank[ranked] = np.arange(len(ranked), dtype=np.int32)
+    return [found[i] for i in ranked.tolist()], bucket[ranked], rank[coded.indices.to_numpy(zero_copy_only=False)]
 
 
 def pack(x: np.ndarray) -> bytes:
-    """The array's bytes, all first ones before all second ones, which compresses well."""
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    """The array's bytes, all first ones before all second ones, compressed."""
+    return zstandard.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
 
 
 def unpack(x: bytes, of: str) -> np.ndarray:
-    return np.frombuffer(x, np.uint8).reshape(np.dtype(of).itemsize, -1).T.copy().view(of).ravel()
+    return np.frombuffer(zstandard.decompress(x), np.uint8).reshape(np.dtype(of).itemsize, -1).T.copy().view(of).ravel()
 
 
 class Trie:
@@ -217,69 +266,122 @@ def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(real), kept[ends] - kept[ends - size]
 
 
-BLOCK = "block long, number int, word string, n long, doc_id long, held_out boolean, place int, text string, bucket int, grams binary, counts binary"
-_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+BLOCK = "block long, kind string, trained long, bucket int, keys binary, counts binary"
+
+
+def _filled(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about so many bytes in a text column, however small or large they come."""
+    held, has = [], 0
+    for batch in batches:
+        for part in blocks(batch, column, size):
+            held.append(part)
+            has += pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if has >= size:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, has = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def tell_blocks(docs: DataFrame, order: int, buckets: int) -> DataFrame:
     """Documents, words and grams of each block of (doc_id, held_out, text).
 
-    A document: block, doc_id, held_out, place (its number within the block) and text. A word (number
-    not null): block, number, word, n (how often the block's training documents have it). Grams (bucket
-    not null): block, bucket, grams (their codes, as differences) and counts.
+    One row of kind ``documents`` a block, with its number of training documents and all its rows packed;
+    and of kinds ``words`` and ``grams`` a row a bucket, with the distinct ones in order and how often the
+    block's training documents have each.
     """
-    fields = [x.split() for x in BLOCK.split(", ")]
 
-    def rows(count: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], _TYPES[t]) if c in columns else pa.nulls(count, _TYPES[t]) for c, t in fields], [c for c, _ in fields])
+    def rows(block: int, kind: str, bucket: list, keys: list, counts: list, trained: int | None = None) -> pa.RecordBatch:
+        n = len(keys)
+        columns = [([block] * n, pa.int64()), ([kind] * n, pa.string()), ([trained] * n, pa.int64()), (bucket, pa.int32()), (keys, pa.binary()), (counts, pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], [c.split()[0] for c in BLOCK.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
-        for batch in batches:
-            for part in blocks(batch, 2, WORDS_BYTES):
-                held = part.column(1).to_numpy(zero_copy_only=False)
-                flat, size = _split(part.column(2))
-                coded = flat.dictionary_encode()
-                which = coded.indices.to_numpy(zero_copy_only=False)
-                words = coded.dictionary.cast(pa.string())
-                n = np.bincount(which[~np.repeat(held, size)], minlength=len(words))
-                for at in range(0, part.num_rows, 2000):
-                    some = part.slice(at, 2000)
-                    m = some.num_rows
-                    yield rows(m, block=np.full(m, block), doc_id=some.column(0), held_out=some.column(1), place=np.arange(at, at + m, dtype=np.int32), text=some.column(2).cast(pa.string()))
-                for at in range(0, len(words), 50_000):
-                    m = len(words[at : at + 50_000])
-                    yield rows(m, block=np.full(m, block), number=np.arange(at, at + m, dtype=np.int32), word=words[at : at + m], n=n[at : at + m])
-                yield rows(1, block=[block], number=[len(words)], word=[END_WORD], n=[int((~held).sum())])
-                del flat, coded, which, words
-                codes, size = symbols(_raw(part.column(2)), order)
-                found, bucket, where = distinct(codes, buckets)
-                del codes
-                n = np.bincount(where[~np.repeat(held, size)], minlength=len(found)).astype("<u4")
-                del where
-                edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(found)]
-                own = [(bucket[a], pack(np.diff(found[a:b], prepend=0)), pack(n[a:b])) for a, b in itertools.pairwise(edges)]
-                which, codes, counts = zip(*own, strict=True)
-                yield rows(len(own), block=np.full(len(own), block), bucket=np.array(which, dtype=np.int32), grams=codes, counts=counts)
-                block += 1
+        for part in _filled(batches, 2, WORDS_BYTES):
+            learn = ~part.column(1).to_numpy(zero_copy_only=False)
+            told = pa.BufferOutputStream()
+            with pa.ipc.new_stream(told, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(part)
+            yield rows(block, "documents", [None], [told.getvalue().to_pybytes()], [None], int(learn.sum()))
+            flat, size = _split(part.column(2))
+            words, bucket, where = distinct_words(flat, buckets)
+            n = _times(where, np.repeat(learn, size), len(words))
+            own = [(bucket[a], zstandard.compress(b" ".join(words[a:b]), 3), pack(n[a:b])) for a, b in _runs(bucket)]
+            if own:
+                yield rows(block, "words", *map(list, zip(*own, strict=True)))
+            del flat, words, where
+            found, bucket, where, size = distinct(_raw(part.column(2)), order, buckets)
+            n = _times(where, np.repeat(learn, size), len(found))
+            del where
+            own = [(bucket[a], pack(np.diff(found[a:b], prepend=0)), pack(n[a:b])) for a, b in _runs(bucket)]
+            yield rows(block, "grams", *map(list, zip(*own, strict=True)))
+            block += 1
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, BLOCK)
 
 
-def gram_lengths(told: DataFrame, trie: Trie, order: int) -> DataFrame:
-    """log10 probabilities (32-bit floats) of each block's grams of a bucket: of, bucket, lengths."""
-    shared = told.sparkSession.sparkContext.broadcast(trie)
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    return list(itertools.pairwise([0, *(np.flatnonzero(np.diff(x)) + 1).tolist(), len(x)])) if len(x) else []
+
+
+VALUES = "of long, kind string, bucket int, values binary"
+
+
+def _values(of: pa.ChunkedArray, kind: str, bucket: pa.ChunkedArray, each: list[np.ndarray], **more: list) -> pa.Table:
+    n = len(each)
+    return pa.table({"of": of, "kind": pa.array([kind] * n, pa.string()), "bucket": bucket, "values": pa.array([pack(x) for x in each], pa.binary())} | more)
+
+
+def word_counts(told: DataFrame) -> DataFrame:
+    """Corpus-wide counts (64-bit) of each block's words of a bucket; and a row a bucket, ``of`` null, with their sum and how many are over 0."""
 
     def run(rows: pa.Table) -> pa.Table:
-        each = [np.cumsum(unpack(x.as_py(), "<i8")) for x in rows["grams"]]
-        found, where = np.unique(np.concatenate(each), return_inverse=True)
-        n = np.bincount(where, np.concatenate([unpack(x.as_py(), "<u4") for x in rows["counts"]]), minlength=len(found))
-        lengths = shared.value.predict(found, n, order).astype("<f4")[where]
-        own = [pack(x) for x in np.split(lengths, np.cumsum([len(x) for x in each])[:-1])]
-        return pa.table([rows["block"], rows["bucket"], pa.array(own, pa.binary())], names=["of", "bucket", "lengths"])
+        each = [zstandard.decompress(x.as_py()).split(b" ") for x in rows["keys"]]
+        coded = pa.array([w for x in each for w in x], pa.large_binary()).dictionary_encode()
+        which = coded.indices.to_numpy()
+        c = np.bincount(which, np.concatenate([unpack(x.as_py(), "<u4") for x in rows["counts"]]), minlength=len(coded.dictionary)).astype("<i8")
+        own = np.split(c[which], np.cumsum([len(x) for x in each])[:-1])
+        none = lambda t: pa.nulls(rows.num_rows, t)
+        out = _values(rows["block"], "words", rows["bucket"], own, total=none(pa.int64()), kinds=none(pa.int64()))
+        sums = {"bucket": rows["bucket"][:1], "total": pa.array([int(c.sum())]), "kinds": pa.array([int((c > 0).sum())])}
+        return pa.concat_tables([out, pa.table({f.name: sums.get(f.name, pa.nulls(1, f.type)) for f in out.schema})])
+
+    return told.filter("kind = 'words'").groupBy("bucket").applyInArrow(run, VALUES + ", total long, kinds long")
+
+
+def gram_lengths(told: DataFrame, trie: Trie, order: int, groups: int) -> DataFrame:
+    """log10 probabilities (32-bit floats) of each block's grams of a bucket."""
+    shared = told.sparkSession.sparkContext.broadcast(trie)
+    grams = told.filter("kind = 'grams'").withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+
+    def summed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        found, where = np.unique(np.concatenate([np.cumsum(unpack(x.as_py(), "<i8")) for x in rows["keys"]]), return_inverse=True)
+        n = np.concatenate([unpack(x.as_py(), "<i8" if rows.schema.get_field_index("block") < 0 else "<u4") for x in rows["counts"]])
+        return found, np.bincount(where, n, minlength=len(found))
+
+    def of_part(rows: pa.Table) -> pa.Table:
+        found, n = summed(rows)
+        return pa.table({"bucket": rows["bucket"][:1], "keys": [pack(np.diff(found, prepend=0))], "counts": [pack(n.astype("<i8"))]})
+
+    def of_bucket(rows: pa.Table) -> pa.Table:
+        found, n = summed(rows)
+        codes = turned(found, order, back=True)
+        sort = np.argsort(codes)
+        lengths = np.empty(len(found), dtype="<f4")
+        lengths[sort] = shared.value.predict(codes[sort], n[sort], order)
+        return pa.table({"bucket": rows["bucket"][:1], "keys": [pack(np.diff(found, prepend=0))], "lengths": [pack(lengths)]})
+
+    def look_up(rows: pa.Table, model: pa.Table) -> pa.Table:
+        found, lengths = np.cumsum(unpack(model["keys"][0].as_py(), "<i8")), unpack(model["lengths"][0].as_py(), "<f4")
+        each = (np.cumsum(unpack(x.as_py(), "<i8")) for x in rows["keys"])
+        return _values(rows["block"], "grams", rows["bucket"], [lengths[np.searchsorted(found, x)] for x in each])
 
-    of_buckets = told.filter("bucket IS NOT NULL").select("block", "bucket", "grams", "counts")
-    return of_buckets.groupBy("bucket").applyInArrow(run, "of long, bucket int, lengths binary")
+    parts = grams.groupBy("bucket", "part").applyInArrow(of_part, "bucket int, keys binary, counts binary")
+    model = parts.groupBy("bucket").applyInArrow(of_bucket, "bucket int, keys binary, lengths binary")
+    copied = model.select(F.col("bucket").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "keys", "lengths")
+    return grams.select("block", "bucket", "part", "keys").groupBy("bucket", "part").cogroup(copied.groupBy("of", "group")).applyInArrow(look_up, VALUES)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -291,41 +393,36 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     Both learn from the documents whose id has another checksum remainder than ``held``; ``order``
     is the longest context's number of bytes, from 2 to 6. A null text is an empty one, of which the end
     is left; a null id counts as an empty text. Without training documents all counts are 0. Case of
-    ASCII letters makes no difference.
+    ASCII letters makes no difference. A text is one row of a block, however long.
     """
     if not 2 <= order <= 6:
         raise ValueError(f"order {order}: from 2 to 6")
     d = docs.select(F.col(key).cast("long").alias("doc_id"), (fold(F.col(key), modulus) == held).alias("held_out"), F.col(text).cast("string").alias("text"))
     trie = train(d)
-    buckets = BUCKETS + int(trie.counts.sum()) // BUCKET_BYTES
+    trained = int(trie.counts.sum())
+    buckets, groups = BUCKETS + trained // BUCKET_BYTES, 1 + trained // (WORDS_BYTES * GROUP_BLOCKS)
     told = materialize(tell_blocks(d, order, buckets), "blocks")
-    of_blocks = told.filter("number IS NOT NULL").select("block", "number", "word", "n")
-    counts = of_blocks.groupBy("word").agg(F.sum("n").alias("c"))
-    counts = materialize(counts, "counts")
-    known = of_blocks.join(counts, "word").select(F.col("block").alias("of"), F.col("number").alias("at"), "c")
-    known = known.unionByName(gram_lengths(told, trie, order), allowMissingColumns=True)
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    counted = materialize(word_counts(told), "counts")
+    known = counted.filter("of IS NOT NULL").drop("total", "kinds").unionByName(gram_lengths(told, trie, order, groups))
+    total, kinds = (x or 0 for x in counted.agg(F.sum("total"), F.sum("kinds")).first())
+    ends = told.agg(F.sum("trained")).first()[0] or 0
+    total, kinds = total + ends, kinds + (ends > 0)
     rest = np.log10(total + 0.5 * (kinds + 1))
 
     def run(documents: pa.Table, known: pa.Table) -> pa.Table:
-        documents = documents.sort_by("place")
-        texts = documents["text"].combine_chunks()
-        words, grams = known.filter(pc.is_valid(known["at"])), known.filter(pc.is_valid(known["bucket"])).sort_by("bucket")
-        c = np.zeros(words.num_rows, dtype=np.int64)  # the end's number is the last one
-        c[words["at"].to_numpy()] = words["c"].to_numpy()
-        length, seen = np.log10(c + 0.5) - rest, (c > 0).astype(np.int64)
+        part = pa.ipc.open_stream(documents["keys"][0].as_buffer()).read_next_batch()
+        texts, known = part.column(2), known.sort_by("bucket")
+        of = lambda kind, t: np.concatenate([np.empty(0, t), *(unpack(x.as_py(), t) for x in known.filter(pc.equal(known["kind"], kind))["values"])])
         flat, size = _split(texts)
-        which = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False)  # as tell_blocks numbered them
-        edges = np.concatenate(([0], np.cumsum(size)))
-        sums, hits = (np.concatenate((x[which], np.zeros_like(x[-1:]))) for x in (length, seen))  # so that the last slice may be empty
-        of = lambda x: np.where(size > 0, np.add.reduceat(x, edges[:-1]), 0)
-        lengths = np.concatenate([unpack(x.as_py(), "<f4") for x in grams["lengths"]])
-        codes, symbols_of = symbols(_raw(texts), order)
-        each = lengths[distinct(codes, buckets)[2]].astype(np.float64)
-        scores = np.add.reduceat(each, np.cumsum(symbols_of) - symbols_of)
-        out = [documents["doc_id"], documents["held_out"], *(pa.chunked_array([pa.array(x, t)]) for x, t in ((size + 1, pa.int64()), (of(hits) + seen[-1], pa.int64()), (of(sums) + length[-1], pa.float64()), (scores, pa.float64())))]
+        c = of("words", "<i8")[distinct_words(flat, buckets)[2]]  # in the order of tell_blocks
+        edges = np.cumsum(size) - size
+        sums, hits = (np.where(size > 0, np.add.reduceat(np.append(x, 0), edges), 0) for x in (np.log10(c + 0.5) - rest, (c > 0).astype(np.int64)))
+        del flat, c
+        _, _, where, grams_of = distinct(_raw(texts), order, buckets)
+        scores = np.add.reduceat(of("grams", "<f4")[where], np.cumsum(grams_of) - grams_of, dtype=np.float64)
+        out = [part.column(0), part.column(1), *(pa.array(x, t) for x, t in ((size + 1, pa.int64()), (hits + int(ends > 0), pa.int64()), (sums + np.log10(ends + 0.5) - rest, pa.float64()), (scores, pa.float64())))]
         return pa.table(out, names=[x.split()[0] for x in SCORES.split(", ")])
 
-    documents = told.filter("place IS NOT NULL").select("block", "doc_id", "held_out", "place", "text")
+    documents = told.filter("kind = 'documents'").select("block", "keys")
     scored = documents.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(run, SCORES)
     return scored.withColumn("train_tokens", F.lit(int(total)).cast("long"))
