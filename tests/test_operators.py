@@ -142,7 +142,7 @@ def test_findings_as_json(spark):
     line = json.loads(f.select(formats.json_line(f)).first()[0])
     assert line["ts_secs"] == 1 and line["ts_nanos"] == 500_000_000 and line["observations"] == {"a": "1", "b": '"'} and line["metrics"].get("x") is None and line["metrics"]["y"] == 2.0
     assert json.loads(f.select(formats.finding_record(f)).first()[0])["severity_id"] == 4
-    assert detect.tagged(detect.finding(spark.createDataFrame([(1, "k")], "ts_us long, k string"), "port_scan", "error", "k")).first().observations == {"attack.technique": "T1046"}
+    assert detect.tagged(detect.finding(spark.createDataFrame([(1, "k")], "ts_us long, k string"), "port_scan", "error", "k")).first().observations == {"attack_technique": "T1046"}
 
 
 def _frame(src: int, dst: int, sport: int, dport: int, payload: bytes) -> bytes:

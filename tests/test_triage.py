@@ -23,7 +23,7 @@ def test_flows(spark):
 def test_messages(spark):
     e = spark.createDataFrame([(1, 5, "accepted", "a"), (2, 5, "rejected", "b"), (3, 5, "grease", "c"), (4, 5, None, None)], "ts_us long, src_ip4 long, ech string, sni string")
     assert {(r.ts_us, r.severity) for r in triage.hidden_names(e).collect()} == {(1, "info"), (2, "warning")}
-    i = spark.createDataFrame([(1, 5, "redirect"), (2, 5, "time_exceeded")], "ts_us long, src_ip4 long, icmp_kind string")
+    i = spark.createDataFrame([(1, 5, "net_unreachable"), (2, 5, "time_exceeded")], "ts_us long, src_ip4 long, icmp_kind string")
     assert {(r.ts_us, r.severity) for r in triage.icmp_errors(i).collect()} == {(1, "warning"), (2, "info")}
     p = spark.createDataFrame([(t, t, 5, 2 if t < 6 else 16) for t in range(10)], "seq long, ts_us long, src_ip4 long, tcp_flags int")
     assert [(r.key, r.metrics["count"], r.severity) for r in triage.floods(p, 5, 20, 10).collect()] == [("5", 6.0, "critical")]

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 #: IANA protocol numbers.
 PROTOCOLS = {1: "icmp", 6: "tcp", 17: "udp", 58: "icmp6", 132: "sctp"}
 #: Host names of public resolvers that speak DNS over HTTPS.
-DOH_HOSTS = ("cloudflare-dns.com", "dns.google", "dns.quad9.net", "doh.opendns.com", "dns.adguard.com", "doh.cleanbrowsing.org", "dns.nextdns.io", "mozilla.cloudflare-dns.com")
+DOH_HOSTS = (
+    "cloudflare-dns.com", "mozilla.cloudflare-dns.com", "one.one.one.one", "dns.google", "dns.google.com", "dns.quad9.net",
+    "doh.opendns.com", "dns.adguard.com", "dns.adguard-dns.com", "doh.cleanbrowsing.org", "dns.nextdns.io", "doh.mullvad.net",
+)
 #: Fixed value: the key of the published Toeplitz test vectors for receive-side scaling.
 RSS_KEY = bytes.fromhex("6d5a56da255b0ec24167253d43a38fb0d0ca2bcbae7b30b477cb2da38030f20c6a42b73bbeac01fa")
 
@@ -96,9 +99,45 @@ def flow_class(reason: Column) -> Column:
 
 
 def icmp_kind(type_: Column, code: Column) -> Column:
-    """Slug of an ICMPv4 error; null for other messages."""
+    """Slug of an ICMPv4 error; null for other messages, redirects among them."""
     unreachable = F.when(code == 0, "net_unreachable").when(code == 1, "host_unreachable").when(code == 3, "port_unreachable").when(code == 4, "fragmentation_needed").when(code.isin(9, 10, 13), "admin_prohibited").otherwise("unreachable")
-    return F.when(type_ == 3, unreachable).when(type_ == 11, "time_exceeded").when(type_ == 12, "parameter_problem").when(type_ == 5, "redirect")
+    return F.when(type_ == 3, unreachable).when(type_ == 11, "time_exceeded").when(type_ == 12, "parameter_problem")
+
+
+def icmp6_kind(type_: Column, code: Column) -> Column:
+    """Slug of an ICMPv6 error; null for other messages."""
+    unreachable = F.when(code == 0, "net_unreachable").when(code == 3, "host_unreachable").when(code == 4, "port_unreachable").when(code.isin(1, 5, 6), "admin_prohibited").otherwise("unreachable")
+    return F.when(type_ == 1, unreachable).when(type_ == 2, "fragmentation_needed").when(type_ == 3, "time_exceeded").when(type_ == 4, "parameter_problem")
+
+
+def ip6_bytes(text: Column) -> Column:
+    """The 16 bytes of an IPv6 address in any of its spellings, a dotted tail included; null if text is none."""
+    tail = F.regexp_extract(text, r":([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
+    four = F.lpad(F.hex(ip4_number(tail)), 8, "0")
+    plain = F.when(tail == "", text).otherwise(F.concat(F.regexp_replace(text, r"[0-9.]+$", ""), F.substring(four, 1, 4), F.lit(":"), F.substring(four, 5, 4)))
+    halves = F.split(plain, "::", -1)
+    groups = lambda half: F.transform(F.filter(F.split(half, ":"), lambda g: g != ""), lambda g: F.lpad(g, 4, "0"))
+    head, rest = groups(F.get(halves, 0)), F.coalesce(groups(F.get(halves, 1)), F.array().cast("array<string>"))
+    zeros = F.array_repeat(F.lit("0000"), F.lit(8) - F.size(head) - F.size(rest))
+    whole = F.array_join(F.concat(head, zeros, rest), "")
+    good = plain.rlike(r"^[0-9A-Fa-f:]+$") & ~plain.rlike(r":::|[0-9A-Fa-f]{5}|^:[^:]|[^:]:$") & F.when(F.size(halves) == 2, F.size(head) + F.size(rest) < 8).otherwise((F.size(halves) == 1) & (F.size(head) == 8))
+    return F.when(good & (F.length(whole) == 32), F.unhex(whole))
+
+
+def ip6_text(ip6: Column) -> Column:
+    """An IPv6 address of 16 bytes in its canonical spelling: lower case, the first longest run of zero groups shortened."""
+    plain = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.lower(F.hex(F.substring(ip6, i * 2 + 1, F.lit(2)))), "^0{1,3}", "")), ":")
+    short = plain
+    for n in range(2, 9):  # the longest run is the last to win
+        run = ":".join("0" * n)
+        short = F.when(plain.rlike(rf"(^|:){run}(:|$)"), F.regexp_replace(F.concat(F.regexp_extract(plain, rf"^(.*?)(?:^|:){run}(?=:|$)", 1), F.lit("::"), F.regexp_extract(plain, rf"^.*?(?:^|:){run}(?::|$)(.*)$", 1)), ":::", "::")).otherwise(short)
+    return F.when(F.length(ip6) == 16, short)
+
+
+def in_cidr6(ip6: Column, net: str) -> Column:
+    """Whether an address of 16 bytes lies in an IPv6 net; host bits of the net are masked."""
+    n = ipaddress.IPv6Network(net, strict=False)
+    return ip6.between(F.lit(n.network_address.packed), F.lit(n.broadcast_address.packed))
 
 
 def unit_interval(h: Column) -> Column:

@@ -7,12 +7,14 @@ of rows are emitted where one match per row is asked for.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import net
+from . import folds
 
 #: Tables of up to so many rows are broadcast when joined as a dimension; larger ones are shuffled.
 BROADCAST_ROWS = 100_000
@@ -39,47 +41,70 @@ def latest(rows: DataFrame, updates: DataFrame, keys: list[str], value: str, ttl
     return out.select("row_.*", F.col("at.value_").alias(value), F.col("at.ts_us").alias(f"{value}_us"))
 
 
-def _spread(b: DataFrame, keys: list[str], ttl_us: int, more: list[str]) -> DataFrame:
-    stretch = F.floor(F.col("ts_us") / (ttl_us + 1))
-    return b.select(*keys, F.col("ts_us").alias("b_us"), *more, F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
-
-
 def not_followed(a: DataFrame, b: DataFrame, keys: list[str], ttl_us: int) -> DataFrame:
     """Rows of a whose key has no row of b later than it by at most the time to live.
 
-    Only b's first and last row of each key and stretch can matter to rows of an earlier or the
-    same stretch, but within one stretch any may; b is thinned to distinct times first.
+    Both go by once from the latest time on, each row of a with the time of b last met; b is thinned to distinct times first.
     """
-    left = a.withColumn("stretch", F.floor(F.col("ts_us") / (ttl_us + 1)))
-    later = _spread(b.select(*keys, "ts_us").distinct(), keys, ttl_us, []).alias("b")
-    same = [F.col(f"l.{k}") == F.col(f"b.{k}") for k in [*keys, "stretch"]]
-    return left.alias("l").join(later, [*same, F.col("b.b_us") > F.col("l.ts_us"), F.col("b.b_us") <= F.col("l.ts_us") + ttl_us], "left_anti").drop("stretch")
+    stretch = F.floor(F.col("ts_us") / (ttl_us + 1))
+    left = a.select(*keys, "ts_us", stretch.alias("stretch"), F.lit(0).alias("tag"), F.struct(*a.columns).alias("row_"))
+    right = b.select(*keys, "ts_us").distinct().select(*keys, "ts_us", F.explode(F.array(stretch, stretch - 1)).alias("stretch"), F.lit(1).alias("tag"), F.col("ts_us").alias("b_us"))
+    w = Window.partitionBy(*keys, "stretch").orderBy(F.desc("ts_us"), "tag").rowsBetween(Window.unboundedPreceding, 0)
+    met = left.unionByName(right, allowMissingColumns=True).withColumn("met", F.last("b_us", ignorenulls=True).over(w)).filter("tag = 0")
+    return met.filter(~F.coalesce(F.col("met") - F.col("ts_us") <= ttl_us, F.lit(False))).select("row_.*")
 
 
 def paired(a: DataFrame, b: DataFrame, keys: list[str], timeout_us: int, keep: list[str]) -> DataFrame:
     """Requests a with their response: the first row of b of the key in [ts, ts + timeout] before the key's next request; else null.
 
-    A row of b answers one request only. Both sides go by in order once, in one window a key.
+    A row of b answers one request only. Both sides go by in order once, by key and stretch of the timeout, with
+    copies of the stretch after it: the next row can lie there.
     """
     first = a.select(*keys, "ts_us", F.lit(0).alias("tag"), F.struct(*a.columns).alias("row_"), F.lit(None).cast("struct<" + ",".join(f"{c}:{b.schema[c].dataType.simpleString()}" for c in ["ts_us", *keep]) + ">").alias("answer_"))
     second = b.select(*keys, "ts_us", F.lit(1).alias("tag"), F.lit(None).cast(first.schema["row_"].dataType).alias("row_"), F.struct("ts_us", *keep).alias("answer_"))
-    w = Window.partitionBy(*keys).orderBy("ts_us", "tag", F.col("row_").isNull(), F.hash("row_", "answer_"))
-    both = first.unionByName(second).withColumns({"next_tag": F.lead("tag").over(w), "next_": F.lead("answer_").over(w)})
+    own = F.floor(F.col("ts_us") / (timeout_us + 1))
+    both = first.unionByName(second).withColumn("own_", own).withColumn("stretch_", F.explode(F.array("own_", F.col("own_") - 1)))
+    w = Window.partitionBy(*keys, "stretch_").orderBy("ts_us", "tag", F.col("row_").isNull(), F.hash("row_", "answer_"))
+    both = both.withColumns({"next_tag": F.lead("tag").over(w), "next_": F.lead("answer_").over(w)})
     got = F.when((F.col("next_tag") == 1) & (F.col("next_.ts_us") - F.col("ts_us") <= timeout_us), F.col("next_"))
-    out = both.filter("tag = 0").withColumn("got", got)
+    out = both.filter("tag = 0 AND stretch_ = own_").withColumn("got", got)
     return out.select("row_.*", (F.col("got.ts_us") - F.col("row_.ts_us")).alias("rtt_us"), *(F.col(f"got.{c}").alias(f"answer_{c}") for c in keep))
 
 
-def within(rows: DataFrame, periods: DataFrame, keys: list[str], start: str, end: str, keep: list[str]) -> DataFrame:
-    """rows with the columns ``keep`` of the latest begun period of their key that holds their time; null without one."""
-    p = periods.select(*keys, F.col(start).alias("ts_us"), F.struct(end, *keep).alias("period_"))
-    kind = p.schema["period_"].dataType
-    left = rows.select(*keys, "ts_us", F.lit(1).alias("tag"), F.struct(*rows.columns).alias("row_"), F.lit(None).cast(kind).alias("period_"))
-    right = p.select(*keys, "ts_us", F.lit(0).alias("tag"), F.lit(None).cast(left.schema["row_"].dataType).alias("row_"), "period_")
-    w = Window.partitionBy(*keys).orderBy("ts_us", "tag").rowsBetween(Window.unboundedPreceding, 0)
-    at = left.unionByName(right).withColumn("at", F.last("period_", ignorenulls=True).over(w)).filter("tag = 1")
-    inside = F.col("ts_us") <= F.col(f"at.{end}")
-    return at.select("row_.*", *(F.when(inside, F.col(f"at.{c}")).alias(c) for c in keep))
+def _uppermost(state: list, at: int, opens: bool, begin: int, number: int) -> tuple[list, tuple]:
+    """A step over the bounds of periods: the latest begun of those open, in order of begin and number."""
+    if opens:
+        bisect.insort(state, (begin, number))
+    else:
+        state.remove((begin, number))
+    return state, (state[-1][1] if state else None,)
+
+
+def within(rows: DataFrame, periods: DataFrame, keys: list[str], start: str, end: str, keep: list[str], stretch_us: int = 86_400_000_000) -> DataFrame:
+    """rows with the columns ``keep`` of the latest begun period of their key that holds their time, ends included; null without one.
+
+    Of periods begun at once any may be the latest, but the same for all rows; those that end before they begin hold nothing.
+    The bounds of a key's periods, in order, say where which one is uppermost: a table of segments, in which rows look up
+    the last one begun. Segments are copied to each stretch of time that they touch, so the rows of a hot key are split.
+    """
+    p = periods.filter(F.col(end) >= F.col(start)).select(*keys, F.col(start).cast("long").alias("begin_"), F.col(end).cast("long").alias("end_"), F.struct(*keep).alias("kept_"))
+    p = p.withColumn("number_", F.xxhash64("end_", "kept_"))
+    bound = lambda at, opens: F.struct(at.alias("at_"), F.lit(opens).alias("opens_"))
+    bounds = p.withColumn("bound_", F.explode(F.array(bound(F.col("begin_"), True), bound(F.col("end_") + 1, False)))).select(*keys, "bound_.*", "begin_", "number_")
+    top = folds.fold(bounds, keys, ["at_", "opens_", "begin_", "number_"], ["at_", "opens_", "begin_", "number_"], list, _uppermost, {"top_": "long"})
+    by_time = Window.partitionBy(*keys).orderBy("at_")
+    # of bounds at one time the last in the fold's order tells what is uppermost then
+    segments = top.groupBy(*keys, "at_").agg(F.max_by("top_", F.struct("opens_", "begin_", "number_")).alias("top_"))
+    segments = segments.withColumn("until_", F.lead("at_").over(by_time) - 1).filter("top_ IS NOT NULL")
+    stretch = lambda c: F.floor(F.col(c) / stretch_us)
+    segments = segments.join(p.dropDuplicates([*keys, "number_"]).select(*keys, F.col("number_").alias("top_"), "kept_"), [*keys, "top_"])
+    seen = segments.withColumn("stretch", F.explode(F.sequence(stretch("at_"), stretch("until_"))))
+    left = rows.select(*keys, "ts_us", F.struct(*rows.columns).alias("row_"), stretch("ts_us").alias("stretch"), F.lit(1).alias("tag"))
+    right = seen.select(*keys, F.col("at_").alias("ts_us"), "stretch", F.lit(0).alias("tag"), F.struct("until_", "kept_").alias("period_"))
+    w = Window.partitionBy(*keys, "stretch").orderBy("ts_us", "tag").rowsBetween(Window.unboundedPreceding, 0)
+    at = left.unionByName(right, allowMissingColumns=True).withColumn("at", F.last("period_", ignorenulls=True).over(w)).filter("tag = 1")
+    inside = F.col("ts_us") <= F.col("at.until_")
+    return at.select("row_.*", *(F.when(inside, F.col(f"at.kept_.{c}")).alias(c) for c in keep))
 
 
 def indicator_hosts(rows: DataFrame, name: str, indicators: DataFrame) -> DataFrame:

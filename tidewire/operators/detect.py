@@ -243,5 +243,5 @@ TECHNIQUES = {"port_scan": "T1046", "beacon": "T1071", "dga": "T1568.002", "dns_
 
 def tagged(findings: DataFrame) -> DataFrame:
     technique = F.try_element_at(F.create_map(*(F.lit(x) for kv in TECHNIQUES.items() for x in kv)), F.col("kind"))
-    added = F.map_concat("observations", F.when(technique.isNotNull(), F.create_map(F.lit("attack.technique"), technique)).otherwise(F.create_map().cast("map<string,string>")))
+    added = F.map_concat("observations", F.when(technique.isNotNull(), F.create_map(F.lit("attack_technique"), technique)).otherwise(F.create_map().cast("map<string,string>")))
     return findings.withColumn("observations", added)

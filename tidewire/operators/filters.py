@@ -8,6 +8,7 @@ plain globs reach the scan as pushed filters.
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -85,11 +86,17 @@ def ports(numbers: Iterable[int], side: str = "any") -> Predicate:
 
 
 def host(address: str, side: str = "any") -> Predicate:
+    """An IPv4 address over ``*_ip4``, or an IPv6 one over ``*_ip6``."""
+    if ":" in address:
+        six = ipaddress.IPv6Address(address).packed
+        return _sides(side, lambda s: F.col(f"{s}_ip6") == F.lit(six), f"host {address}")
     low, _ = net.cidr_range(address)
     return _sides(side, lambda s: F.col(f"{s}_ip4") == low, f"host {address}")
 
 
 def network(cidr: str, side: str = "any") -> Predicate:
+    if ":" in cidr:
+        return _sides(side, lambda s: net.in_cidr6(F.col(f"{s}_ip6"), cidr), f"net {cidr}")
     return _sides(side, lambda s: net.in_cidr(F.col(f"{s}_ip4"), cidr), f"net {cidr}")
 
 

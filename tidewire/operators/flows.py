@@ -19,11 +19,25 @@ OTHER_IDLE_US = 30_000_000
 FIN, SYN, RST, ACK = 1, 2, 4, 16
 
 
-def with_key(packets: DataFrame) -> DataFrame:
-    """packets with the canonical 5-tuple (a before b) and ``forward``: sent by a."""
-    forward = (F.col("src_ip4") < F.col("dst_ip4")) | ((F.col("src_ip4") == F.col("dst_ip4")) & (F.col("src_port") <= F.col("dst_port")))
+def key_of(table: DataFrame) -> list[str]:
+    """The columns of a flow's key: with a_ip6 and b_ip6 where the packets or flows have IPv6 addresses."""
+    six = {"src_ip6", "a_ip6"} & set(table.columns)
+    return [*KEY, "a_ip6", "b_ip6"] if six else KEY
+
+
+def with_key(packets: DataFrame, directional: bool = False) -> DataFrame:
+    """Packets of known ends with their 5-tuple and ``forward``: sent by a. The lesser end is a; ``directional``: always the sender.
+
+    An end is an IPv4 address as a number (``*_ip4``) or, where there are such columns, an IPv6 address of
+    16 bytes (``*_ip6``), and a port or null. Packets without an address at either end belong to no flow.
+    """
+    some = [f"ip{n}" for n in (4, 6) if f"src_ip{n}" in packets.columns]
+    order = lambda x: F.struct(*(F.coalesce(F.col(f"{x}_{c}"), F.lit(b"" if c == "ip6" else -1)) for c in (*some, "port")))
+    forward = F.lit(True) if directional else order("src") <= order("dst")
     pick = lambda yes, no: F.when(forward, F.col(yes)).otherwise(F.col(no))
-    return packets.withColumns({"a_ip4": pick("src_ip4", "dst_ip4"), "a_port": pick("src_port", "dst_port"), "b_ip4": pick("dst_ip4", "src_ip4"), "b_port": pick("dst_port", "src_port"), "forward": forward})
+    ends = {f"{end}_{c}": pick(f"{yes}_{c}", f"{no}_{c}") for end, yes, no in (("a", "src", "dst"), ("b", "dst", "src")) for c in (*some, "port")}
+    known = lambda x: F.coalesce(*(F.col(f"{x}_{c}").cast("string") for c in some)).isNotNull()
+    return packets.filter(known("src") & known("dst")).withColumns(ends | {"forward": forward})
 
 
 def idle_time(proto: Column, idle_us: dict[int, int] | None = None, other_us: int = OTHER_IDLE_US) -> Column:
@@ -57,29 +71,59 @@ def _partial(packets: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(*(make().alias(n) for n, make in _SUMS.items()))
 
 
-def flows(packets: DataFrame, idle: Column | None = None) -> DataFrame:
+def _numbered(p: DataFrame) -> DataFrame:
+    """Sums of packets (with key, idle_us) by key and stretch of idle time, with the number ``nth`` of the flow that the stretch is in."""
+    key = key_of(p)
+    stretch = _partial(p.withColumn("stretch", F.floor(F.col("ts_us") / F.col("idle_us"))), [*key, "idle_us", "stretch"])
+    w = Window.partitionBy(*key).orderBy("stretch")
+    new = F.coalesce(F.col("start_us") - F.lag("end_us").over(w) > F.col("idle_us"), F.lit(True))
+    return stretch.withColumn("nth", F.sum(new.cast("int")).over(w))
+
+
+def _by_flags(p: DataFrame) -> DataFrame:
+    """Packets with the number of their flow where flags end flows."""
+    w = Window.partitionBy(*key_of(p)).orderBy("ts_us", "seq")
+    closed = F.lag(F.col("tcp_flags").bitwiseAND(F.lit(FIN | RST)) != 0).over(w)
+    new = F.coalesce(closed | (F.col("ts_us") - F.lag("ts_us").over(w) > F.col("idle_us")), F.lit(True))
+    return p.withColumn("nth", F.sum(new.cast("int")).over(w))
+
+
+def _idle(packets: DataFrame, idle: Column | None, directional: bool = False) -> DataFrame:
+    return with_key(packets, directional).withColumn("idle_us", (idle_time(F.col("proto")) if idle is None else idle).cast("long"))
+
+
+def flows(packets: DataFrame, idle: Column | None = None, directional: bool = False) -> DataFrame:
     """One row a flow of (seq, ts_us, proto, src_*, dst_*, len), ended by idle time, and by FIN or RST where there is ``tcp_flags``.
 
+    ``directional``: each way is a flow of its own.
+
     Idle time alone: packets of a key within one stretch of idle time are one flow whatever else,
     so they are summed by key and stretch first, and only these sums are put in order. A hot key
     is thus split before any shuffle. With flags, a packet after a FIN or RST begins a new flow,
     which needs the key's packets themselves in order.
     """
-    p = with_key(packets)
-    p = p.withColumn("idle_us", idle_time(F.col("proto")) if idle is None else idle)
-    by_time = Window.partitionBy(*KEY)
+    p = _idle(packets, idle, directional)
+    key = key_of(p)
+    if "tcp_flags" in packets.columns:
+        return _finished(_partial(_by_flags(p), [*key, "nth"]))
+    return _finished(_numbered(p).groupBy(*key, "nth").agg(*(make().alias(n) for n, make in _SUMS.items())))
+
+
+def tracked(packets: DataFrame, idle: Column | None = None) -> DataFrame:
+    """Packets with their key and the ``start_us`` and ``end_us`` of their flow.
+
+    Without flags a packet meets the one row of its key's stretch, so nothing multiplies and a hot key is split.
+    """
+    p = _idle(packets, idle)
+    key = key_of(p)
     if "tcp_flags" in packets.columns:
-        w = by_time.orderBy("ts_us", "seq")
-        closed = F.lag(F.col("tcp_flags").bitwiseAND(F.lit(FIN | RST)) != 0).over(w)
-        new = F.coalesce(closed | (F.col("ts_us") - F.lag("ts_us").over(w) > F.col("idle_us")), F.lit(True))
-        parts = _partial(p.withColumn("nth", F.sum(new.cast("int")).over(w)), [*KEY, "nth"])
-    else:
-        stretch = _partial(p.withColumn("stretch", F.floor(F.col("ts_us") / F.col("idle_us"))), [*KEY, "idle_us", "stretch"])
-        w = by_time.orderBy("stretch")
-        new = F.coalesce(F.col("start_us") - F.lag("end_us").over(w) > F.col("idle_us"), F.lit(True))
-        numbered = stretch.withColumn("nth", F.sum(new.cast("int")).over(w))
-        parts = numbered.groupBy(*KEY, "nth").agg(*(make().alias(n) for n, make in _SUMS.items()))
-    return _finished(parts)
+        w = Window.partitionBy(*key, "nth")
+        return _by_flags(p).withColumns({"start_us": F.min("ts_us").over(w), "end_us": F.max("ts_us").over(w)}).drop("idle_us", "nth")
+    w = Window.partitionBy(*key, "nth")
+    spans = _numbered(p).select(*key, "stretch", F.min("start_us").over(w).alias("start_us"), F.max("end_us").over(w).alias("end_us"))
+    p = p.withColumn("stretch", F.floor(F.col("ts_us") / F.col("idle_us")))
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*key, "stretch"]]
+    return p.alias("p").join(spans.alias("s"), same).select(*(F.col(f"p.{c}") for c in p.columns if c not in ("stretch", "idle_us")), "s.start_us", "s.end_us")
 
 
 def _finished(parts: DataFrame) -> DataFrame:
@@ -88,7 +132,7 @@ def _finished(parts: DataFrame) -> DataFrame:
     seconds = (F.col("end_us") - F.col("start_us")) / 1e6
     total = F.col("bytes_a") + F.col("bytes_b")
     return parts.select(
-        *KEY, "start_us", "end_us", "nth", a.alias("a_initiated"),
+        *key_of(parts), "start_us", "end_us", "nth", a.alias("a_initiated"),
         side("packets", True).alias("packets_initiator"), side("packets", False).alias("packets_responder"),
         side("bytes", True).alias("bytes_initiator"), side("bytes", False).alias("bytes_responder"),
         F.when(F.col("flags").bitwiseAND(F.lit(RST)) != 0, "rst").when(F.col("flags").bitwiseAND(F.lit(FIN)) != 0, "fin").otherwise("idle").alias("reason"),
@@ -97,25 +141,24 @@ def _finished(parts: DataFrame) -> DataFrame:
 
 
 def records(f: DataFrame) -> DataFrame:
-    """Flows as export records: endpoints as text, community id, reason."""
+    """IPv4 flows as export records: endpoints as text, community id, reason."""
     ids = net.community_id(F.col("proto"), F.col("a_ip4"), F.col("a_port"), F.col("b_ip4"), F.col("b_port"))
     return f.withColumns({"a_ip": net.ip4_text(F.col("a_ip4")), "b_ip": net.ip4_text(F.col("b_ip4")), "community_id": ids})
 
 
-def interim(packets: DataFrame, f: DataFrame, period_us: int) -> DataFrame:
+def interim(packets: DataFrame, period_us: int, idle: Column | None = None) -> DataFrame:
     """Cumulative packets and bytes of each flow at every multiple of a period of its life, reason null: what an active timeout exports.
 
     Packets are summed by flow and period before they are put in order.
     """
-    keys = [F.col(f"p.{k}") == F.col(f"f.{k}") for k in KEY]
-    inside = [F.col("p.ts_us") >= F.col("f.start_us"), F.col("p.ts_us") <= F.col("f.end_us")]
-    both = with_key(packets).alias("p").join(f.alias("f"), [*keys, *inside])
-    parts = both.groupBy(*(F.col(f"f.{k}") for k in KEY), "start_us", "end_us", F.floor((F.col("ts_us") - F.col("start_us")) / period_us).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("b"))
-    run = Window.partitionBy(*KEY, "start_us").orderBy("k")
+    p = tracked(packets, idle)
+    key = key_of(p)
+    parts = p.groupBy(*key, "start_us", "end_us", F.floor((F.col("ts_us") - F.col("start_us")) / period_us).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("b"))
+    run = Window.partitionBy(*key, "start_us").orderBy("k")
     parts = parts.withColumns({"packets": F.sum("n").over(run), "bytes": F.sum("b").over(run), "until": F.lead("k").over(run)})
     last = F.floor((F.col("end_us") - F.col("start_us")) / period_us) - 1
     ticks = parts.withColumn("until", F.coalesce(F.col("until") - 1, last)).filter("until >= k").withColumn("tick", F.explode(F.sequence("k", "until")))
-    return ticks.select(*KEY, "start_us", (F.col("start_us") + (F.col("tick") + 1) * period_us).alias("at_us"), "packets", "bytes", F.lit(None).cast("string").alias("reason"))
+    return ticks.select(*key, "start_us", (F.col("start_us") + (F.col("tick") + 1) * period_us).alias("at_us"), "packets", "bytes", F.lit(None).cast("string").alias("reason"))
 
 
 def lifecycle(f: DataFrame) -> DataFrame:

@@ -53,6 +53,20 @@ def ewma(rows: DataFrame, keys: list[str], order: list[str], value: str, alpha:
     return fold(rows, keys, order, [value], lambda: None, step, {"ewma": "double"})
 
 
+def ewma_var(rows: DataFrame, keys: list[str], order: list[str], value: str, alpha: float) -> DataFrame:
+    """rows with ``ewma`` and ``ewma_var``, the exponentially weighted variance about it: (1 - alpha) (var + alpha (x - mean)^2)."""
+
+    def step(state, x):
+        if state is None:
+            return (float(x), 0.0), (float(x), 0.0)
+        mean, var = state
+        d = x - mean
+        mean, var = mean + alpha * d, (1 - alpha) * (var + alpha * d * d)
+        return (mean, var), (mean, var)
+
+    return fold(rows, keys, order, [value], lambda: None, step, {"ewma": "double", "ewma_var": "double"})
+
+
 def token_bucket(rows: DataFrame, keys: list[str], order: list[str], ts_us: str, rate: float, burst: float) -> DataFrame:
     """rows with ``delay_us``, the wait until a token is there, and ``tokens`` left after taking one (below 0: owed)."""
 

@@ -65,15 +65,41 @@ def owner_bandwidth(packets: DataFrame, owners: DataFrame, on: str, owner: str,
     return by.withColumn("unknown_share", net.ratio(F.coalesce(F.sum(F.when(F.col(owner).isNull(), F.col("bytes"))).over(w), F.lit(0)), F.sum("bytes").over(w)))
 
 
-def red(rows: DataFrame, by: list[str], is_error: Column, duration: str, period_us: int) -> DataFrame:
-    """Rate, errors and durations by group and period: requests, errors, error_ratio (at most 1), p50, p95, p99 (exact, linear)."""
+def red(rows: DataFrame, by: list[str], is_error: Column, duration: str, period_us: int, accuracy: int | None = None) -> DataFrame:
+    """Rate, errors and durations by group and period: requests, errors, error_ratio (at most 1), p50, p95, p99.
+
+    Quantiles are exact and linear, which holds each distinct duration of a group; with an ``accuracy`` they come from
+    mergeable sketches of bounded size, off by at most 1 / accuracy in rank.
+    """
+    quantile = (lambda q: F.percentile(duration, q)) if accuracy is None else (lambda q: F.percentile_approx(duration, q, accuracy))
     r = rows.withColumn("error_", F.coalesce(is_error, F.lit(False)).cast("long"))
     out = r.groupBy(*by, bucket("ts_us", period_us).alias("period")).agg(
-        F.count(F.lit(1)).alias("requests"), F.sum("error_").alias("errors"), *(F.percentile(duration, q / 100).alias(f"p{q}") for q in (50, 95, 99))
+        F.count(F.lit(1)).alias("requests"), F.sum("error_").alias("errors"), *(quantile(q / 100).alias(f"p{q}") for q in (50, 95, 99))
     )
     return out.withColumns({"rate": F.col("requests") / F.lit(period_us / 1e6), "error_ratio": F.least(F.lit(1.0), net.ratio(F.col("errors"), F.col("requests")))})
 
 
+def red_flows(flows: DataFrame, by: list[str], period_us: int, accuracy: int | None = None) -> DataFrame:
+    """Rate, errors and durations of ended flows: those ended by a reset are the errors, their length in seconds the duration."""
+    f = flows.withColumns({"ts_us": F.col("end_us"), "seconds": (F.col("end_us") - F.col("start_us")) / F.lit(1e6)})
+    return red(f, by, F.col("reason") == "rst", "seconds", period_us, accuracy)
+
+
+def red_answers(pairs: DataFrame, by: list[str], failed: Column, period_us: int, accuracy: int | None = None) -> DataFrame:
+    """The same of requests with their answers (``correlate.paired``): unanswered or failed ones are the errors, rtt_us the duration."""
+    return red(pairs.withColumn("seconds", F.col("rtt_us") / F.lit(1e6)), by, F.col("rtt_us").isNull() | failed, "seconds", period_us, accuracy)
+
+
+def drop_breakdown(telemetry: DataFrame, causes: list[str]) -> DataFrame:
+    """Cumulative counters of drops by cause as one row a source and cause: ``dropped`` in all, and its ``share`` of the source's drops."""
+    w = Window.partitionBy("source_idx").orderBy("ts_us")
+    delta = lambda c: F.when(F.col(c) >= F.lag(c).over(w), F.col(c) - F.lag(c).over(w)).otherwise(F.col(c))
+    sums = telemetry.withColumns({c: delta(c) for c in causes}).groupBy("source_idx").agg(*(F.sum(c).alias(c) for c in causes))
+    whole = sum((F.coalesce(F.col(c), F.lit(0)) for c in causes), F.lit(0))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("cause"), F.coalesce(F.col(c), F.lit(0)).alias("dropped"), net.ratio(F.col(c), whole).alias("share")) for c in causes)))
+    return sums.select("source_idx", each.alias("x")).select("source_idx", "x.*")
+
+
 def first_seen(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count(F.lit(1)).alias("n"))
 

@@ -50,7 +50,7 @@ def resets(flows: DataFrame, key: str = "a_ip4") -> DataFrame:
 
 def icmp_errors(messages: DataFrame) -> DataFrame:
     """ICMP errors by what they say: a blocked or missing path is a warning, the rest information."""
-    bad = F.col("icmp_kind").isin("admin_prohibited", "fragmentation_needed", "net_unreachable", "redirect")
+    bad = F.col("icmp_kind").isin("admin_prohibited", "fragmentation_needed", "net_unreachable")
     return detect.finding(messages, "icmp_error", F.when(bad, "warning").otherwise("info"), "src_ip4", {"kind": F.col("icmp_kind")})
 
 

@@ -61,8 +61,10 @@ SELECT event, proto, ts_us // {_D} AS day, count(*) AS n, count(*) FILTER (WHERE
     "flow_conn_log": f"""WITH {_FLOWS} SELECT start_us / 1e6 AS ts, CASE WHEN a_initiated THEN {_ip("a_ip4")} ELSE {_ip("b_ip4")} END AS orig_h, CASE WHEN a_initiated THEN a_port ELSE b_port END AS orig_p,
 CASE WHEN a_initiated THEN {_ip("b_ip4")} ELSE {_ip("a_ip4")} END AS resp_h, CASE WHEN a_initiated THEN b_port ELSE a_port END AS resp_p, CASE proto WHEN 6 THEN 'tcp' ELSE 'udp' END AS proto,
 (end_us - start_us) / 1e6 AS duration, bytes_initiator AS orig_bytes, bytes_responder AS resp_bytes, CASE WHEN packets_responder > 0 THEN 'S1' ELSE 'S0' END AS conn_state FROM f""",
-    "flow_export_records": f"""WITH {_FLOWS} SELECT start_us AS "flowStartMicroseconds", end_us AS "flowEndMicroseconds", proto AS "protocolIdentifier", a_ip4 AS "sourceIPv4Address", a_port AS "sourceTransportPort",
-b_ip4 AS "destinationIPv4Address", b_port AS "destinationTransportPort", packets_initiator AS "packetDeltaCount", bytes_initiator AS "octetDeltaCount", 1::BIGINT AS "flowEndReason" FROM f""",
+    "flow_export_records": f"""WITH {_FLOWS}, c AS (SELECT *, '1:' || base64(unhex(sha1(unhex('0000' || printf('%08x', a_ip4) || printf('%08x', b_ip4) || printf('%02x', proto) || '00' || printf('%04x', a_port) || printf('%04x', b_port))))) AS x FROM f)
+SELECT start_us AS flowStartMicroseconds, end_us AS flowEndMicroseconds, proto AS protocolIdentifier, CASE WHEN a_initiated THEN a_ip4 ELSE b_ip4 END AS sourceIPv4Address, CASE WHEN a_initiated THEN a_port ELSE b_port END AS sourceTransportPort,
+CASE WHEN a_initiated THEN b_ip4 ELSE a_ip4 END AS destinationIPv4Address, CASE WHEN a_initiated THEN b_port ELSE a_port END AS destinationTransportPort, packets_initiator AS initiatorPackets, bytes_initiator AS initiatorOctets,
+packets_responder AS responderPackets, bytes_responder AS responderOctets, packets_initiator + packets_responder AS packetTotalCount, bytes_initiator + bytes_responder AS octetTotalCount, reason AS originalEndReason, x AS communityId, 1::BIGINT AS flowEndReason FROM c""",
     "flow_features": f"""WITH {P}, g AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY src_ip4, dst_ip4 ORDER BY ts_us, seq) AS gap FROM p)
 SELECT src_ip4, dst_ip4, count(*) AS packets, sum(len)::BIGINT AS bytes, max(ts_us) - min(ts_us) AS duration_us,
 round(avg(len), 1) AS len_mean, round(stddev_pop(len), 1) AS len_std, min(len)::DOUBLE AS len_min, max(len)::DOUBLE AS len_max,
@@ -108,8 +110,8 @@ SELECT a.*, CASE WHEN a.ts_us - b.ts_us <= {12 * _H} THEN b.size END AS size, CA
     "transactions": f"""WITH {P}, u AS (SELECT seq, src_ip4, ts_us, len, CASE WHEN kind = 'view' THEN 1 ELSE 0 END AS tag FROM p WHERE kind IN ('click', 'view')),
 x AS (SELECT *, lead(tag) OVER w AS tag_, lead(ts_us) OVER w AS ts_, lead(len) OVER w AS len_ FROM u WINDOW w AS (PARTITION BY src_ip4 ORDER BY ts_us, tag))
 SELECT seq, src_ip4, ts_us, CASE WHEN tag_ = 1 AND ts_ - ts_us <= {12 * _H} THEN ts_ - ts_us END AS rtt_us, CASE WHEN tag_ = 1 AND ts_ - ts_us <= {12 * _H} THEN len_ END AS answer_len FROM x WHERE tag = 0""",
-    "errors_within_periods": f"""WITH {P}, a AS (SELECT seq, src_ip4, ts_us FROM p WHERE kind = 'error'), b AS (SELECT src_ip4, ts_us AS from_us, seq AS period_seq FROM p WHERE kind = 'signup')
-SELECT a.*, CASE WHEN a.ts_us <= from_us + {_D} THEN period_seq END AS period_seq FROM a ASOF LEFT JOIN b ON a.src_ip4 = b.src_ip4 AND a.ts_us >= b.from_us""",
+    "errors_within_periods": f"""WITH {P}, a AS (SELECT seq, src_ip4, ts_us FROM p WHERE kind = 'error'), b AS (SELECT src_ip4, ts_us AS from_us, ts_us + CASE WHEN seq % 3 = 0 THEN {5 * _D} ELSE {6 * _H} END AS to_us, seq AS period_seq FROM p WHERE kind = 'signup')
+SELECT a.seq, a.src_ip4, a.ts_us, arg_max(period_seq, from_us) AS period_seq FROM a LEFT JOIN b ON a.src_ip4 = b.src_ip4 AND a.ts_us BETWEEN from_us AND to_us GROUP BY ALL""",
     "sequence_pattern": f"""WITH {P}, l AS (SELECT *, left(kind, 1) AS c, lag(left(kind, 1)) OVER w AS c1, lag(left(kind, 1), 2) OVER w AS c2, ts_us - lag(ts_us, 2) OVER w AS took_us FROM p WINDOW w AS (PARTITION BY src_ip4 ORDER BY ts_us, seq))
 SELECT src_ip4, seq, ts_us, took_us FROM l WHERE c2 = 'v' AND c1 = 'c' AND c = 'p' AND took_us <= {2 * _D}""",
     "indicator_hosts": f"""WITH {WEB}, i(domain, reputation) AS (VALUES ('cheap-pills.example.com', 90::BIGINT), ('example.net', 20), ('blog.tionsh.example.net', 70))
@@ -160,7 +162,7 @@ UNION ALL SELECT m.*, CASE WHEN m.ts_us - l.begin >= {_D} THEN m.ts_us ELSE l.be
 SELECT kind, key, ts_us, severity, sev_rank FROM l WHERE c <= 5""",
     "finding_lines": f"""WITH {_FINDINGS} SELECT kind, key, ts_us,
 '{{"severity":"' || severity || '","kind":"' || kind || '","ts_secs":' || (ts_us // 1000000) || ',"ts_nanos":' || (ts_us % 1000000 * 1000) || ',"key":"' || key || '","observations":{{"dst":"' || dst_port || '","note":"a \\"b\\" ]"}},"metrics":{{"len":' || len::DOUBLE || '}}}}' AS line,
-'<' || (128 + CASE severity WHEN 'info' THEN 6 WHEN 'warning' THEN 4 WHEN 'error' THEN 3 ELSE 2 END) || '>1 ' || {_ISO} || ' - tidewire - ' || kind || ' [finding@32473 key="' || key || '" dst="' || dst_port || '" note="a \\"b\\" \\]"]' AS syslog,
+'<' || (128 + CASE severity WHEN 'info' THEN 6 WHEN 'warning' THEN 4 WHEN 'error' THEN 3 ELSE 2 END) || '>1 ' || {_ISO} || ' - tidewire - ' || kind || ' [finding@32473 key="' || key || '" dst="' || dst_port || '" note="a \\"b\\" \\]" len="' || len::DOUBLE || '"]' AS syslog,
 '{{"timestamp":"' || {_ISO} || '","event_type":"anomaly","key":"' || key || '","anomaly":{{"app_proto":"custom","type":"applayer","event":"' || kind || '","severity":' || (4 - sev_rank) || '}}}}' AS eve FROM a""",
     "finding_records": f"""WITH {_FINDINGS} SELECT '{{"category_uid":2,"class_uid":2004,"activity_id":1,"type_uid":200401,"time":' || (ts_us // 1000) || ',"severity_id":' || CASE severity WHEN 'info' THEN 1 WHEN 'warning' THEN 3 WHEN 'error' THEN 4 ELSE 5 END ||
 ',"finding_info":{{"title":"' || kind || '","uid":"' || kind || '|' || key || '|' || ts_us || '"}},"unmapped":{{"key":"' || key || '","observations":{{"dst":"' || dst_port || '","note":"a \\"b\\" ]"}},"metrics":{{"len":' || len::DOUBLE || '}}}}}}' AS record FROM a""",

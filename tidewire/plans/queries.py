@@ -48,7 +48,7 @@ def flow_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def flow_interim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.interim(*_flows(spark, sf_dir), HOUR).drop("reason")
+    return flows.interim(two_way(packets(spark, sf_dir)), HOUR, F.lit(6 * HOUR)).drop("reason")
 
 
 @query
@@ -199,7 +199,8 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def errors_within_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = packets(spark, sf_dir)
-    periods = p.filter("kind = 'signup'").select("src_ip4", F.col("ts_us").alias("from_us"), (F.col("ts_us") + DAY).alias("to_us"), F.col("seq").alias("period_seq"))
+    length = F.when(F.col("seq") % 3 == 0, 5 * DAY).otherwise(F.lit(6 * HOUR))  # so that long ones hold short ones
+    periods = p.filter("kind = 'signup'").select("src_ip4", F.col("ts_us").alias("from_us"), (F.col("ts_us") + length).alias("to_us"), F.col("seq").alias("period_seq"))
     return correlate.within(p.filter("kind = 'error'").select("seq", "src_ip4", "ts_us"), periods, ["src_ip4"], "from_us", "to_us", ["period_seq"])
 
 

@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 #: File magics, as read little-endian, with the byte order and the nanoseconds a tick.
 MAGICS = {0xA1B2C3D4: ("<", 1000), 0xD4C3B2A1: (">", 1000), 0xA1B23C4D: ("<", 1), 0x4D3CB2A1: (">", 1)}
 SECTION, INTERFACE, PACKET = 0x0A0D0D0A, 1, 6
+#: IPv6 extension headers that the next header follows: hop-by-hop and destination options, routing.
+OPTIONS = (0, 43, 60)
 ROWS = 4096
 
-SCHEMA = "source string, seq long, ts_ns long, cap_len long, len long, src_mac string, dst_mac string, ethertype int, vlan_id int, proto int, src_ip string, dst_ip string, src_ip4 long, dst_ip4 long, src_port int, dst_port int, tcp_flags int, tcp_seq long, ident int, frag_offset int, more_fragments boolean, payload binary"
+SCHEMA = "source string, seq long, ts_ns long, cap_len long, len long, src_mac string, dst_mac string, ethertype int, vlan_id int, proto int, src_ip string, dst_ip string, src_ip4 long, dst_ip4 long, src_ip6 binary, dst_ip6 binary, src_port int, dst_port int, tcp_flags int, tcp_seq long, ident int, frag_offset int, more_fragments boolean, payload binary"
 _TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
 _FIELDS = [tuple(f.split()) for f in SCHEMA.split(", ")]
 
@@ -96,9 +98,11 @@ def decode(frame: bytes) -> dict:
         out |= {"src_ip4": a, "dst_ip4": b, "src_ip": str(ipaddress.IPv4Address(a)), "dst_ip": str(ipaddress.IPv4Address(b))}
         frame, at = frame[: at + total] if total else frame, at + (head & 15) * 4
     elif kind == 0x86DD and len(frame) >= at + 40:
-        out["proto"] = frame[at + 6]
-        out |= {"src_ip": str(ipaddress.IPv6Address(frame[at + 8 : at + 24])), "dst_ip": str(ipaddress.IPv6Address(frame[at + 24 : at + 40]))}
-        at += 40
+        out["proto"], ends = frame[at + 6], (frame[at + 8 : at + 24], frame[at + 24 : at + 40])
+        out |= {f"{x}_{c}": v for x, e in zip(("src", "dst"), ends, strict=True) for c, v in (("ip", str(ipaddress.IPv6Address(e))), ("ip6", e))}
+        frame, at = frame[: at + 40 + size] if (size := struct.unpack_from(">H", frame, at + 4)[0]) else frame, at + 40
+        while out["proto"] in OPTIONS and len(frame) >= at + 8:
+            out["proto"], at = frame[at], at + 8 + 8 * frame[at + 1]
     else:
         return out | {"payload": frame[at:]}
     if first and out["proto"] in (6, 17) and len(frame) >= at + 8:
@@ -111,23 +115,35 @@ def decode(frame: bytes) -> dict:
     return out | {"payload": frame[at:]}
 
 
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _TYPES[t]) for n, t in _FIELDS], [n for n, _ in _FIELDS])
+
+
+def decoded(rows: DataFrame) -> DataFrame:
+    """Packets of a table of frames (source, seq, ts_ns, data), such as a message queue delivers them; also of a stream. A null frame has no fields."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _batch([{"source": s, "seq": n, "ts_ns": t, "cap_len": len(data or b""), "len": len(data or b"")} | decode(data or b"") for s, n, t, data in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
+
+    return rows.select("source", "seq", "ts_ns", "data").mapInArrow(run, SCHEMA).withColumn("ts_us", F.floor(F.col("ts_ns") / 1000))
+
+
 def read(spark: SparkSession, *paths: str) -> DataFrame:
     """Packets of all capture files under the paths; ts_us is ts_ns in whole microseconds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(rows: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _TYPES[t]) for n, t in _FIELDS], [n for n, _ in _FIELDS])
-
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = []
                 for seq, (ts, whole, frame) in enumerate(frames(content.as_py() or b"")):
                     rows.append({"source": path, "seq": seq, "ts_ns": ts, "cap_len": len(frame), "len": whole} | decode(frame))
                     if len(rows) == ROWS:
-                        yield made(rows)
+                        yield _batch(rows)
                         rows = []
                 if rows:
-                    yield made(rows)
+                    yield _batch(rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "content")
     return files.mapInArrow(run, SCHEMA).withColumn("ts_us", F.floor(F.col("ts_ns") / 1000))

@@ -6,10 +6,11 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import net
+from ..operators import correlate, flows
 
 
 def number(c: Column, at: int, size: int) -> Column:
@@ -18,7 +19,7 @@ def number(c: Column, at: int, size: int) -> Column:
 
 
 def icmp(packets: DataFrame) -> DataFrame:
-    """ICMPv4 errors with their slug and the 5-tuple of the packet that they are about."""
+    """ICMPv4 errors with their slug and the 5-tuple of the packet that they are about; ``about_flows`` finds its flow."""
     p = packets.filter("proto = 1").filter(F.length("payload") >= 8)
     body = F.col("payload")
     inner = F.substring(body, 9, 1 << 16)
@@ -29,6 +30,17 @@ def icmp(packets: DataFrame) -> DataFrame:
     return out.withColumns({"about_proto": number(inner, 9, 1), "about_src_ip4": number(inner, 12, 4), "about_dst_ip4": number(inner, 16, 4), "about_src_port": port(1), "about_dst_port": port(3)})
 
 
+def about_flows(errors: DataFrame, flows_: DataFrame, grace_us: int, keep: list[str]) -> DataFrame:
+    """ICMP errors (ts_us, about_*) with the columns ``keep`` of the flow that they are about: the latest begun one of its key
+    that had not ended more than ``grace_us`` before; null without one."""
+    about = {f"{x}_{c}": F.col(f"about_{x}_{c}") for x in ("src", "dst") for c in ("ip4", "port")} | {"proto": F.col("about_proto")}
+    named = errors.select("*").withColumn("error_", F.struct(*errors.columns)).select("error_", "ts_us", *(c.alias(n) for n, c in about.items()))
+    keyed = flows.with_key(named).select("error_", "ts_us", *flows.KEY)
+    periods = flows_.select(*flows.KEY, "start_us", (F.col("end_us") + grace_us).alias("until_us"), *(F.col(c).alias(f"flow_{c}") for c in keep))
+    found = correlate.within(keyed, periods, flows.KEY, "start_us", "until_us", [f"flow_{c}" for c in keep])
+    return found.select("error_.*", *(f"flow_{c}" for c in keep))
+
+
 def neighbour_adverts(packets: DataFrame) -> DataFrame:
     """IPv6 neighbour advertisements with a link-layer address: target, mac, and the solicited and override flags."""
     body = F.col("payload")
@@ -76,8 +88,39 @@ def client_hello(data: bytes) -> dict | None:
         return None
 
 
+#: A record header and the largest record: what the start of a stream is looked at for a hello.
+HELLO_BYTES = 5 + (1 << 14)
+
+
+def stream_heads(packets: DataFrame, by: list[str], most: int = HELLO_BYTES) -> DataFrame:
+    """The first bytes of each TCP stream (by, tcp_seq, ts_us, seq, payload): by, ts_us, payload, at most ``most`` bytes up to the first gap.
+
+    Segments may come in any order, twice, or overlap; sequence numbers may wrap round. A ``tcp_seq`` is placed relative to
+    the stream's first packet. Only segments that begin within the first ``most`` bytes are put in order.
+    """
+    w = Window.partitionBy(*by)
+    p = packets.filter("proto = 6").filter(F.length("payload") > 0).select(*by, "tcp_seq", "ts_us", "seq", "payload")
+    refs = p.groupBy(*by).agg(F.min_by("tcp_seq", F.struct("ts_us", "seq")).alias("ref_"), F.min("ts_us").alias("begin_"))
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
+    half = 1 << 31
+    p = p.alias("p").join(refs.alias("r"), same).select("p.*", "begin_", (F.pmod(F.col("tcp_seq") - F.col("ref_") + half, F.lit(2 * half)) - half).alias("place_"))
+    p = p.withColumn("offset", F.col("place_") - F.min("place_").over(w)).filter(F.col("offset") < most)
+    parts = flows.ordered_payload(p, by)
+    parts = parts.withColumn("lost_", F.sum("gap").over(w.orderBy("offset", "seq").rowsBetween(Window.unboundedPreceding, 0))).filter("lost_ = 0")
+    gathered = parts.groupBy(*by).agg(F.min("begin_").alias("ts_us"), F.array_sort(F.collect_list(F.struct("offset", "seq", "fresh"))).alias("parts_"))
+    return gathered.select(*by, "ts_us", F.substring(F.aggregate("parts_", F.lit(b""), lambda a, x: F.concat(a, x["fresh"])), 1, most).alias("payload"))
+
+
+def tls_streams(packets: DataFrame, by: list[str]) -> DataFrame:
+    """Client hellos of TCP streams, however many segments they came in: by, ts_us and the columns of ``tls``."""
+    return tls(stream_heads(packets, by).withColumn("proto", F.lit(6))).drop("proto", "payload")
+
+
 def tls(packets: DataFrame) -> DataFrame:
-    """Client hellos of (seq, ts_us, ..., payload): server name, first application protocol, and the JA3 fingerprint."""
+    """Client hellos that lie whole in one payload of (proto, payload, ...): server name, first application protocol, and the JA3 fingerprint.
+
+    Hellos in several segments are read by ``tls_streams``.
+    """
     some = packets.filter("proto = 6").filter((number(F.col("payload"), 0, 1) == 22) & (number(F.col("payload"), 5, 1) == 1))
     names = [f.split()[0] for f in _HELLO.split(", ")]
     kinds = [pa.string(), pa.string(), pa.int32(), *[pa.list_(pa.int32())] * 4]

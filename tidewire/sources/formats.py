@@ -12,7 +12,12 @@ FINDING_SEVERITY = {"info": 1, "warning": 3, "error": 4, "critical": 5}
 SYSLOG_SEVERITY = {"info": 6, "warning": 4, "error": 3, "critical": 2}
 EVE_SEVERITY = {"info": 4, "warning": 3, "error": 2, "critical": 1}
 #: Information elements of flow export by our column.
-EXPORT_NAMES = {"start_us": "flowStartMicroseconds", "end_us": "flowEndMicroseconds", "proto": "protocolIdentifier", "a_ip4": "sourceIPv4Address", "a_port": "sourceTransportPort", "b_ip4": "destinationIPv4Address", "b_port": "destinationTransportPort", "packets_initiator": "packetDeltaCount", "bytes_initiator": "octetDeltaCount"}
+EXPORT_NAMES = {
+    "start_us": "flowStartMicroseconds", "end_us": "flowEndMicroseconds", "proto": "protocolIdentifier",
+    "src_ip4": "sourceIPv4Address", "src_port": "sourceTransportPort", "dst_ip4": "destinationIPv4Address", "dst_port": "destinationTransportPort",
+    "packets_initiator": "initiatorPackets", "bytes_initiator": "initiatorOctets", "packets_responder": "responderPackets", "bytes_responder": "responderOctets",
+    "packets": "packetTotalCount", "bytes": "octetTotalCount", "reason": "originalEndReason", "community_id": "communityId",
+}
 END_REASONS = {"idle": 1, "active": 2, "fin": 3, "rst": 3, "forced": 4, "resources": 5}
 
 
@@ -65,10 +70,10 @@ def finding_record(f: DataFrame) -> Column:
 
 
 def syslog(f: DataFrame, facility: int = 16, host: str = "-", app: str = "tidewire") -> Column:
-    """An RFC 5424 line, with key and metrics as structured data."""
+    """An RFC 5424 line, with key, observations and metrics as structured data."""
     quoted = lambda c: F.regexp_replace(c, r'(["\\\]])', r"\\$1")
     field = lambda e: F.concat(e["key"], F.lit('="'), quoted(e["value"].cast("string")), F.lit('"'))
-    more = F.transform(F.array_sort(F.map_entries("observations")), field)
+    more = F.concat(F.transform(F.array_sort(F.map_entries("observations")), field), F.transform(F.array_sort(F.map_entries("metrics")), field))
     data = F.concat(F.lit('[finding@32473 key="'), quoted(F.coalesce("key", F.lit(""))), F.lit('"'), F.array_join(F.transform(more, lambda x: F.concat(F.lit(" "), x)), ""), F.lit("]"))
     return F.concat(F.lit("<"), (_code(F.col("severity"), SYSLOG_SEVERITY) + facility * 8).cast("string"), F.lit(">1 "), iso_time(F.col("ts_us")), F.lit(f" {host} {app} - "), F.col("kind"), F.lit(" "), data)
 
@@ -84,9 +89,12 @@ def metric_values(f: DataFrame) -> DataFrame:
 
 
 def export_records(f: DataFrame) -> DataFrame:
-    """Flows under the names of the flow export standard, with its codes for why they ended."""
-    named = [F.col(c).alias(n) for c, n in EXPORT_NAMES.items()]
-    return f.select(*named, F.coalesce(_code(F.col("reason"), END_REASONS), F.lit(2)).cast("long").alias("flowEndReason"))
+    """IPv4 flows under the names of the flow export standard, its initiator as the source, with the standard's code for why it ended and the reason itself."""
+    own = F.col("a_initiated")
+    ends = {f"{to}_{c}": F.when(own, F.col(f"{yes}_{c}")).otherwise(F.col(f"{no}_{c}")) for to, yes, no in (("src", "a", "b"), ("dst", "b", "a")) for c in ("ip4", "port")}
+    totals = {c: F.col(f"{c}_initiator") + F.col(f"{c}_responder") for c in ("packets", "bytes")}
+    f = f.withColumns(ends | totals | {"community_id": net.community_id(F.col("proto"), F.col("a_ip4"), F.col("a_port"), F.col("b_ip4"), F.col("b_port"))})
+    return f.select(*(F.col(c).alias(n) for c, n in EXPORT_NAMES.items()), F.coalesce(_code(F.col("reason"), END_REASONS), F.lit(2)).cast("long").alias("flowEndReason"))
 
 
 def conn_log(f: DataFrame) -> DataFrame:
