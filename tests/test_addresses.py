@@ -39,8 +39,8 @@ def test_ip6_flows_stay_apart(spark):
 def test_ip6_frames(spark):
     udp = (1000).to_bytes(2, "big") + (53).to_bytes(2, "big") + b"\0\x0a\0\0hi"
     frame = bytes(12) + b"\x86\xdd" + b"\x60\0\0\0" + (8 + len(udp)).to_bytes(2, "big") + b"\0\x40" + SIX[0] + SIX[1] + bytes([17, 0]) + bytes(6) + udp + b"padding"
-    r = capture.decoded(spark.createDataFrame([("x", 1, 2000, bytearray(frame)), ("x", 2, 3000, None)], "source string, seq long, ts_ns long, data binary")).orderBy("seq").collect()
-    assert (r[0].proto, r[0].src_port, r[0].dst_port, bytes(r[0].payload), bytes(r[0].src_ip6), r[0].dst_ip, r[0].ts_us) == (17, 1000, 53, b"hi", SIX[0], "2001:db8::2", 2)
+    r = capture.decoded(spark.createDataFrame([("x", 1, 1_704_740_155_369_872_000, bytearray(frame)), ("x", 2, 3000, None)], "source string, seq long, ts_ns long, data binary")).orderBy("seq").collect()
+    assert (r[0].proto, r[0].src_port, r[0].dst_port, bytes(r[0].payload), bytes(r[0].src_ip6), r[0].dst_ip, r[0].ts_us) == (17, 1000, 53, b"hi", SIX[0], "2001:db8::2", 1_704_740_155_369_872)
     assert r[1].proto is None and r[1].cap_len == 0
 
 

@@ -127,7 +127,7 @@ def decoded(rows: DataFrame) -> DataFrame:
             if batch.num_rows:
                 yield _batch([{"source": s, "seq": n, "ts_ns": t, "cap_len": len(data or b""), "len": len(data or b"")} | decode(data or b"") for s, n, t, data in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
 
-    return rows.select("source", "seq", "ts_ns", "data").mapInArrow(run, SCHEMA).withColumn("ts_us", F.floor(F.col("ts_ns") / 1000))
+    return rows.select("source", "seq", "ts_ns", "data").mapInArrow(run, SCHEMA).withColumn("ts_us", F.expr("(ts_ns - pmod(ts_ns, 1000)) DIV 1000"))
 
 
 def read(spark: SparkSession, *paths: str) -> DataFrame:
@@ -146,7 +146,7 @@ def read(spark: SparkSession, *paths: str) -> DataFrame:
                     yield _batch(rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "content")
-    return files.mapInArrow(run, SCHEMA).withColumn("ts_us", F.floor(F.col("ts_ns") / 1000))
+    return files.mapInArrow(run, SCHEMA).withColumn("ts_us", F.expr("(ts_ns - pmod(ts_ns, 1000)) DIV 1000"))
 
 
 def file_bytes(packets: DataFrame, per_file: int = 100_000, snap: int = 262_144) -> DataFrame:
