@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from tidewire.llm import ann
 
 
@@ -44,3 +45,16 @@ def test_empty(spark):
 def test_pruning_keeps_diverse_edges():
     g = ann.Graph(np.array([[0, 0], [1, 0], [1.1, 0], [1.2, 0], [0, 1], [-1, 0]]))
     assert set(g.prune(0, np.arange(6)).tolist()) == {1, 4, 5}
+
+
+def test_magnitudes(spark):
+    """Vectors of any finite magnitude, and clusters far from the origin, find all candidates in the order of double precision."""
+    rng = np.random.default_rng(3)
+    for scale, offset in ((1e20, 0), (1e-30, 0), (1, 1e7), (3e38, 0)):
+        x = (rng.standard_normal((60, 8)).clip(-1, 1) * scale + offset).astype(np.float32)
+        rows = [(i, [float(y) for y in v]) for i, v in enumerate(x)] + [(100, [1e30] * 8), (200, [1.0] * 8)]
+        got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 100, 10).collect()
+        every = {i: np.array(v, dtype=np.float32).astype(np.float64) for i, v in rows}
+        for q in (0, 100, 200):
+            want = sorted((float(np.sqrt(((v - every[q]) ** 2).sum())), i) for i, v in every.items() if i != q)[:10]
+            assert [(r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(pytest.approx(s, rel=1e-12, abs=0), i) for s, i in want], (scale, q)

@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one a shard.
 
-Vectors are dealt to shards by hash. In a shard, points enter the graph in batches of doubling
+Vectors are dealt to shards by hash, and by magnitude in steps of 2 ** 20. In a shard, points enter the graph in batches of doubling
 size: a greedy beam search from the entry point proposes what it visits as neighbours, and
 robust pruning keeps, nearest first, those that no kept one is closer to by a factor: few
 edges, in all directions. Each kept edge is also proposed in reverse. A query's beam search
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Edges a point, width of the beam when building and when searching, relaxation of pruning.
-DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 24, 40, 80, 1.2
+DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 24, 40, 160, 1.2
 #: Points a shard, queries a block.
 SHARD_ROWS, QUERY_BLOCK = 8192, 1024
 BATCH = 256
@@ -30,11 +30,23 @@ SALTS = 32
 
 
 class Graph:
+    """Distances are told in units of the farthest component from the centre, so that neither large nor small or offset vectors lose them in 32 bits."""
+
     def __init__(self, points: np.ndarray, edges: np.ndarray | None = None, entry: int = 0):
-        self.points = np.ascontiguousarray(points, dtype=np.float32)
+        points = np.asarray(points, dtype=np.float64)
+        self.scale = float(np.abs(points).max(initial=0)) or 1.0
+        self.centre = (points / self.scale).mean(axis=0)
+        self.unit = float(np.abs(points / self.scale - self.centre).max(initial=0)) or 1.0
+        self.points = self.placed(points)
         self.edges = np.full((len(points), DEGREE), -1, dtype=np.int32) if edges is None else edges
         self.entry = entry
 
+    def placed(self, vectors: np.ndarray) -> np.ndarray:
+        """Vectors about the centre, in units; one too far away for its square to be told is moved in along its direction."""
+        x = (vectors / self.scale - self.centre) / self.unit
+        far = np.abs(x).max(axis=1, keepdims=True, initial=0)
+        return np.ascontiguousarray(np.where(far > 1e6, x / np.maximum(far, 1) * 1e6, x), dtype=np.float32)
+
     def _distances(self, queries: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Squared distances of each query to its row of ids; infinite where an id is missing."""
         d = self.points[ids] - queries[:, None, :]
@@ -43,7 +55,7 @@ class Graph:
         return out
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The beam of each query, nearest first (-1: none), and the points that each step expanded."""
+        """The beam of each of placed queries, nearest first (-1: none), and the points that each step expanded."""
         n = len(queries)
         ids = np.full((n, beam), -1, dtype=np.int32)
         near = np.full((n, beam), np.inf, dtype=np.float32)
@@ -131,7 +143,9 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> Dat
     salted = vectors.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).alias("salt")).agg(some(F.collect_set("vec_id")).alias("ids"))
     points = materialize(salted.groupBy("v").agg(some(F.flatten(F.collect_list("ids"))).alias("ids")), "points")
     shards = max(1, math.ceil(points.count() / shard_rows))
-    points = points.withColumn("dim", F.size("v").cast("long")).withColumn("shard", F.col("dim") * (1 << 32) + F.pmod(F.xxhash64("v"), F.lit(shards)))
+    # vectors of very different magnitudes would lose each other's distances in one graph
+    level = F.floor((F.log2(F.array_max(F.transform("v", F.abs))) + 10) / 20) + 64
+    points = points.withColumn("dim", F.size("v").cast("long")).withColumn("shard", F.col("dim") * (1 << 32) + level * (1 << 20) + F.pmod(F.xxhash64("v"), F.lit(shards)))
 
     def build(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -162,7 +176,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM
                 x = np.frombuffer(points, "<f8").reshape(-1, dim)
                 q = np.array(batch.column(6)[row].as_py(), dtype=np.float64)
                 g = Graph(x, np.frombuffer(edges, "<i4").reshape(-1, DEGREE), entry)
-                beams, _ = g.search(q.astype(np.float32), beam)
+                beams, _ = g.search(g.placed(q), beam)
                 out: list[tuple] = []
                 for one, v, found in zip(query_ids, q, beams, strict=True):
                     found = found[found >= 0]
@@ -181,7 +195,8 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM
 def neighbours(table: DataFrame, modulus: int, k: int, key: str = "vec_id", vector: str = "embedding", beam: int = SEARCH_BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Rows whose id the modulus divides, each with its k nearest other rows (fewer if there are no more).
 
-    Rows with a null id or an unusable vector take no part; vectors of other lengths never meet.
+    Rows with a null id or an unusable vector take no part; vectors of other lengths never meet. Components may have any
+    finite magnitude, as far as squares of double precision go.
     Rows alike in id and vector count once; of an id's several vectors the least one asks. Ties
     go to the smaller id. No usable row gives no result.
     """
