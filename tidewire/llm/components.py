@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -13,7 +13,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Alternating large and small stars: each node hands its neighbours on to the least node it
     knows of, until every component is one star. Edges never multiply, rounds grow with the
-    logarithm of the size, and every round is written, so that a lost executor costs one round.
+    logarithm of the size, and every round is written, so that a lost executor costs one round;
+    the rounds before it are deleted.
     """
     # u > v in every edge
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -29,4 +30,5 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = materialize(large, name)
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
         small = large.join(least, F.col("u") == F.col("n")).select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))))
-        e = materialize(small.filter("u <> v").distinct(), name)
+        old, e = e, materialize(small.filter("u <> v").distinct(), name)
+        discard(old, lower, large)

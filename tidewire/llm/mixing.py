@@ -121,6 +121,8 @@ def mix_documents(docs: DataFrame, most: int = MOST) -> DataFrame:
     """docs as mixed: each row as often as the mix takes it, with docs' own columns only."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     rows = rows.select("row", *(F.col(f"row.{c}").alias(c) for c in ("doc_id", "source", "text")))
-    per_source, level, n = thresholds(materialize(keyed(rows.drop("row")).drop("text"), "sizes"), most)
-    taken = _with(keyed(rows), per_source, n).withColumn("copies", copies(level, most)).filter("copies > 0")
+    # written once with the rows, so that the thresholds and the filter see the same hashes whatever the plan
+    sized = materialize(keyed(rows).drop("doc_id", "text"), "sizes")
+    per_source, level, n = thresholds(sized.drop("row"), most)
+    taken = _with(sized, per_source, n).withColumn("copies", copies(level, most)).filter("copies > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
