@@ -38,6 +38,8 @@ MOST_HASHES = 128
 BUCKET_CHUNK, CLUSTER_CHUNK = 1024, 96
 #: Standard deviations below the threshold at which a signature still counts as possibly similar.
 SLACK = 5
+#: Parts of a component when its nodes are joined with what is known of it.
+SALTS = 32
 BLOCK_BYTES = 4 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -143,6 +145,13 @@ def _dealt(rows: DataFrame, group: str, count: str, chunk: int) -> DataFrame:
     return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", count).repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
 
 
+def _by_component(nodes: DataFrame, told: DataFrame) -> DataFrame:
+    """nodes (node, component) with what is told of their component; a component with many nodes is split by a salt, of which ``told`` has a copy each."""
+    salted = nodes.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    copies = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["component", "salt"]).drop("salt")
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Tables of whole groups: rows alike in the first ``keys`` long columns are never cut apart."""
     held: list[pa.RecordBatch] = []
@@ -277,9 +286,9 @@ def classes_of(d: DataFrame, n: int, threshold: float, recall: float) -> tuple[D
     inside = members.join(crowded, "bucket").join(classes.select("id", "small"), "id")
     dealt = _dealt(inside.select("bucket", "id", "small", "m"), "bucket", "m", BUCKET_CHUNK)
     maybe = dealt.select("bucket", F.col("i").cast("long"), F.col("j").cast("long"), "id", "small").mapInArrow(_maybe_similar(bands, rows, threshold), "a long, b long")
-    clusters = components(maybe, "clusters").withColumnRenamed("node", "id")
+    clusters = components(maybe, "clusters")
     sized = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    wanted = materialize(clusters.join(sized, "component").join(classes.select("id", "key", "copies"), "id"), "wanted")
+    wanted = materialize(_by_component(clusters, sized).withColumnRenamed("node", "id").join(classes.select("id", "key", "copies"), "id"), "wanted")
 
     # the texts move at every size of the input, so that the plan at a small one says what a large one costs
     texts = keyed(d, n).join(wanted.select("key").hint("merge"), "key", "left_semi").dropDuplicates(["key"])
@@ -291,7 +300,7 @@ def classes_of(d: DataFrame, n: int, threshold: float, recall: float) -> tuple[D
     named = components(found.filter("b IS NOT NULL").select("a", "b"), "linked")
     order = F.struct(F.col("first").isNull(), "first", "id")
     lowest = named.join(classes.select("id", "first"), F.col("node") == F.col("id")).groupBy("component").agg(F.min("first").alias("least"), F.min_by("id", order).alias("keeper"))
-    linked = named.join(lowest, "component").select("node", "least", "keeper")
+    linked = _by_component(named, lowest).select("node", "least", "keeper")
     all_ = classes.join(linked, F.col("id") == F.col("node"), "left").join(links, F.col("id") == F.col("a"), "left")
     return told, all_.select("key", F.coalesce("least", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "copies", (F.coalesce("keeper", "id") == F.col("id")).alias("keep"))
 
@@ -312,7 +321,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRA
 
 
 def deduplicate(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """docs with one row of each class, that of the least doc_id, and with docs' own columns only. Rows without n-grams all stay.
+    """docs with one row of each class, that of the least doc_id, and with docs' own columns only. Rows without n-grams (null, empty or blank texts) all stay.
+
+    A row with a null id stays only where its class has no other; of repeated rows one stays.
 
     Only keys that have copies or go away are joined with the rows, and only rows with copies are grouped.
     """
