@@ -117,14 +117,14 @@ def _key(grams: np.ndarray) -> bytes | None:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
 
 
-def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """Per row of (doc_id, text): the key of its n-gram set, the hashes of its bands, one byte a MinHash value."""
-    signer = Signer(bands, rows)
+def signed(docs: DataFrame, n: int, bands: int, rows: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of (doc_id, text, ...): the key of its n-gram set, the hashes of its bands, one byte a MinHash value, and the columns ``carried``."""
+    signer, at = Signer(bands, rows), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch, 1, BLOCK_BYTES):
-                sets, known, out = gram_sets(block.column(1), n), {}, []
+            for block in blocks(batch, at, BLOCK_BYTES):
+                sets, known, out = gram_sets(block.column(at), n), {}, []
                 for grams in sets:
                     key = _key(grams)
                     if key is not None and key not in known:
@@ -132,9 +132,12 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                         known[key] = signer.buckets(s), (s & np.uint64(255)).astype(np.uint8).tobytes()
                     out.append((key, *known.get(key, (None, None))))
                 keys, hashes, small = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(small, pa.binary())], ["doc_id", "key", "buckets", "small"])
+                told = [pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(small, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(block.column(c) for c in names), *told], [*names, "key", "buckets", "small"])
 
-    return docs.mapInArrow(run, "doc_id long, key binary, buckets array<long>, small binary")
+    names = ["doc_id", *carried]
+    schema = T.StructType([docs.schema[c] for c in names])
+    return docs.mapInArrow(run, schema.add("key", T.BinaryType()).add("buckets", T.ArrayType(T.LongType())).add("small", T.BinaryType()))
 
 
 def _dealt(rows: DataFrame, group: str, count: str, chunk: int) -> DataFrame:
@@ -274,11 +277,13 @@ def _verified(n: int, threshold: float) -> Callable:
     return run
 
 
-def classes_of(d: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
-    """For (doc_id, text): the written rows (doc_id, key, ...), and per key its class_id, n_links, copies, and whether it is its class's one to keep."""
+def classes_of(d: DataFrame, n: int, threshold: float, recall: float, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """For (doc_id, text, tie, ...): the written rows (row, doc_id, key, carried columns), and per key its class_id, n_links, copies, whether it is
+    its class's one to keep, and its first row by doc_id (nulls last), then tie."""
     bands, rows = bands_for(threshold, recall)
-    told = materialize(signed(d, n, bands, rows), "signed")
-    by_key = told.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("buckets").alias("buckets"), F.any_value("small").alias("small"))
+    told = materialize(signed(d, n, bands, rows, ("tie", *carried)).withColumn("row", F.monotonically_increasing_id()), "signed")
+    first_row = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "tie", "row")).alias("row")
+    by_key = told.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), first_row, F.count(F.lit(1)).alias("copies"), F.any_value("buckets").alias("buckets"), F.any_value("small").alias("small"))
     classes = materialize(by_key.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     members = classes.select("id", F.explode("buckets").alias("bucket"))
@@ -302,7 +307,7 @@ def classes_of(d: DataFrame, n: int, threshold: float, recall: float) -> tuple[D
     lowest = named.join(classes.select("id", "first"), F.col("node") == F.col("id")).groupBy("component").agg(F.min("first").alias("least"), F.min_by("id", order).alias("keeper"))
     linked = _by_component(named, lowest).select("node", "least", "keeper")
     all_ = classes.join(linked, F.col("id") == F.col("node"), "left").join(links, F.col("id") == F.col("a"), "left")
-    return told, all_.select("key", F.coalesce("least", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "copies", (F.coalesce("keeper", "id") == F.col("id")).alias("keep"))
+    return told, all_.select("key", F.coalesce("least", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "copies", (F.coalesce("keeper", "id") == F.col("id")).alias("keep"), "row")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -315,8 +320,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRA
     n-grams: they link with nothing and are classes of their own. Null ids never name a class of
     others. Repeated rows are copies of each other.
     """
-    told, classes = classes_of(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), n, threshold, recall)
-    joined = told.select("doc_id", "key").join(classes.drop("keep"), "key", "left")
+    text = F.col(text).cast("string")
+    told, classes = classes_of(docs.select(F.col(key).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie")), n, threshold, recall)
+    joined = told.select("doc_id", "key").join(classes.drop("keep", "row"), "key", "left")
     return joined.select("doc_id", F.coalesce("class_id", F.when(F.col("key").isNull(), F.col("doc_id"))).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
@@ -325,34 +331,18 @@ def deduplicate(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, r
 
     A row with a null id stays only where its class has no other; of repeated rows one stays.
 
-    Only keys that have copies or go away are joined with the rows, and only rows with copies are grouped.
+    The rows are written with their keys once; then only their numbers decide, so that they move once more, spread evenly whatever their copies.
     """
-    _, classes = classes_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), n, threshold, recall)
-    special = materialize(classes.filter("copies > 1 OR NOT keep").select("key", "keep"), "special")
-    at = docs.columns.index("text")
-
-    number = docs.columns.index("doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[bytes, tuple] = {}  # of the rows of a key only the one of least id can stay: later ones go before they are shuffled
-        for batch in batches:
-            for block in blocks(batch, at, BLOCK_BYTES):
-                keys, keep = [], []
-                for i, (grams, doc) in enumerate(zip(gram_sets(block.column(at), n), block.column(number).to_pylist(), strict=True)):
-                    key, order = _key(grams), (doc is None, doc or 0)
-                    if key is None or order <= least.get(key, order):
-                        keys.append(key)
-                        keep.append(i)
-                        if key is not None:
-                            least[key] = order
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), block.take(pa.array(keep, pa.int64())).to_struct_array()], ["key", "row"])
-
-    fields = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("row", docs.schema)])
-    rows = docs.mapInArrow(run, fields).join(special.hint("merge"), "key", "left")
-    plain = rows.filter("keep IS NULL").select("row.*")
-    order = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.xxhash64("row.text"))
-    chosen = rows.filter("keep").groupBy("key").agg(F.min_by("row", order).alias("row")).select("row.*")
-    return plain.unionByName(chosen)
+    rest = [c for c in docs.columns if c != "text"]
+    text = F.col("text").cast("string")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"), F.struct(*rest).alias("rest"))
+    told, classes = classes_of(d, n, threshold, recall, ("text", "rest"))
+    stay = materialize(classes.filter("keep").select("row"), "stay")
+    # merged at every size of the input, so that the plan at a small one says what a large one costs
+    kept = told.filter("key IS NOT NULL").join(stay.hint("merge"), "row", "left_semi")
+    plain = told.filter("key IS NULL")
+    columns = [F.col("text").cast(docs.schema["text"].dataType).alias("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns]
+    return kept.select(*columns).unionByName(plain.select(*columns))
 
 
 def keyed(docs: DataFrame, n: int = NGRAM) -> DataFrame:
