@@ -44,3 +44,14 @@ def test_edges(spark):
     assert [(r.lang_pred, r.score) for r in got if r.doc_id in (4, 5, 7)] == [("und", 0.0)] * 3
     assert langid.predict(df.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.predict(df.filter("doc_id = 5")).collect()} == {"und"}
+
+
+def test_pooling_against_both_layers_states():
+    rng = np.random.default_rng(5)
+    net = langid.Net(["a", "b", "c"], hidden=4)
+    data = rng.integers(32, 123, (6, 20)).astype(np.uint8)
+    logits = net._states(data)[2] @ net.w + net.b
+    logs = logits - np.log(np.exp(logits).sum(axis=2, keepdims=True))
+    letters = ~langid._SPACES[data]
+    total, n = net.pooled(data)
+    assert np.allclose(total, (logs * letters[:, :, None]).sum(axis=1), atol=1e-3) and (n == letters.sum(axis=1)).all()
