@@ -196,6 +196,30 @@ def ja3(version: Column, ciphers: Column, extensions: Column, curves: Column, fo
     return F.md5(F.concat_ws(",", version.cast("string"), real(ciphers), real(extensions), real(curves), F.array_join(F.transform(formats, lambda x: x.cast("string")), "-")))
 
 
+def _filler(x: Column) -> Column:
+    """Whether a number is one of the reserved filler values (0x?a?a)."""
+    return (x.bitwiseAND(F.lit(0x0F0F)) == 0x0A0A) & (F.shiftright(x, 8) == x.bitwiseAND(F.lit(255)))
+
+
+def ja4(version: Column, versions: Column, ciphers: Column, extensions: Column, signatures: Column, alpn: Column) -> Column:
+    """The published JA4 fingerprint of a client hello over TCP: counts in the open, then hashes of the sorted ciphers and extensions."""
+    real = lambda a: F.filter(F.coalesce(a, F.array().cast("array<int>")), lambda x: ~_filler(x))
+    code = lambda x: F.lower(F.lpad(F.hex(x), 4, "0"))
+    listed = lambda a: F.array_join(F.transform(a, code), ",")
+    count = lambda a: F.lpad(F.least(F.size(a), F.lit(99)).cast("string"), 2, "0")
+    digest = lambda a, text: F.when(F.size(a) == 0, "0" * 12).otherwise(F.substring(F.sha2(text, 256), 1, 12))
+    best = F.coalesce(F.array_max(real(versions)), version)
+    named = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in {0x0304: "13", 0x0303: "12", 0x0302: "11", 0x0301: "10", 0x0300: "s3"}.items() for x in kv)), best.cast("int")), F.lit("00"))
+    plain = F.concat(F.substring(alpn, 1, 1), F.substring(alpn, -1, 1))
+    coded = F.lower(F.hex(F.encode(alpn, "UTF-8")))
+    offer = F.when(F.coalesce(alpn, F.lit("")) == "", "00").when(plain.rlike("^[0-9A-Za-z]{2}$"), plain).otherwise(F.concat(F.substring(coded, 1, 1), F.substring(coded, -1, 1)))
+    exts, sign = real(extensions), real(signatures)
+    hashed = listed(F.array_sort(F.filter(exts, lambda x: ~x.isin(0, 16))))
+    hashed = F.when(F.size(sign) > 0, F.concat(hashed, F.lit("_"), listed(sign))).otherwise(hashed)
+    head = F.concat(F.lit("t"), named, F.when(F.array_contains(exts, 0), "d").otherwise("i"), count(real(ciphers)), count(exts), offer)
+    return F.concat_ws("_", head, digest(real(ciphers), listed(F.array_sort(real(ciphers)))), digest(exts, hashed))
+
+
 def hassh(kex: Column, ciphers: Column, macs: Column, compressions: Column) -> Column:
     return F.md5(F.concat_ws(";", *(F.array_join(a, ",") for a in (kex, ciphers, macs, compressions))))
 

@@ -125,6 +125,13 @@ def indicator_addresses(rows: DataFrame, indicators: DataFrame) -> DataFrame:
     return rows.withColumn("s", F.explode(sides)).select(*rows.columns, "s.side", "s.ip4").join(dimension(indicators), "ip4")
 
 
+def indicator_fingerprints(rows: DataFrame, kinds: list[str], indicators: DataFrame) -> DataFrame:
+    """One row a fingerprint of rows (columns named by ``kinds``, such as ja3 and ja4) that is an indicator's (fingerprint, reputation); case does not count."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("fingerprint_kind"), F.lower(k).alias("fingerprint")) for k in kinds)))
+    bad = indicators.select(F.lower("fingerprint").alias("fingerprint"), "reputation").groupBy("fingerprint").agg(F.max("reputation").alias("reputation"))
+    return rows.withColumn("f_", each).select(*rows.columns, "f_.*").join(dimension(bad), "fingerprint").select(*rows.columns, "fingerprint_kind", "fingerprint", "reputation")
+
+
 def reloaded(rows: DataFrame, versions: DataFrame) -> DataFrame:
     """Indicators as they stood at each row's time: versions (domain, since_us, until_us or null) on rows (ts_us, domain)."""
     v = versions.select("domain", "since_us", F.coalesce("until_us", F.lit((1 << 63) - 1)).alias("until_us"))

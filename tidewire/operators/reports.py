@@ -132,6 +132,17 @@ def flow_features(packets: DataFrame, by: list[str], idle_us: int = 5_000_000) -
     return out.withColumn("bytes_per_s", net.ratio(F.col("bytes"), F.col("duration_us") / 1e6))
 
 
+def inventory(observations: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """What is known of each key over all sources (key, ts_us, source, and any of the fields, null where not told).
+
+    first_us, last_us, the sources in order, and of each field its latest value, of values at one time the largest.
+    A key's rows are summed before the shuffle.
+    """
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("ts_us", c))).alias(c)
+    rows = observations.filter(F.col(key).isNotNull())
+    return rows.groupBy(key).agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.array_sort(F.collect_set("source")).alias("sources"), *(latest(c) for c in fields))
+
+
 def changes(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Rows at which a key is new or one of its fields, last known value carried on, differs from before: what an inventory announces."""
     w = Window.partitionBy(key).orderBy("ts_us", "seq")

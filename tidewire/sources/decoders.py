@@ -51,7 +51,7 @@ def neighbour_adverts(packets: DataFrame) -> DataFrame:
     return p.select("seq", "ts_us", F.lower(F.hex(F.substring(body, 9, 16))).alias("ip"), mac.alias("mac"), bit(0x40).alias("solicited"), bit(0x20).alias("override"))
 
 
-_HELLO = "sni string, alpn string, tls_version int, ciphers array<int>, extensions array<int>, curves array<int>, formats array<int>"
+_HELLO = "sni string, alpn string, tls_version int, ciphers array<int>, extensions array<int>, curves array<int>, formats array<int>, versions array<int>, signatures array<int>"
 
 
 def client_hello(data: bytes) -> dict | None:
@@ -59,7 +59,7 @@ def client_hello(data: bytes) -> dict | None:
     try:
         if data[0] != 22 or data[5] != 1:
             return None
-        out = {"tls_version": struct.unpack_from(">H", data, 9)[0], "sni": None, "alpn": None, "curves": [], "formats": [], "extensions": []}
+        out = {"tls_version": struct.unpack_from(">H", data, 9)[0], "sni": None, "alpn": None, "curves": [], "formats": [], "extensions": [], "versions": [], "signatures": []}
         at = 43
         at += 1 + data[at]
         n = struct.unpack_from(">H", data, at)[0]
@@ -82,6 +82,10 @@ def client_hello(data: bytes) -> dict | None:
                 out["curves"] = list(struct.unpack_from(f">{(n - 2) // 2}H", body, 2))
             elif kind == 11 and n > 1:
                 out["formats"] = list(body[1 : 1 + body[0]])
+            elif kind == 13 and n > 2:
+                out["signatures"] = list(struct.unpack_from(f">{(n - 2) // 2}H", body, 2))
+            elif kind == 43 and n > 2:
+                out["versions"] = list(struct.unpack_from(f">{(n - 1) // 2}H", body, 1))
             at += 4 + n
         return out
     except (IndexError, struct.error):
@@ -117,13 +121,13 @@ def tls_streams(packets: DataFrame, by: list[str]) -> DataFrame:
 
 
 def tls(packets: DataFrame) -> DataFrame:
-    """Client hellos that lie whole in one payload of (proto, payload, ...): server name, first application protocol, and the JA3 fingerprint.
+    """Client hellos that lie whole in one payload of (proto, payload, ...): server name, first application protocol, and the fingerprints JA3 and JA4.
 
     Hellos in several segments are read by ``tls_streams``.
     """
     some = packets.filter("proto = 6").filter((number(F.col("payload"), 0, 1) == 22) & (number(F.col("payload"), 5, 1) == 1))
     names = [f.split()[0] for f in _HELLO.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.int32(), *[pa.list_(pa.int32())] * 4]
+    kinds = [pa.string(), pa.string(), pa.int32(), *[pa.list_(pa.int32())] * 6]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +138,7 @@ def tls(packets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array([g[n] for g in got], k) for n, k in zip(names, kinds, strict=True))], [*rows.schema.names, *names])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in packets.schema.fields), _HELLO])
-    return some.mapInArrow(run, schema).withColumn("ja3", net.ja3(F.col("tls_version"), F.col("ciphers"), F.col("extensions"), F.col("curves"), F.col("formats")))
+    return some.mapInArrow(run, schema).withColumn("ja3", net.ja3(F.col("tls_version"), F.col("ciphers"), F.col("extensions"), F.col("curves"), F.col("formats"))).withColumn("ja4", net.ja4(*(F.col(c) for c in ("tls_version", "versions", "ciphers", "extensions", "signatures", "alpn"))))
 
 
 def app_label(port: Column, overrides: dict[int, str] | None = None) -> Column:

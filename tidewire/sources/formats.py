@@ -18,6 +18,8 @@ EXPORT_NAMES = {
     "packets_initiator": "initiatorPackets", "bytes_initiator": "initiatorOctets", "packets_responder": "responderPackets", "bytes_responder": "responderOctets",
     "packets": "packetTotalCount", "bytes": "octetTotalCount", "reason": "originalEndReason", "community_id": "communityId",
 }
+#: Severity numbers of telemetry logs.
+LOG_SEVERITY = {"info": 9, "warning": 13, "error": 17, "critical": 21}
 END_REASONS = {"idle": 1, "active": 2, "fin": 3, "rst": 3, "forced": 4, "resources": 5}
 
 
@@ -78,6 +80,32 @@ def syslog(f: DataFrame, facility: int = 16, host: str = "-", app: str = "tidewi
     return F.concat(F.lit("<"), (_code(F.col("severity"), SYSLOG_SEVERITY) + facility * 8).cast("string"), F.lit(">1 "), iso_time(F.col("ts_us")), F.lit(f" {host} {app} - "), F.col("kind"), F.lit(" "), data)
 
 
+def eve_tls(hellos: DataFrame) -> Column:
+    """An event record of type tls of client hellos (ts_us, the ends as text, sni, ja3, ja4)."""
+    detail = F.struct("sni", F.struct(F.col("ja3").alias("hash")).alias("ja3"), "ja4")
+    ends = ("src_ip", "src_port", F.col("dst_ip").alias("dest_ip"), F.col("dst_port").alias("dest_port"))
+    return F.to_json(F.struct(iso_time(F.col("ts_us")).alias("timestamp"), F.lit("tls").alias("event_type"), *ends, F.lit("TCP").alias("proto"), detail.alias("tls")))
+
+
+def messages(f: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """Findings as the columns that Spark's Kafka sink takes: findings with one key go to one partition; kind and severity are headers. ``more`` are columns beside them."""
+    header = lambda c: F.struct(F.lit(c).alias("key"), F.encode(c, "UTF-8").alias("value"))
+    return f.select(F.coalesce("key", "kind").alias("key"), json_line(f).alias("value"), F.array(header("kind"), header("severity")).alias("headers"), *(c.alias(n) for n, c in (more or {}).items()))
+
+
+def telemetry_log(f: DataFrame) -> Column:
+    """A finding as a log record of the open telemetry protocol, in JSON: the kind is its body, key, observations and metrics its attributes."""
+    text = lambda k, v: F.struct(k.alias("key"), F.struct(v.cast("string").alias("stringValue"), F.lit(None).cast("double").alias("doubleValue")).alias("value"))
+    real = lambda k, v: F.struct(k.alias("key"), F.struct(F.lit(None).cast("string").alias("stringValue"), v.cast("double").alias("doubleValue")).alias("value"))
+    own = F.when(F.col("key").isNotNull(), F.array(text(F.lit("key"), F.col("key"))))
+    seen = F.transform(F.array_sort(F.map_entries("observations")), lambda e: text(e["key"], e["value"]))
+    told = F.transform(F.array_sort(F.map_entries("metrics")), lambda e: real(e["key"], F.when(~F.isnan(e["value"]) & (F.abs(e["value"]) != float("inf")), e["value"])))
+    none = F.array().cast("array<struct<key:string,value:struct<stringValue:string,doubleValue:double>>>")
+    attributes = F.concat(*(F.coalesce(a, none) for a in (own, seen, told)))
+    fields = ((F.col("ts_us") * 1000).cast("string").alias("timeUnixNano"), _code(F.col("severity"), LOG_SEVERITY).alias("severityNumber"), F.upper("severity").alias("severityText"), F.struct(F.col("kind").alias("stringValue")).alias("body"))
+    return F.to_json(F.struct(*fields, attributes.alias("attributes")))
+
+
 def metric_counts(f: DataFrame) -> DataFrame:
     return f.groupBy("kind", "severity").agg(F.count(F.lit(1)).alias("n"))
 
