@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, mixing, ngram_join, packing, pii, ppm, quality, secret_scan
+from . import ann, chat, clustering, langid, licenses, mixing, ngram_join, packing, pii, ppm, quality, repair, secret_scan
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -71,8 +71,26 @@ def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(_read(spark, sf_dir, "documents"), order=ppm.ORDER)
 
 
+def op11_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.find_licenses(_read(spark, sf_dir, "documents")))
+
+
+def op12_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clustered, centroids = clustering.cluster(clustering.vectors(_read(spark, sf_dir, "embeddings")), k=16, rounds=3, seed=1)
+    return clustering.described(clustered, centroids).drop("scans")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations")
+    return repair.repair(repair.damage(turns), turns.select("conv_id"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_harmonic_packing, op2_quality_ledger, op3_graph_neighbours, op4_ngram_join, op5_byte_gru_language, op6_source_mix, op7_chat_round_trip, op8_weak_pii, op9_secret_index, op10_ppm_score)}
+    ops = (
+        op1_harmonic_packing, op2_quality_ledger, op3_graph_neighbours, op4_ngram_join, op5_byte_gru_language, op6_source_mix, op7_chat_round_trip,
+        op8_weak_pii, op9_secret_index, op10_ppm_score, op11_license_rules, op12_hamerly_clusters, op13_conversation_repair,
+    )
+    return {f.__name__: f for f in ops}
 
 
 _OP2 = r"""
@@ -153,5 +171,84 @@ SELECT doc_id, size, source_size, target, (size * (rounds + CASE WHEN run <= tar
 """
 
 
+def _op12(rounds: int = 3) -> str:
+    """Full scans, each assignment a step of common table expressions."""
+    distance = "list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.v[i]) * (v.v[i] - c.v[i])))"
+    steps = [
+        """v AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+)""",
+        """c0 AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM v ORDER BY h, v LIMIT 16)
+)""",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"d{k} AS (SELECT rid, vec_id, v.v AS v, c, {distance}::BIGINT AS d FROM v CROSS JOIN c{k} AS c)")
+        steps.append(f"a{k} AS (SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{k} GROUP BY rid)")
+        if k < rounds:
+            steps.append(f"""c{k + 1} AS (
+  SELECT c.c, coalesce(m.v, c.v) AS v FROM c{k} AS c LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM (
+      SELECT c, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{k}, unnest(range(1, 65)) AS u(i) GROUP BY c, i
+    ) GROUP BY c
+  ) AS m ON m.c = c.c
+)""")
+    return (
+        "WITH " + ",\n".join(steps) + f"""
+SELECT a.vec_id, a.c::INTEGER AS cluster, a.d AS distance, sum(a.d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(a.d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} AS a JOIN c{rounds} AS c ON a.c = c.c"""
+    )
+
+
+_OP13 = r"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch: ascii(ch)::UBIGINT)),
+             lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT) % 20 AS k
+  FROM conversations
+), d AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM k, unnest(range(0, CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS u(copy) WHERE k <> 0
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM d
+), f AS (
+  SELECT conv_id, turn, role, text, i, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS former,
+         CASE WHEN NOT regexp_matches(text, '[^ \t\n\x0B\f\r]') THEN 'b' WHEN nth > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][ \t\n\x0B\f\r]*\z') THEN 't' ELSE '' END AS fault FROM p
+), insertion(a, b, n) AS ( -- states: 0 nothing, 1 system, 2 user, 3 assistant
+  VALUES (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (3, 3, 0), (3, 2, 1)
+), edit(a, b, e, initial, price) AS (
+  VALUES (0, 0, 'D', '*', 3), (1, 1, 'D', '*', 3), (2, 2, 'D', '*', 3), (3, 3, 'D', '*', 3),
+         (0, 2, 'R', '*', 2), (1, 2, 'R', '*', 2), (2, 3, 'R', '*', 2), (3, 2, 'R', '*', 2),
+         (0, 1, 'K', 's', 0), (0, 2, 'K', 'u', 0), (1, 2, 'K', 'u', 0), (3, 2, 'K', 'u', 0), (2, 3, 'K', 'a', 0)
+), inserted(a, n, lines) AS (
+  VALUES (0, 0, []::VARCHAR[]), (0, 1, ['user:']), (0, 2, ['user:', 'assistant:']), (1, 0, []), (1, 1, ['user:']), (1, 2, ['user:', 'assistant:']), (2, 0, []), (2, 1, ['assistant:']), (3, 0, []), (3, 1, ['user:'])
+), w AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS state, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM conversations
+  UNION ALL
+  SELECT conv_id, i, state, min(cost), arg_min(audit, (cost, audit)), arg_min(lines, (cost, audit)) FROM (
+    SELECT w.conv_id, f.i, edit.b AS state, w.cost + 2 * n.n + edit.price + CASE WHEN edit.e <> 'D' AND f.fault = 't' THEN 1 ELSE 0 END AS cost, w.audit || repeat('I', n.n) || edit.e AS audit,
+           list_concat(list_concat(w.lines, s.lines), CASE edit.e WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [CASE edit.b WHEN 2 THEN 'user' ELSE 'assistant' END || ':' || f.text] END) AS lines
+    FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN insertion AS n ON n.a = w.state JOIN inserted AS s ON s.a = n.a AND s.n = n.n
+    JOIN edit ON edit.a = n.b AND (edit.e = 'D' OR f.fault IN ('', 't')) AND edit.initial IN ('*', f.initial)
+  ) GROUP BY conv_id, i, state
+), z AS (
+  SELECT w.conv_id, w.cost + 2 * n.n AS cost, w.audit || repeat('I', n.n) AS audit, list_concat(w.lines, s.lines) AS lines
+  FROM w LEFT JOIN (SELECT conv_id, max(i) AS n FROM f GROUP BY conv_id) AS m ON m.conv_id IS NOT DISTINCT FROM w.conv_id
+  JOIN insertion AS n ON n.a = w.state AND n.b IN (0, 3) JOIN inserted AS s ON s.a = n.a AND s.n = n.n WHERE w.i = coalesce(m.n, 0)
+), best AS (
+  SELECT conv_id, min(cost) AS cost, arg_min(audit, (cost, audit)) AS audit, arg_min(lines, (cost, audit)) AS lines FROM z GROUP BY conv_id
+), told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+         count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE i > 1 AND former || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       cost::BIGINT AS cost, audit, sha256(array_to_string(lines, chr(10))) AS repaired_sha256
+FROM best AS b LEFT JOIN told AS t ON t.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_ledger": _OP2, "op4_ngram_join": _OP4, "op6_source_mix": _OP6}
+    return {"op2_quality_ledger": _OP2, "op4_ngram_join": _OP4, "op6_source_mix": _OP6, "op12_hamerly_clusters": _op12(), "op13_conversation_repair": _OP13}
