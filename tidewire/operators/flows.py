@@ -59,7 +59,7 @@ _SUMS = {
 }
 
 
-def _partial(packets: DataFrame, by: list[str]) -> DataFrame:
+def _partial(packets: DataFrame, by: list[str], more: dict[str, Column] | None = None) -> DataFrame:
     one = F.lit(1).cast("long")
     flags = F.col("tcp_flags") if "tcp_flags" in packets.columns else F.lit(0)
     rows = packets.withColumns({
@@ -68,7 +68,7 @@ def _partial(packets: DataFrame, by: list[str]) -> DataFrame:
         "bytes_a": F.when(F.col("forward"), F.col("len")).otherwise(0), "bytes_b": F.when(F.col("forward"), 0).otherwise(F.col("len")),
         "first": F.struct("ts_us", "seq", "forward"), "flags": flags.cast("int"),
     })
-    return rows.groupBy(*by).agg(*(make().alias(n) for n, make in _SUMS.items()))
+    return rows.groupBy(*by).agg(*(make().alias(n) for n, make in _SUMS.items()), *(c.alias(n) for n, c in (more or {}).items()))
 
 
 def _numbered(p: DataFrame) -> DataFrame:
@@ -80,63 +80,134 @@ def _numbered(p: DataFrame) -> DataFrame:
     return stretch.withColumn("nth", F.sum(new.cast("int")).over(w))
 
 
-def _by_flags(p: DataFrame) -> DataFrame:
-    """Packets with the number of their flow where flags end flows."""
-    w = Window.partitionBy(*key_of(p)).orderBy("ts_us", "seq")
-    closed = F.lag(F.col("tcp_flags").bitwiseAND(F.lit(FIN | RST)) != 0).over(w)
-    new = F.coalesce(closed | (F.col("ts_us") - F.lag("ts_us").over(w) > F.col("idle_us")), F.lit(True))
-    return p.withColumn("nth", F.sum(new.cast("int")).over(w))
+#: How long after a connection has closed its late packets still count as its own, in microseconds.
+LINGER_US = 60_000_000
+
+
+def _bits(flags: Column, bits: int) -> Column:
+    return flags.bitwiseAND(F.lit(bits)) != 0
+
+
+def _flags(p: DataFrame) -> Column:
+    return F.when(F.col("proto") == 6, F.coalesce(F.col("tcp_flags"), F.lit(0))).otherwise(0).cast("int")
+
+
+def _runs(p: DataFrame, linger_us: int) -> DataFrame:
+    """Packets with ``bucket_`` and ``run_``: within a stretch of time no longer than any silence that ends a flow, a SYN, FIN or RST and
+    what follows it up to the next. Flows can only begin where runs begin, so runs are summed before anything is put in order by key alone.
+    """
+    width = F.when(F.col("proto") == 6, F.least(F.col("idle_us"), F.lit(linger_us))).otherwise(F.col("idle_us"))
+    p = p.withColumn("bucket_", F.floor(F.col("ts_us") / width))
+    w = Window.partitionBy(*key_of(p), "bucket_").orderBy("ts_us", "seq")
+    return p.withColumn("run_", F.sum(_bits(_flags(p), SYN | FIN | RST).cast("int")).over(w))
+
+
+def _stated(p: DataFrame, linger_us: int) -> DataFrame:
+    """Sums of runs by key, with ``nth``, the number of their connection, and ``both_``: whether both sides have opened it by then.
+
+    A connection begins with a key's first packet; after a silence longer than its idle time; with a SYN that opens: the key's first one, one after payload, FIN or
+    RST have passed since the SYN before, or one of another initial number (``tcp_seq``, where there is one) than its side's last. So a SYN
+    sent twice and a simultaneous open begin nothing. Once every side seen has sent a FIN, or a RST was sent, a connection is closed: what comes without an
+    opening SYN is still its own, and after each silence longer than ``linger_us`` a flow of strays.
+    """
+    key = key_of(p)
+    flags, forward = _flags(p), F.col("forward")
+    opening = flags.bitwiseAND(F.lit(SYN | ACK | FIN | RST)) == SYN
+    size = F.length("payload") if "payload" in p.columns else F.col("len")
+    isn = F.col("tcp_seq").cast("long") if "tcp_seq" in p.columns else F.lit(None).cast("long")
+    opener = F.struct(F.when(_bits(flags, ACK), 1).otherwise(0).alias("rank"), "ts_us", "seq", (forward != _bits(flags, ACK)).alias("forward"))
+    more = {
+        "opens_": F.max(opening), "isn_": F.max(F.when(opening, isn)), "past_": F.max(~opening & ((size > 0) | _bits(flags, FIN | RST))),
+        "syn_a": F.max(forward & _bits(flags, SYN)), "syn_b": F.max(~forward & _bits(flags, SYN)), "fin_a": F.max(forward & _bits(flags, FIN)), "fin_b": F.max(~forward & _bits(flags, FIN)),
+        "ack_us": F.min(F.when(_bits(flags, ACK) & ~_bits(flags, SYN | RST), F.col("ts_us"))), "opener": F.min(F.when(_bits(flags, SYN), opener)),
+    }
+    r = _partial(_runs(p, linger_us), [*key, "idle_us", "bucket_", "run_"], more)
+    w = Window.partitionBy(*key).orderBy("first")
+    former = w.rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumns({"at_": F.row_number().over(w), "gap_": F.col("start_us") - F.lag("end_us").over(w)})
+    last = lambda c: F.max(F.when(F.col(c), F.col("at_"))).over(former)
+    number = lambda side: F.last(F.when(F.col("opens_") & (F.col("first.forward") == side), F.col("isn_")), ignorenulls=True).over(former)
+    other = F.col("isn_") != F.when(F.col("first.forward"), number(True)).otherwise(number(False))
+    anew = last("opens_").isNull() | F.coalesce(last("past_") >= last("opens_"), F.lit(False)) | F.coalesce(other, F.lit(False))
+    r = r.withColumn("cut_", F.coalesce(F.col("gap_") > F.col("idle_us"), F.lit(True)) | (F.col("opens_") & anew))
+    r = r.withColumn("opening_", F.sum(F.col("cut_").cast("int")).over(w))
+    since = Window.partitionBy(*key, "opening_").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    done = lambda side: F.coalesce(F.max(f"fin_{side}").over(since), F.lit(False)) | F.coalesce(F.sum(f"packets_{side}").over(since) == 0, F.lit(True))
+    finished = F.coalesce(F.max(F.col("fin_a") | F.col("fin_b")).over(since), F.lit(False)) & done("a") & done("b")
+    closed = finished | F.coalesce(F.max(_bits(F.col("flags"), RST)).over(since), F.lit(False))
+    r = r.withColumn("late_", closed & (F.col("gap_") > linger_us) & (F.col("proto") == 6))
+    r = r.withColumn("nth", F.sum((F.col("cut_") | F.coalesce("late_", F.lit(False))).cast("int")).over(w))
+    own = Window.partitionBy(*key, "nth").orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
+    return r.withColumn("both_", F.max("syn_a").over(own) & F.max("syn_b").over(own))
+
+
+def _connections(p: DataFrame, linger_us: int) -> DataFrame:
+    sums = {n: make() for n, make in _SUMS.items()} | {c: F.max(c) for c in ("syn_a", "syn_b", "fin_a", "fin_b")}
+    sums |= {"opener": F.min("opener"), "established_us": F.min(F.when(F.col("both_"), F.col("ack_us")))}
+    return _stated(p, linger_us).groupBy(*key_of(p), "nth").agg(*(c.alias(n) for n, c in sums.items()))
 
 
 def _idle(packets: DataFrame, idle: Column | None, directional: bool = False) -> DataFrame:
     return with_key(packets, directional).withColumn("idle_us", (idle_time(F.col("proto")) if idle is None else idle).cast("long"))
 
 
-def flows(packets: DataFrame, idle: Column | None = None, directional: bool = False) -> DataFrame:
-    """One row a flow of (seq, ts_us, proto, src_*, dst_*, len), ended by idle time, and by FIN or RST where there is ``tcp_flags``.
+def flows(packets: DataFrame, idle: Column | None = None, directional: bool = False, linger_us: int = LINGER_US) -> DataFrame:
+    """One row a flow of (seq, ts_us, proto, src_*, dst_*, len), ended by idle time; by the states of its connection too where there is ``tcp_flags``.
 
     ``directional``: each way is a flow of its own.
 
     Idle time alone: packets of a key within one stretch of idle time are one flow whatever else,
     so they are summed by key and stretch first, and only these sums are put in order. A hot key
-    is thus split before any shuffle. With flags, a packet after a FIN or RST begins a new flow,
-    which needs the key's packets themselves in order.
+    is thus split before any shuffle. With flags the runs between SYN, FIN and RST are summed by key and stretch first; the rules are those of ``_stated``.
+    There are then ``established_us``, the first acknowledgement after both sides' SYN, and ``state``: reset, closed (every side seen has sent a
+    FIN), half_closed, established, opening (a SYN was seen) or midstream. The reason is rst, fin (closed) or idle. The initiator is who sent
+    the first SYN, whom the first SYN with ACK answers, or else who sent the first packet.
     """
     p = _idle(packets, idle, directional)
-    key = key_of(p)
     if "tcp_flags" in packets.columns:
-        return _finished(_partial(_by_flags(p), [*key, "nth"]))
-    return _finished(_numbered(p).groupBy(*key, "nth").agg(*(make().alias(n) for n, make in _SUMS.items())))
+        return _finished(_connections(p, linger_us))
+    return _finished(_numbered(p).groupBy(*key_of(p), "nth").agg(*(make().alias(n) for n, make in _SUMS.items())))
 
 
-def tracked(packets: DataFrame, idle: Column | None = None) -> DataFrame:
+def tracked(packets: DataFrame, idle: Column | None = None, linger_us: int = LINGER_US) -> DataFrame:
     """Packets with their key and the ``start_us`` and ``end_us`` of their flow.
 
-    Without flags a packet meets the one row of its key's stretch, so nothing multiplies and a hot key is split.
+    A packet meets the one row of its key's stretch (with flags: of its run), so nothing multiplies and a hot key is split.
     """
     p = _idle(packets, idle)
     key = key_of(p)
-    if "tcp_flags" in packets.columns:
-        w = Window.partitionBy(*key, "nth")
-        return _by_flags(p).withColumns({"start_us": F.min("ts_us").over(w), "end_us": F.max("ts_us").over(w)}).drop("idle_us", "nth")
     w = Window.partitionBy(*key, "nth")
-    spans = _numbered(p).select(*key, "stretch", F.min("start_us").over(w).alias("start_us"), F.max("end_us").over(w).alias("end_us"))
-    p = p.withColumn("stretch", F.floor(F.col("ts_us") / F.col("idle_us")))
-    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*key, "stretch"]]
-    return p.alias("p").join(spans.alias("s"), same).select(*(F.col(f"p.{c}") for c in p.columns if c not in ("stretch", "idle_us")), "s.start_us", "s.end_us")
+    if "tcp_flags" in packets.columns:
+        parts, place = _stated(p, linger_us), ["bucket_", "run_"]
+        p = _runs(p, linger_us)
+    else:
+        parts, place = _numbered(p).withColumnRenamed("stretch", "bucket_"), ["bucket_"]
+        p = p.withColumn("bucket_", F.floor(F.col("ts_us") / F.col("idle_us")))
+    spans = parts.select(*key, *place, F.min("start_us").over(w).alias("start_us"), F.max("end_us").over(w).alias("end_us"))
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*key, *place]]
+    return p.alias("p").join(spans.alias("s"), same).select(*(F.col(f"p.{c}") for c in p.columns if c not in (*place, "idle_us")), "s.start_us", "s.end_us")
 
 
 def _finished(parts: DataFrame) -> DataFrame:
-    a = F.col("first.forward")
+    stated = "opener" in parts.columns
+    a = F.coalesce("opener.forward", "first.forward") if stated else F.col("first.forward")
     side = lambda x, own: F.when(a if own else ~a, F.col(f"{x}_a")).otherwise(F.col(f"{x}_b"))
     seconds = (F.col("end_us") - F.col("start_us")) / 1e6
     total = F.col("bytes_a") + F.col("bytes_b")
+    reset, more = F.lit(False), []
+    closed = F.lit(False)
+    if stated:
+        reset = _bits(F.col("flags"), RST) & (F.col("proto") == 6)
+        one = F.col("fin_a") | F.col("fin_b")
+        closed = one & (F.col("fin_a") | (F.col("packets_a") == 0)) & (F.col("fin_b") | (F.col("packets_b") == 0))
+        state = F.when(reset, "reset").when(closed, "closed").when(one, "half_closed").when(F.col("established_us").isNotNull(), "established").when(F.col("syn_a") | F.col("syn_b"), "opening").otherwise("midstream")
+        more = [F.col("established_us"), F.when(F.col("proto") == 6, state).alias("state")]
     return parts.select(
         *key_of(parts), "start_us", "end_us", "nth", a.alias("a_initiated"),
         side("packets", True).alias("packets_initiator"), side("packets", False).alias("packets_responder"),
         side("bytes", True).alias("bytes_initiator"), side("bytes", False).alias("bytes_responder"),
-        F.when(F.col("flags").bitwiseAND(F.lit(RST)) != 0, "rst").when(F.col("flags").bitwiseAND(F.lit(FIN)) != 0, "fin").otherwise("idle").alias("reason"),
-        net.ratio(total * 8, seconds).alias("bits_per_s"), net.ratio(F.col("packets_a") + F.col("packets_b"), seconds).alias("packets_per_s"),
+        F.when(reset, "rst").when(closed, "fin").otherwise("idle").alias("reason"),
+        net.ratio(total * 8, seconds).alias("bits_per_s"), net.ratio(F.col("packets_a") + F.col("packets_b"), seconds).alias("packets_per_s"), *more,
     )
 
 
@@ -162,10 +233,11 @@ def interim(packets: DataFrame, period_us: int, idle: Column | None = None) -> D
 
 
 def lifecycle(f: DataFrame) -> DataFrame:
-    """started, ended and, where a reset ended it, rst events of flows, in one table."""
+    """started, established (where connections have states), ended and, where a reset ended it, rst events of flows, in one table."""
     event = lambda name, ts: F.struct(F.lit(name).alias("event"), F.col(ts).alias("ts_us"))
     rst = F.when(F.col("reason") == "rst", event("rst", "end_us"))
-    some = F.array_compact(F.array(event("started", "start_us"), event("ended", "end_us"), rst))
+    open_ = [F.when(F.col("established_us").isNotNull(), event("established", "established_us"))] if "established_us" in f.columns else []
+    some = F.array_compact(F.array(event("started", "start_us"), *open_, event("ended", "end_us"), rst))
     return f.withColumn("e", F.explode(some)).select("e.*", *f.columns, ((F.col("bytes_initiator") + F.col("bytes_responder")) == 0).alias("zero_payload"))
 
 
@@ -179,16 +251,19 @@ PIECE = 4096
 
 
 def history(packets: DataFrame, by: list[str]) -> DataFrame:
-    """The flag letters of all of each flow's packets in order, upper case from its first sender.
+    """The flag letters of all of each flow's packets in order, upper case from its first sender: its IPv4 or IPv6 address and, where ``by`` tells ports, its port.
 
     Runs of a letter are counted, and pieces of ``PIECE`` runs become text before a flow's pieces are put
     together, so that what is gathered is the text itself: a byte a packet.
     """
     w = Window.partitionBy(*by).orderBy("ts_us", "seq")
     flags = F.col("tcp_flags")
-    bit = lambda b: flags.bitwiseAND(F.lit(b)) != 0
-    letter = F.when(bit(SYN) & bit(ACK), "h").when(bit(SYN), "s").when(bit(RST), "r").when(bit(FIN), "f").when(F.col("len") > 0, "d").otherwise("a")
-    own = F.col("src_ip4") == F.first("src_ip4").over(w)
+    bit = lambda b: _bits(flags, b)
+    size = F.length("payload") if "payload" in packets.columns else F.col("len")
+    letter = F.when(bit(SYN) & bit(ACK), "h").when(bit(SYN), "s").when(bit(RST), "r").when(bit(FIN), "f").when(size > 0, "d").otherwise("a")
+    ends = [c for c in ("src_ip4", "src_ip6") if c in packets.columns] + (["src_port"] if {"a_port", "src_port"} & set(by) else [])
+    sender = F.struct(*ends)
+    own = sender.eqNullSafe(F.first(sender).over(w))
     p = packets.select(*by, "ts_us", "seq", F.when(own, F.upper(letter)).otherwise(letter).alias("c_"))
     p = p.withColumn("new_", F.coalesce((F.lag("c_").over(w) != F.col("c_")).cast("long"), F.lit(1).cast("long")))
     runs = p.withColumn("run_", F.sum("new_").over(w)).groupBy(*by, "run_", "c_").agg(F.count(F.lit(1)).cast("int").alias("k_"))

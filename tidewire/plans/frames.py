@@ -191,22 +191,71 @@ def whole_datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.floor(F.col("ts_us") / 10_000_000).alias("page_id"), F.md5("payload").alias("digest"), F.col("n_fragments").cast("long").alias("n_fragments"))
 
 
-#: Flows by flags and six hours of idle time; every third packet is an answer.
-FLAG_FLOWS = f"""{FLAGGED}, fq AS (SELECT *, coalesce(ts_us - lag(ts_us) OVER w > {6 * HOUR} OR (lag(tcp_flags) OVER w & 5) <> 0, true)::INT AS new, seq % 3 <> 0 AS forward FROM t WINDOW w AS (PARTITION BY proto, src_ip4, src_port, dst_ip4, dst_port ORDER BY ts_us, seq)),
-fn AS (SELECT *, sum(new) OVER (PARTITION BY proto, src_ip4, src_port, dst_ip4, dst_port ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING)::BIGINT AS nth FROM fq),
-ff AS (SELECT proto, src_ip4 AS a_ip4, src_port AS a_port, dst_ip4 AS b_ip4, dst_port AS b_port, nth, min(ts_us) AS start_us, max(ts_us) AS end_us, first(forward ORDER BY ts_us, seq) AS a_initiated, count(*) AS packets,
-coalesce(sum(len) FILTER (WHERE forward), 0)::BIGINT AS ba, coalesce(sum(len) FILTER (WHERE NOT forward), 0)::BIGINT AS bb, CASE WHEN bit_or(tcp_flags) & 4 <> 0 THEN 'rst' WHEN bit_or(tcp_flags) & 1 <> 0 THEN 'fin' ELSE 'idle' END AS reason FROM fn GROUP BY ALL),
-fr AS (SELECT *, CASE WHEN a_initiated THEN ba ELSE bb END AS bytes_initiator, CASE WHEN a_initiated THEN bb ELSE ba END AS bytes_responder FROM ff)"""
+#: Idle time and lingering of the flows by flags.
+IDLE, LINGER = 2 * DAY, DAY // 2
+
+
+def flagged_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's packets to one of three hosts, flags of all kinds on one port; every third is an answer."""
+    p, kind = packets(spark, sf_dir), F.col("kind")
+    flags = F.when(kind == "click", F.when(F.col("seq") % 3 == 0, 18).otherwise(2)).when(kind == "view", 24).when(kind == "purchase", 17).when(kind == "signup", F.when(F.col("seq") % 4 == 0, 20).otherwise(16)).otherwise(0)
+    port = F.when(F.col("proto") == 17, 53).otherwise(443 + F.col("user_id") % 2).cast("long")
+    p = p.withColumns({"tcp_flags": flags.cast("int"), "tcp_seq": F.col("seq") % 2, "dst_port": port, "dst_ip4": F.lit(3_232_235_776) + F.col("seq") % 3 + F.floor(F.col("ts_us") / 1000) % 3})
+    return two_way(p.withColumn("len", F.when(F.col("tcp_flags") == 16, 0).otherwise(F.col("len"))))
+
+
+#: The same by recursion, packet by packet of a key: the state goes from row to row.
+FLAG_FLOWS = f"""{P}, ft AS (
+  SELECT seq, ts_us, proto, src_ip4, src_port, kind, user_id, 3232235776 + seq % 3 + ts_us // 1000 % 3 AS dst_ip4, CASE WHEN proto = 17 THEN 53 ELSE 443 + user_id % 2 END AS dst_port, seq % 3 <> 0 AS forward, seq % 2 AS isn,
+         CASE kind WHEN 'click' THEN CASE WHEN seq % 3 = 0 THEN 18 ELSE 2 END WHEN 'view' THEN 24 WHEN 'purchase' THEN 17 WHEN 'signup' THEN CASE WHEN seq % 4 = 0 THEN 20 ELSE 16 END ELSE 0 END AS flags, len AS size FROM p
+), fo AS (
+  SELECT *, CASE WHEN flags = 16 THEN 0 ELSE size END AS len, flags & 23 = 2 AS opens, flags & 1 <> 0 AS fin, flags & 4 <> 0 AS rst, flags & 2 <> 0 AS syn,
+         proto || '-' || user_id || '-' || dst_ip4 AS k, row_number() OVER (PARTITION BY proto, user_id, dst_ip4 ORDER BY ts_us, seq) AS i FROM ft
+), fs AS (
+  SELECT k, i, ts_us, 1 AS nth, opens AS opened, NOT opens AND (len > 0 OR fin OR rst) AS past, CASE WHEN opens AND forward THEN isn END AS isn_a, CASE WHEN opens AND NOT forward THEN isn END AS isn_b,
+         forward AS seen_a, NOT forward AS seen_b, fin AND forward AS fin_a, fin AND NOT forward AS fin_b, rst AS gone, syn AND forward AS syn_a, syn AND NOT forward AS syn_b, NULL::BIGINT AS ack_us FROM fo WHERE i = 1
+  UNION ALL
+  SELECT k, i, ts_us, nth + (cut OR late)::INT, opens OR opened, CASE WHEN opens THEN false ELSE past OR len > 0 OR fin OR rst END, CASE WHEN opens AND forward THEN isn ELSE isn_a END, CASE WHEN opens AND NOT forward THEN isn ELSE isn_b END,
+         forward OR (seen_a AND NOT cut), NOT forward OR (seen_b AND NOT cut), (fin AND forward) OR (fin_a AND NOT cut), (fin AND NOT forward) OR (fin_b AND NOT cut), rst OR (gone AND NOT cut),
+         (syn AND forward) OR (syn_a AND NOT (cut OR late)), (syn AND NOT forward) OR (syn_b AND NOT (cut OR late)),
+         CASE WHEN cut OR late OR ack_us IS NULL THEN CASE WHEN flags & 22 = 16 AND syn_a AND syn_b AND NOT (cut OR late) THEN ts_us END ELSE ack_us END
+  FROM (SELECT *, NOT cut AND proto = 6 AND (gone OR ((fin_a OR fin_b) AND (fin_a OR NOT seen_a) AND (fin_b OR NOT seen_b))) AND gap > {LINGER} AS late FROM (
+    SELECT fo.*, fs.nth, fs.opened, fs.past, fs.isn_a, fs.isn_b, fs.seen_a, fs.seen_b, fs.fin_a, fs.fin_b, fs.gone, fs.syn_a, fs.syn_b, fs.ack_us, fo.ts_us - fs.ts_us AS gap,
+           fo.ts_us - fs.ts_us > {IDLE} OR (opens AND (NOT opened OR past OR coalesce(isn <> CASE WHEN forward THEN isn_a ELSE isn_b END, false))) AS cut
+    FROM fs JOIN fo ON fo.k = fs.k AND fo.i = fs.i + 1))
+), fn AS (SELECT fo.*, fs.nth::BIGINT AS nth, fs.ack_us FROM fo JOIN fs USING (k, i)),
+ff AS (
+  SELECT k, proto, src_ip4 AS a_ip4, src_port AS a_port, dst_ip4 AS b_ip4, dst_port AS b_port, nth, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS packets, max(ack_us) AS established_us,
+         coalesce(arg_min(forward <> (flags & 16 <> 0), (flags & 16 <> 0, ts_us, seq)) FILTER (WHERE syn), arg_min(forward, (ts_us, seq))) AS a_initiated,
+         coalesce(sum(len) FILTER (WHERE forward), 0)::BIGINT AS ba, coalesce(sum(len) FILTER (WHERE NOT forward), 0)::BIGINT AS bb, bool_or(rst) AS r, bool_or(fin) AS f, bool_or(syn) AS s,
+         bool_or(fin) AND (bool_or(fin AND forward) OR NOT bool_or(forward)) AND (bool_or(fin AND NOT forward) OR bool_and(forward)) AS c FROM fn GROUP BY ALL
+), fr AS (
+  SELECT *, CASE WHEN a_initiated THEN ba ELSE bb END AS bytes_initiator, CASE WHEN a_initiated THEN bb ELSE ba END AS bytes_responder, CASE WHEN r THEN 'rst' WHEN c THEN 'fin' ELSE 'idle' END AS reason,
+         CASE WHEN proto = 6 THEN CASE WHEN r THEN 'reset' WHEN c THEN 'closed' WHEN f THEN 'half_closed' WHEN established_us IS NOT NULL THEN 'established' WHEN s THEN 'opening' ELSE 'midstream' END END AS state FROM ff
+)"""
 
 
 def flag_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.flows(_flagged(two_way(packets(spark, sf_dir))), F.lit(6 * HOUR))
+    return flows.flows(flagged_packets(spark, sf_dir), F.lit(IDLE), linger_us=LINGER)
 
 
-@query(f"WITH {FLAG_FLOWS} SELECT proto, a_ip4, a_port, b_ip4, b_port, nth, start_us, end_us, packets, bytes_initiator, bytes_responder, reason FROM fr")
+@query(f"""WITH RECURSIVE {FLAG_FLOWS}, x AS (SELECT b_port, unnest([{{'event': 'started', 'ts_us': start_us}}, {{'event': 'established', 'ts_us': established_us}}, {{'event': 'ended', 'ts_us': end_us}}, {{'event': CASE WHEN reason = 'rst' THEN 'rst' END, 'ts_us': end_us}}]) AS e FROM fr)
+SELECT b_port, e.event AS event, e.ts_us // {DAY} AS day, count(*) AS n FROM x WHERE e.event IS NOT NULL AND e.ts_us IS NOT NULL GROUP BY ALL""")
+def connection_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connections started, established, ended and reset, a day and port."""
+    e = flows.lifecycle(flag_flows(spark, sf_dir))
+    return e.groupBy("b_port", "event", F.floor(F.col("ts_us") / DAY).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH RECURSIVE {FLAG_FLOWS} SELECT fn.seq, fr.start_us, fr.end_us FROM fn JOIN fr ON fn.k = fr.k AND fn.nth = fr.nth""")
+def connection_of_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.tracked(flagged_packets(spark, sf_dir), F.lit(IDLE), LINGER).select("seq", "start_us", "end_us")
+
+
+@query(f"WITH RECURSIVE {FLAG_FLOWS} SELECT proto, a_ip4, a_port, b_ip4, b_port, nth, start_us, end_us, packets, bytes_initiator, bytes_responder, reason, state, established_us FROM fr")
 def flows_by_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = flag_flows(spark, sf_dir)
-    return f.select(*flows.KEY, F.col("nth").cast("long").alias("nth"), "start_us", "end_us", (F.col("packets_initiator") + F.col("packets_responder")).alias("packets"), "bytes_initiator", "bytes_responder", "reason")
+    return f.select(*flows.KEY, F.col("nth").cast("long").alias("nth"), "start_us", "end_us", (F.col("packets_initiator") + F.col("packets_responder")).alias("packets"), "bytes_initiator", "bytes_responder", "reason", "state", "established_us")
 
 
 @query(f"""WITH {FLAGGED}, l AS (SELECT *, CASE WHEN seq % 3 = 0 THEN dst_ip4 ELSE src_ip4 END AS sender, CASE tcp_flags WHEN 2 THEN 's' WHEN 17 THEN 'f' WHEN 20 THEN 'r' ELSE 'd' END AS c FROM t),
@@ -226,7 +275,7 @@ def flows_one_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(F.col("a_ip4").alias("src_ip4"), F.col("b_ip4").alias("dst_ip4"), "proto", "start_us", "end_us", F.col("bytes_initiator").alias("bytes"))
 
 
-@query(f"""WITH {FLAG_FLOWS} SELECT b_port, end_us // {DAY} AS period, count(*) AS requests, count(*) FILTER (WHERE reason = 'rst') AS errors, round(count(*) FILTER (WHERE reason = 'rst') / count(*), 6) AS error_ratio,
+@query(f"""WITH RECURSIVE {FLAG_FLOWS} SELECT b_port, end_us // {DAY} AS period, count(*) AS requests, count(*) FILTER (WHERE reason = 'rst') AS errors, round(count(*) FILTER (WHERE reason = 'rst') / count(*), 6) AS error_ratio,
 round(quantile_cont((end_us - start_us) / 1e6, 0.95), 3) AS p95 FROM fr GROUP BY ALL""")
 def red_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reports.red_flows(flag_flows(spark, sf_dir), ["b_port"], DAY)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import net
 from ..operators import correlate, detect, flows, folds, layers, reports, retention, triage
 from ..sources import decoders, formats
-from .frames import FLAG_FLOWS, FLAGGED, _flagged, flag_flows
+from .frames import FLAG_FLOWS, FLAGGED, _flagged, flag_flows, flagged_packets
 from .tables import DAY, HOUR, WEB, P, packets, read, web
 
 QUERIES, SQL = {}, {}
@@ -31,7 +31,7 @@ def _told(findings: DataFrame) -> DataFrame:
 _RANK = "CASE severity WHEN 'info' THEN 0 WHEN 'warning' THEN 1 WHEN 'error' THEN 2 ELSE 3 END::BIGINT AS sev_rank"
 
 
-@query(f"""WITH {FLAG_FLOWS}, x AS (
+@query(f"""WITH RECURSIVE {FLAG_FLOWS}, x AS (
 SELECT 'tcp_reset' AS kind, CASE WHEN ba + bb = 0 THEN 'warning' ELSE 'info' END AS severity, end_us AS ts_us, a_ip4 AS key, b_port, ba + bb AS bytes FROM fr WHERE reason = 'rst'
 UNION ALL SELECT 'exfiltration', 'error', end_us, CASE WHEN a_initiated THEN a_ip4 ELSE b_ip4 END, b_port, bytes_initiator FROM fr WHERE bytes_initiator >= 900 AND bytes_initiator >= bytes_responder * 10)
 SELECT kind, severity, {_RANK}, ts_us, key::VARCHAR AS key, 'port=' || b_port AS observations, 'bytes=' || bytes AS metrics FROM x""")
@@ -64,10 +64,10 @@ def syn_floods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(triage.floods(_flagged(packets(spark, sf_dir)), 2, DAY, HOUR)).select("key", "ts_us", "metrics")
 
 
-@query(f"""WITH {FLAG_FLOWS} SELECT proto, a_ip4, b_ip4, start_us, min(fn.kind) AS kind, count(DISTINCT fn.kind) AS n_kind FROM fr JOIN fn ON fn.proto = fr.proto AND fn.src_ip4 = a_ip4 AND fn.src_port = a_port AND fn.dst_ip4 = b_ip4 AND fn.dst_port = b_port AND fn.nth = fr.nth GROUP BY proto, a_ip4, a_port, b_ip4, b_port, fr.nth, start_us""".replace("SELECT proto, a_ip4", "SELECT fr.proto, a_ip4").replace("GROUP BY proto", "GROUP BY fr.proto"))
+@query(f"""WITH RECURSIVE {FLAG_FLOWS} SELECT fr.proto, fr.a_ip4, fr.b_ip4, fr.start_us, min(fn.kind) AS kind, count(DISTINCT fn.kind) AS n_kind FROM fr JOIN fn ON fn.k = fr.k AND fn.nth = fr.nth GROUP BY ALL""")
 def flow_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows with what their messages (here: their packets' kinds) say."""
-    m = flows.with_key(_flagged(packets(spark, sf_dir)))
+    m = flows.with_key(flagged_packets(spark, sf_dir))
     return triage.summaries(flag_flows(spark, sf_dir), m, flows.KEY, ["kind"]).select("proto", "a_ip4", "b_ip4", "start_us", "kind", "n_kind")
 
 

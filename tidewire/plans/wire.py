@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import correlate, detect, reports
-from ..sources import capture, decoders, formats, protocols
+from ..sources import capture, decoders, formats, protocols, streams
 from .frames import _hellos, _MAC, _TEXT, be, raw
 from .tables import HOUR, WEB, P, packets, web
 
@@ -148,6 +148,66 @@ def fingerprint_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.indicator_fingerprints(h, ["ja3", "ja4"], bad).drop("ja3", "ja4")
 
 
+def segments(messages: DataFrame, size: int) -> DataFrame:
+    """(id, opened, data, side columns) as TCP segments of so many bytes: a SYN, then every pair of segments in reverse, the first one twice; numbers wrap round."""
+    n = F.ceil(F.length("data") / size).cast("int")
+    parts = F.concat(F.array(F.lit(-1)), F.sequence(F.lit(0), n - 1), F.array(F.lit(0)))
+    s = messages.select("*", F.posexplode(parts).alias("place_", "part_"))
+    first = F.pmod(F.lit((1 << 32) - 300) + F.col("id"), F.lit(1 << 32))
+    order = F.when(F.col("part_") < 0, -2).when(F.col("place_") > n, F.col("place_") + 2).otherwise(F.col("part_").bitwiseXOR(F.lit(1)))
+    body = F.when(F.col("part_") < 0, raw("")).otherwise(F.substring("data", F.col("part_") * size + 1, F.lit(size)))
+    return s.select(
+        "id", *streams.SIDE, F.lit(6).alias("proto"), (F.col("opened") + order).cast("long").alias("ts_us"), F.col("place_").cast("long").alias("seq"), F.when(F.col("part_") < 0, 2).otherwise(24).alias("tcp_flags"),
+        F.pmod(F.when(F.col("part_") < 0, first).otherwise(first + 1 + F.col("part_") * size), F.lit(1 << 32)).alias("tcp_seq"), body.alias("payload"),
+    )
+
+
+def _reused(p: DataFrame, port: int, back: bool = False) -> DataFrame:
+    """Packets as messages of a user's side, one connection each on ends that are used again and again."""
+    own = (F.col("src_ip4"), F.lit(4000).cast("long"), F.lit(1).cast("long"), F.lit(port).cast("long"))
+    ends = own[2:] + own[:2] if back else own
+    return p.select(F.col("seq").alias("id"), (F.col("ts_us") * 1000).alias("opened"), "data", *(c.alias(n) for c, n in zip(ends, streams.SIDE, strict=True)))
+
+
+@query(f"WITH {P} SELECT src_ip4, row_number() OVER (PARTITION BY src_ip4 ORDER BY ts_us) AS conn, 'h' || seq || '.example' AS sni, md5('771,4865,0-21,,') AS ja3 FROM p WHERE kind = 'click'")
+def hellos_on_reused_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's connections all have the same ends; each hello is cut into records of 90 bytes and segments of 64."""
+    p = packets(spark, sf_dir).filter("kind = 'click'")
+    host = _text(F.concat(F.lit("h"), F.col("seq").cast("string"), F.lit(".example")))
+    extension = lambda kind, body: F.concat(be(kind, 2), be(F.length(body), 2), body)
+    exts = F.concat(extension(0, F.concat(be(F.length(host) + 3, 2), raw("00"), be(F.length(host), 2), host)), extension(21, raw("00" * 200)))
+    body = F.concat(raw("0303"), raw("00" * 32), raw("00000213010100"), be(F.length(exts), 2), exts)
+    message = F.concat(raw("01"), be(F.length(body), 3), body)
+    piece = lambda i: F.substring(message, i * 90 + 1, F.lit(90))
+    record = lambda i: F.concat(raw("160301"), be(F.length(piece(i)), 2), piece(i))
+    data = F.aggregate(F.transform(F.sequence(F.lit(0), F.floor((F.length(message) - 1) / 90).cast("int")), record), raw(""), lambda a, x: F.concat(a, x))
+    h = decoders.tls_streams(segments(_reused(p.withColumn("data", data), 443), 64))
+    return h.select("src_ip4", "conn", "sni", "ja3")
+
+
+@query(f"WITH {P} SELECT src_ip4 AS dst_ip4, row_number() OVER (PARTITION BY src_ip4 ORDER BY ts_us) AS conn, 'server_' || seq % 9 AS software, md5('kex-a,kex-b;d,e;mac-s;none,zlib') AS hassh_server FROM p WHERE kind = 'signup'")
+def ssh_offers_in_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers behind their banners, in segments of 50 bytes."""
+    p = packets(spark, sf_dir).filter("kind = 'signup'")
+    listed = lambda c: F.concat(be(F.length(c), 4), _text(c))
+    lists = [*map(F.lit, ("kex-a,kex-b", "key", "c1", "d,e", "mac", "mac-s", "none", "none,zlib", "", ""))]
+    body = F.concat(raw("0414"), raw("ab" * 16), *(listed(c) for c in lists), raw("000000000000000000"))
+    banner = _text(F.concat(F.lit("welcome\r\nSSH-2.0-server_"), (F.col("seq") % 9).cast("string"), F.lit("\r\n")))
+    told = protocols.ssh_streams(segments(_reused(p.withColumn("data", F.concat(banner, be(F.length(body), 4), body)), 22, back=True), 50))
+    return told.groupBy("dst_ip4", "conn").agg(F.max("ssh_software").alias("software"), F.max("hassh_server").alias("hassh_server"))
+
+
+@query(f"""WITH {_NAMES}, a AS (SELECT *, row_number() OVER (PARTITION BY src_ip4 ORDER BY ts_us) AS conn FROM r)
+SELECT src_ip4 AS client_ip4, conn, n::BIGINT AS nth, seq % 65536 AS id, q AS qname, {_TEXT("dst_ip4")} AS address FROM a, unnest(range(0, 3)) AS u(n)""")
+def dns_over_tcp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three answers in a row on each connection, in segments of 37 bytes that cut messages and their lengths."""
+    p = _resolved(spark, sf_dir).select("seq", "ts_us", F.col("client_ip4").alias("src_ip4"), "payload")
+    one = F.concat(be(F.length("payload"), 2), F.col("payload"))
+    m = protocols.dns_streams(segments(_reused(p.withColumn("data", F.concat(one, one, one)), 53, back=True), 37))
+    a = protocols.answers_of(m).filter("answer_type = 'A'")
+    return a.select(F.col("dst_ip4").alias("client_ip4"), "conn", "nth", F.col("dns_id").cast("long").alias("id"), F.col("dns_qname").alias("qname"), F.col("answer_value").alias("address"))
+
+
 @query(f"""WITH {P}, a AS (SELECT *, CASE WHEN len > 500 THEN 'error' ELSE 'warning' END AS severity FROM p WHERE kind = 'signup') SELECT src_ip4::VARCHAR AS key,
 'kind=signup,severity=' || severity AS headers, '{{"timeUnixNano":"' || ts_us * 1000 || '","severityNumber":' || CASE severity WHEN 'error' THEN 17 ELSE 13 END || ',"severityText":"' || upper(severity) || '","body":{{"stringValue":"signup"}},"attributes":[{{"key":"key","value":{{"stringValue":"' || src_ip4 ||
 '"}}}},{{"key":"dst","value":{{"stringValue":"' || dst_port || '"}}}},{{"key":"len","value":{{"doubleValue":' || len::DOUBLE || '}}}}]}}' AS log,

@@ -178,13 +178,22 @@ def file_bytes(packets: DataFrame, per_file: int = 100_000, snap: int = 262_144)
     return packets.select("ts_ns", "len", "data").sortWithinPartitions("ts_ns").mapInArrow(run, "file string, content binary")
 
 
+#: Ports of DNS, of its multicast kind, and of link-local name resolution.
+DNS_PORTS = (53, 5353, 5355)
+
+
 def _u16(c: Column, at: int) -> Column:
     return F.conv(F.hex(F.substring(c, at + 1, 2)), 16, 10).cast("int")
 
 
 def dns(packets: DataFrame) -> DataFrame:
-    """Rows with DNS over UDP: id, whether a response, rcode, counts, and the first question's name, all of it up to the zero byte or a pointer."""
-    p = packets.filter("proto = 17 AND (src_port = 53 OR dst_port = 53)").filter(F.length("payload") >= 12)
+    """Rows with DNS over UDP (port 53; 5353 and 5355 of the link-local kinds), with the columns of ``dns_message``. Over TCP: protocols.dns_streams."""
+    return dns_message(packets.filter("proto = 17").filter(F.col("src_port").isin(*DNS_PORTS) | F.col("dst_port").isin(*DNS_PORTS)))
+
+
+def dns_message(messages: DataFrame) -> DataFrame:
+    """Rows whose payload is a DNS message: id, whether a response, rcode, counts, and the first question's name, all of it up to the zero byte or a pointer."""
+    p = messages.filter(F.length("payload") >= 12)
     flags, body = _u16(F.col("payload"), 2), F.col("payload")
     begin = F.struct(F.lit(12).alias("at"), F.array().cast("array<string>").alias("labels"))
 

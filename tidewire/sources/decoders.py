@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import net
 from ..operators import correlate, flows
+from . import streams
 
 
 def number(c: Column, at: int, size: int) -> Column:
@@ -51,27 +52,32 @@ def neighbour_adverts(packets: DataFrame) -> DataFrame:
     return p.select("seq", "ts_us", F.lower(F.hex(F.substring(body, 9, 16))).alias("ip"), mac.alias("mac"), bit(0x40).alias("solicited"), bit(0x20).alias("override"))
 
 
-_HELLO = "sni string, alpn string, tls_version int, ciphers array<int>, extensions array<int>, curves array<int>, formats array<int>, versions array<int>, signatures array<int>"
+_HELLO = "sni string, alpn string, tls_version int, ciphers array<int>, extensions array<int>, curves array<int>, formats array<int>, versions array<int>, signatures array<int>, ech boolean"
+#: Fixed value: the extension that carries an encrypted hello.
+ECH = 0xFE0D
 
 
-def client_hello(data: bytes) -> dict | None:
-    """Fields of a TLS client hello at the start of a record; None if it is none, or cut off."""
+def hello_fields(message: bytes) -> dict | None:
+    """Fields of a client hello, a handshake message with its head; None if it is none, or not whole."""
     try:
-        if data[0] != 22 or data[5] != 1:
+        if message[0] != 1 or len(message) < 4 + int.from_bytes(message[1:4], "big"):
             return None
-        out = {"tls_version": struct.unpack_from(">H", data, 9)[0], "sni": None, "alpn": None, "curves": [], "formats": [], "extensions": [], "versions": [], "signatures": []}
-        at = 43
+        data = message[: 4 + int.from_bytes(message[1:4], "big")]
+        out = {"tls_version": struct.unpack_from(">H", data, 4)[0], "sni": None, "alpn": None, "curves": [], "formats": [], "extensions": [], "versions": [], "signatures": [], "ech": False}
+        at = 38
         at += 1 + data[at]
         n = struct.unpack_from(">H", data, at)[0]
         out["ciphers"] = list(struct.unpack_from(f">{n // 2}H", data, at + 2))
         at += 2 + n
         at += 1 + data[at]
-        end = at + 2 + struct.unpack_from(">H", data, at)[0]
+        end = at + 2 + struct.unpack_from(">H", data, at)[0] if at + 2 <= len(data) else at
+        if end > len(data):
+            return None
         at += 2
         while at + 4 <= end:
             kind, n = struct.unpack_from(">HH", data, at)
             body = data[at + 4 : at + 4 + n]
-            if len(body) < n:
+            if at + 4 + n > end:
                 return None
             out["extensions"].append(kind)
             if kind == 0 and n > 5:
@@ -86,59 +92,49 @@ def client_hello(data: bytes) -> dict | None:
                 out["signatures"] = list(struct.unpack_from(f">{(n - 2) // 2}H", body, 2))
             elif kind == 43 and n > 2:
                 out["versions"] = list(struct.unpack_from(f">{(n - 1) // 2}H", body, 1))
+            elif kind == ECH:
+                out["ech"] = True
             at += 4 + n
         return out
     except (IndexError, struct.error):
         return None
 
 
-#: A record header and the largest record: what the start of a stream is looked at for a hello.
-HELLO_BYTES = 5 + (1 << 14)
-
-
-def stream_heads(packets: DataFrame, by: list[str], most: int = HELLO_BYTES) -> DataFrame:
-    """The first bytes of each TCP stream (by, tcp_seq, ts_us, seq, payload): by, ts_us, payload, at most ``most`` bytes up to the first gap.
-
-    Segments may come in any order, twice, or overlap; sequence numbers may wrap round. A ``tcp_seq`` is placed relative to
-    the stream's first packet. Only segments that begin within the first ``most`` bytes are put in order.
-    """
-    w = Window.partitionBy(*by)
-    p = packets.filter("proto = 6").filter(F.length("payload") > 0).select(*by, "tcp_seq", "ts_us", "seq", "payload")
-    refs = p.groupBy(*by).agg(F.min_by("tcp_seq", F.struct("ts_us", "seq")).alias("ref_"), F.min("ts_us").alias("begin_"))
-    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
-    half = 1 << 31
-    p = p.alias("p").join(refs.alias("r"), same).select("p.*", "begin_", (F.pmod(F.col("tcp_seq") - F.col("ref_") + half, F.lit(2 * half)) - half).alias("place_"))
-    p = p.withColumn("offset", F.col("place_") - F.min("place_").over(w)).filter(F.col("offset") < most)
-    parts = flows.ordered_payload(p, by)
-    parts = parts.withColumn("lost_", F.sum("gap").over(w.orderBy("offset", "seq").rowsBetween(Window.unboundedPreceding, 0))).filter("lost_ = 0")
-    gathered = parts.groupBy(*by).agg(F.min("begin_").alias("ts_us"), F.array_sort(F.collect_list(F.struct("offset", "seq", "fresh"))).alias("parts_"))
-    return gathered.select(*by, "ts_us", F.substring(F.aggregate("parts_", F.lit(b""), lambda a, x: F.concat(a, x["fresh"])), 1, most).alias("payload"))
+def client_hello(payload: bytes) -> dict | None:
+    """The client hello that a payload begins with, joined over its records; None without a whole one."""
+    found = streams.handshakes()(payload)[1] if payload else []
+    return hello_fields(found[0][1]) if found else None
 
 
-def tls_streams(packets: DataFrame, by: list[str]) -> DataFrame:
-    """Client hellos of TCP streams, however many segments they came in: by, ts_us and the columns of ``tls``."""
-    return tls(stream_heads(packets, by).withColumn("proto", F.lit(6))).drop("proto", "payload")
+def tls_streams(packets: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Client hellos of TCP streams, whatever segments and records they came in: by, conn, ts_us and the columns of ``tls``. Each connection of a reused 5-tuple has its own."""
+    by = streams.side_of(packets) if by is None else by
+    found = streams.messages(packets, streams.handshakes, "kind long, payload binary", by, head=streams.HEAD).filter("nth = 0 AND kind = 1")
+    return _hellos(found, hello_fields).drop("kind", "payload", "nth")
 
 
 def tls(packets: DataFrame) -> DataFrame:
-    """Client hellos that lie whole in one payload of (proto, payload, ...): server name, first application protocol, and the fingerprints JA3 and JA4.
-
-    Hellos in several segments are read by ``tls_streams``.
+    """Client hellos that lie whole in one payload of (proto, payload, ...), in one record or several: server name, first application protocol, whether it hides
+    another hello (``ech``), and the fingerprints JA3 and JA4. Hellos in several segments are read by ``tls_streams``.
     """
-    some = packets.filter("proto = 6").filter((number(F.col("payload"), 0, 1) == 22) & (number(F.col("payload"), 5, 1) == 1))
+    return _hellos(packets.filter("proto = 6").filter((number(F.col("payload"), 0, 1) == 22) & (number(F.col("payload"), 5, 1) == 1)), client_hello)
+
+
+def _hellos(rows: DataFrame, read: Callable[[bytes], dict | None]) -> DataFrame:
     names = [f.split()[0] for f in _HELLO.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.int32(), *[pa.list_(pa.int32())] * 6]
+    kinds = [pa.string(), pa.string(), pa.int32(), *[pa.list_(pa.int32())] * 6, pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [client_hello(x or b"") for x in batch.column(batch.schema.get_field_index("payload")).to_pylist()]
+            got = [read(x or b"") for x in batch.column(batch.schema.get_field_index("payload")).to_pylist()]
             keep = pa.array([g is not None for g in got])
             rows = batch.filter(keep)
             got = [g for g in got if g is not None]
             yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array([g[n] for g in got], k) for n, k in zip(names, kinds, strict=True))], [*rows.schema.names, *names])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in packets.schema.fields), _HELLO])
-    return some.mapInArrow(run, schema).withColumn("ja3", net.ja3(F.col("tls_version"), F.col("ciphers"), F.col("extensions"), F.col("curves"), F.col("formats"))).withColumn("ja4", net.ja4(*(F.col(c) for c in ("tls_version", "versions", "ciphers", "extensions", "signatures", "alpn"))))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), _HELLO])
+    out = rows.mapInArrow(run, schema).withColumn("ja3", net.ja3(F.col("tls_version"), F.col("ciphers"), F.col("extensions"), F.col("curves"), F.col("formats")))
+    return out.withColumn("ja4", net.ja4(*(F.col(c) for c in ("tls_version", "versions", "ciphers", "extensions", "signatures", "alpn"))))
 
 
 def app_label(port: Column, overrides: dict[int, str] | None = None) -> Column:

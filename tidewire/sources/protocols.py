@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import net
+from . import capture, streams
 from .decoders import number
 
 #: Types of DNS records whose data is told.
@@ -30,6 +31,8 @@ def _name(data: bytes, at: int) -> tuple[str, int]:
             if to >= least:
                 raise ValueError("a pointer forwards")
             at = least = to
+        elif n >= 64:
+            raise ValueError("a reserved kind of label")
         elif n:
             labels.append(data[at + 1 : at + 1 + n].decode("ascii", "replace").lower())
             at += 1 + n
@@ -68,11 +71,22 @@ def answers(data: bytes) -> list[tuple[int, str | None, str, int, int, str | Non
 
 
 def dns_answers(packets: DataFrame) -> DataFrame:
-    """A row an answer of DNS over UDP: the packet's columns but its payload, dns_id, dns_qname (the first question), answer_name, answer_type, answer_ttl and
+    """``answers_of`` DNS over UDP; over TCP: of ``dns_streams``."""
+    return answers_of(packets.filter("proto = 17").filter(F.col("src_port").isin(*capture.DNS_PORTS) | F.col("dst_port").isin(*capture.DNS_PORTS)))
+
+
+def dns_streams(packets: DataFrame, by: list[str] | None = None, ports: tuple[int, ...] = (53,)) -> DataFrame:
+    """DNS messages over TCP: by, conn, nth, ts_us, payload; for ``capture.dns_message`` and ``answers_of``. Segments may cut messages anywhere, their lengths too."""
+    p = packets.filter(F.col("src_port").isin(*ports) | F.col("dst_port").isin(*ports)) if "src_port" in packets.columns else packets
+    return streams.messages(p, streams.prefixed(2, least=12), "payload binary", by)
+
+
+def answers_of(messages: DataFrame) -> DataFrame:
+    """A row an answer of DNS messages: the message's columns but its payload, dns_id, dns_qname (the first question), answer_name, answer_type, answer_ttl and
     answer_value: the address, or the name that an alias stands for; null for other types, whose number is their type.
     """
-    kept = [f for f in packets.schema.fields if f.name != "payload"]
-    p = packets.filter("proto = 17 AND (src_port = 53 OR dst_port = 53)").select(*(f.name for f in kept), "payload")
+    kept = [f for f in messages.schema.fields if f.name != "payload"]
+    p = messages.select(*(f.name for f in kept), "payload")
     kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
     names = ["dns_id", "dns_qname", "answer_name", "answer_type", "answer_ttl", "answer_value"]
 
@@ -90,15 +104,31 @@ def dns_answers(packets: DataFrame) -> DataFrame:
 
 
 def ssh(packets: DataFrame) -> DataFrame:
-    """Secure shell banners over TCP: ssh_version, ssh_software, ssh_comment."""
+    """Secure shell banners at the start of payloads over TCP: ssh_version, ssh_software, ssh_comment."""
+    return _banners(packets.filter("proto = 6"))
+
+
+def _banners(lines: DataFrame) -> DataFrame:
     line = F.regexp_extract(F.decode("payload", "ISO-8859-1"), r"^SSH-([0-9.]+)-([^\s]+)(?: ([^\r\n]*))?\r?\n", 0)
     part = lambda k: F.nullif(F.regexp_extract("line_", r"^SSH-([0-9.]+)-([^\s]+)(?: ([^\r\n]*))?\r?\n", k), F.lit(""))
-    p = packets.filter("proto = 6").withColumn("line_", line).filter("line_ <> ''")
+    p = lines.withColumn("line_", line).filter("line_ <> ''")
     return p.withColumns({"ssh_version": part(1), "ssh_software": part(2), "ssh_comment": part(3)}).drop("line_")
 
 
 def ssh_kex(packets: DataFrame) -> DataFrame:
-    """Offers of algorithms (payloads that begin a key exchange): the ten lists as ``ssh_lists``, and HASSH of them read as a client's and as a server's."""
+    """Offers of algorithms that are whole payloads over TCP; those in several segments, or behind a banner, are read by ``ssh_streams``."""
+    return _offers(packets.filter("proto = 6"))
+
+
+def ssh_streams(packets: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Banners and offers of secure shell streams, in whatever segments they came: by, conn, ts_us, what ("banner", "offer"), and the columns of ``ssh`` and ``ssh_kex``."""
+    found = streams.messages(packets, streams.shell, "what string, payload binary", by, head=streams.HEAD)
+    told = _banners(found.filter("what = 'banner'")).unionByName(_offers(found.filter("what = 'offer'")), allowMissingColumns=True)
+    return told.drop("payload", "nth")
+
+
+def _offers(packets: DataFrame) -> DataFrame:
+    """Payloads that begin a key exchange: the ten lists as ``ssh_lists``, and HASSH of them read as a client's and as a server's."""
     body = F.col("payload")
     begin = F.struct(F.lit(22).cast("long").alias("at"), F.array().cast("array<array<string>>").alias("lists"))
 
@@ -107,7 +137,7 @@ def ssh_kex(packets: DataFrame) -> DataFrame:
         text = F.decode(F.substring(body, (a["at"] + 5).cast("int"), size.cast("int")), "ISO-8859-1")
         return F.struct((a["at"] + 4 + size).alias("at"), F.array_append(a["lists"], F.filter(F.split(text, ","), lambda x: x != "")).alias("lists"))
 
-    p = packets.filter("proto = 6").filter((F.length(body) > 22) & (number(body, 5, 1) == 20) & (number(body, 0, 4) <= F.length(body) - 4))
+    p = packets.filter((F.length(body) > 22) & (number(body, 5, 1) == 20) & (number(body, 0, 4) <= F.length(body) - 4))
     p = p.withColumn("ssh_lists", F.aggregate(F.sequence(F.lit(1), F.lit(10)), begin, more, lambda a: a["lists"]))
     one = lambda k: F.get("ssh_lists", F.lit(k))
     return p.withColumns({"hassh": net.hassh(one(0), one(2), one(4), one(6)), "hassh_server": net.hassh(one(0), one(3), one(5), one(7))})
