@@ -174,6 +174,20 @@ TEXTS = [
 ]
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern; those of a group that is all of it, too."""
+    if pattern.startswith("(?:") and pattern.find(")") == len(pattern) - 1:
+        pattern = pattern[3:-1]
+    out, depth = [""], 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
 def rules() -> tuple[Rule, ...]:
     """All rules; each family gives one of every kind: a tag, a link, a grant, a name with the word license, and its bare full name where that has a version."""
     out: list[Rule] = []
@@ -184,7 +198,7 @@ def rules() -> tuple[Rule, ...]:
     for label, name, some, tag, page in [*FAMILIES, *_copyleft(), *_commons()]:
         words = some.split()
         add("tag", label, rf"spdx license identifier (?:[^ ]+ (?:and|or|with) )*{tag}", ["spdx"])
-        add("link", label, rf"(?:https? )?(?:www )?(?:{page})", ["org", "com", "net", "info", "io", "dev", "eu", "co", "se", "cn"])
+        add("link", label, rf"(?:https? )?(?:www )?(?:{page})", [re.match(r"(?:\(\?:)?([a-z0-9]+)", x)[1] for x in _alternatives(page)])
         add("grant", label, rf"{GRANT}(?:{name})(?: (?:open source )?licen[sc]es?)?", words, _GRANTED.split())
         add("name", label, rf"(?:{name}) (?:open source |software |public )?licen[sc]e|licen[sc]e (?:{name})", words, _NOTICE)
         if label[-1].isdigit() or label in ("wtfpl", "0bsd", "cc0"):
