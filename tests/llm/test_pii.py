@@ -44,6 +44,29 @@ def test_whole_table(spark, sf):
         assert got[r.doc_id].n_card == sum(k == "card" for k, _, _ in want)
 
 
+def test_what_is_added_on_the_given_tables(spark, sf):
+    """No word of a licence is a name, no number that fails its checksum an account without words that say so, and no labeler is turned round."""
+    d = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    texts = {r.doc_id: r.text for r in d.collect()}
+    for r in pii.find_pii(d).collect():
+        for kind, start, end in r.spans:
+            value, around = texts[r.doc_id][start:end], texts[r.doc_id][max(0, start - pii.CONTEXT) : end + pii.CONTEXT].lower()
+            assert kind in pii.BASE or kind != "person" or not set(value.split()) & set(pii.NO_NAMES), value
+            assert kind != "account" or luhn(re.sub("[^0-9]", "", value)) or any(w in around for w in pii.FOR_WORDS["account"].split()), around
+    weights = pii.fit(pii.candidates(d))
+    assert all(weights[f"vote:{x}"] >= 0 and weights[f"vote:{x}"] + w >= -1e-9 for x in pii.LABELERS for k, w in weights.items() if k.startswith(f"{x}:")), weights
+
+
+def test_directed():
+    import numpy as np
+
+    t = np.array([[0.2, 0.3, 0.5], [0.6, 0.3, 0.1]])  # turned round on both sides
+    out = pii._directed(t, np.array([3.0, 1.0]))
+    assert out[0].tolist() == out[1].tolist() and abs(out.sum(axis=1) - 1).max() < 1e-9
+    good = np.array([[0.6, 0.3, 0.1], [0.2, 0.3, 0.5]])
+    assert np.allclose(pii._directed(good, np.array([3.0, 1.0])), good)
+
+
 def iban(rng, country="DE"):
     body = "".join(rng.choice("0123456789") for _ in range(18))
     n = int(body + "".join(str(int(c, 36)) for c in country) + "00")

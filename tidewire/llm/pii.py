@@ -30,6 +30,8 @@ CONTEXT, COMPANY = 40, 80
 EM_ROUNDS, FIT_ROUNDS, RIDGE, LEAN = 40, 25, 0.5, 0.5
 LABELERS = ("form", "gazetteer", "before", "after", "look", "company")
 FEATURES = ("size", "digits")
+#: Labelers whose votes for a looser span have to outnumber those against: company and looks alone carry none.
+VOUCHING = ("form", "gazetteer", "before", "after")
 
 #: The gazetteers.
 ENDINGS = "com org net edu gov io de fr es uk eu info biz us ca it nl ch at be se no dk pl pt ie jp cn in br ru au nz mx".split()
@@ -55,7 +57,13 @@ FOR_WORDS = {
     "iban": "iban account bank transfer bic", "account": "card visa mastercard amex credit debit account bank pay expires cvv", "person": "mr mrs ms dr prof name dear contact patient author sincerely regards met born resident employee lives",
     "address": "address lives live resident home at deliver mail", "birth_date": "born birth birthday dob age",
 }
-AGAINST_WORDS = "version isbn order invoice page figure build release sku doi ticket serial part model batch inventory published updated deadline museum university theatre festival company corporation inc ltd example sample placeholder".split()
+AGAINST_WORDS = "license licence licensed version isbn order invoice page figure build release sku doi ticket serial part model batch inventory published updated deadline museum university theatre festival company corporation inc ltd example sample placeholder".split()
+#: Words that begin with a capital beside another one and are no part of a name.
+NO_NAMES = """Academy Act Agreement Apache Association April August Avenue Bank Board Bureau Center Centre Chapter City Clause College Commission Committee Commons Company Conference Corporation Council County
+Court Creative December Department East European Federal February Figure Foundation Free Friday Fund General Government Group High Hospital House Institute International January July June Lake Law Library
+License Licence Limited March Market Ministry Monday Museum National Network New North November October Office Open Park Policy Press Project Public Republic River Road Royal Saturday School Section
+Security September Service Services Social Society Software Source South Standard State States Station Street Sunday System Systems Table Terms Theatre Thursday Trade Treaty Tuesday Union United
+University Version Wednesday West World""".split()
 
 
 @dataclass(frozen=True)
@@ -73,11 +81,11 @@ def _digits(v: Column) -> Column:
     return F.regexp_replace(v, "[^0-9]", "")
 
 
-def _luhn(v: Column) -> Column:
-    """16 to 19 digits whose Luhn sum ends in 0."""
+def _luhn(v: Column, least: int = 16) -> Column:
+    """So many to 19 digits whose Luhn sum ends in 0."""
     d = F.translate(v, " -", "")
     each = F.transform(F.split(F.reverse(d), ""), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(2 * c.cast("int") - F.when(c.cast("int") > 4, 9).otherwise(0)))
-    return F.length(d).between(16, 19) & (F.aggregate(each, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10 == 0)
+    return F.length(d).between(least, 19) & (F.aggregate(each, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10 == 0)
 
 
 def _iban(v: Column) -> Column:
@@ -101,7 +109,7 @@ KINDS = (
     Kind("phone_local", r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])", lambda t: t.rlike("[0-9]{3}[.-][0-9]{4}"), lambda v: _digits(v).rlike("^[2-9][0-9]{2}[2-9]"), False),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda t: t.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"), lambda v: ~v.rlike("^(?:000|666|9)|-00-|0000$"), False),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda t: t.rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), lambda v: _iban(v), False),
-    Kind("account", r"(?<![A-Za-z0-9.-])[0-9]{4}(?:[\x20-]?[0-9]){9,15}(?![A-Za-z0-9-])", lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), None, False),
+    Kind("account", r"(?<![A-Za-z0-9.-])[0-9]{4}(?:[\x20-]?[0-9]){9,15}(?![A-Za-z0-9-])", lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), lambda v: _luhn(v, 13), False),
     Kind("person", r"(?<![\p{L}\p{N}.'-])[A-Z][a-z]{1,20} (?:[A-Z]\. )?[A-Z][a-z]{1,20}(?![\p{L}\p{N}'-])", lambda t: t.rlike(r"[A-Z][a-z]{1,20} (?:[A-Z]\. )?[A-Z][a-z]"), None, False),
     Kind("address", rf"(?<![0-9A-Za-z.,-])[0-9]{{1,5}} (?:[A-Z][a-z]{{1,20}} ){{1,2}}(?:{'|'.join(STREETS)})(?![A-Za-z])", lambda t: t.rlike(r"[0-9] [A-Z][a-z]"), None, False),
     Kind("birth_date", r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9/-])", lambda t: t.rlike(r"[0-9][/-][0-9]{1,2}[/-][0-9]"), lambda v: F.try_to_timestamp(F.when(v.contains("-"), v), F.lit("yyyy-MM-dd")).isNotNull() | v.rlike(r"^(?:0?[1-9]|[12][0-9]|3[01])/(?:0?[1-9]|[12][0-9]|3[01])/(?:19|20)"), False),
@@ -154,10 +162,11 @@ def _gazetteer(kind: Column, v: Column, after: Column) -> Column:
 
 
 def _look(kind: Column, v: Column) -> Column:
-    """Against fillers (one digit over and over, digits in order, one word twice, all zeros), for groups of digits as people write them."""
+    """Against fillers (one digit over and over, digits in order, one word twice, all zeros) and names of things, for groups of digits as people write them."""
     d = _digits(v)
+    thing = (kind == "person") & (F.substring_index(v, " ", 1).isin(NO_NAMES) | F.substring_index(v, " ", -1).isin(NO_NAMES))
     filler = d.rlike(r"^(\d)\1{6,}$") | d.rlike("^(?:0123456|1234567|9876543)") | v.rlike(r"^([A-Za-z]+) \1$") | v.rlike(r"(?i)\b(?:foo|bar|test|example|user|name)\b")
-    return F.when(filler, -1).when(kind.isin("card", "account", "iban", "phone", "phone_local") & v.rlike(r"[0-9)][ -][0-9]"), 1).otherwise(0)
+    return F.when(filler | thing, -1).when(kind.isin("card", "account", "iban", "phone", "phone_local") & v.rlike(r"[0-9)][ -][0-9]"), 1).otherwise(0)
 
 
 def _labels(t: Column, taken: Column, c: Column) -> dict[str, Column]:
@@ -216,12 +225,28 @@ def _tagged(k: Kind) -> Column:
 Pattern = tuple[str, tuple[int, ...], tuple[int, ...], int]
 
 
+def _directed(table: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Probabilities (not personal, personal; ..; votes -1, 0, 1) in which a vote for is no rarer on personal data than on others, and a vote against no more frequent.
+
+    Where the counts say otherwise both sides take their mean, weighed by ``mass``; votes of 0 take what is left.
+    """
+    out = table.copy()
+    share = mass[1] / np.maximum(mass[0] + mass[1], 1e-9)
+    for vote, sign in ((2, 1), (0, -1)):
+        turned = sign * (out[1, ..., vote] - out[0, ..., vote]) < 0
+        mean = (1 - share) * out[0, ..., vote] + share * out[1, ..., vote]
+        for side in (0, 1):
+            out[side, ..., vote] = np.where(turned, mean, out[side, ..., vote])
+    out[..., 1] = np.maximum(1 - out[..., 0] - out[..., 2], 1e-9)
+    return out
+
+
 def estimate(patterns: list[Pattern]) -> tuple[list[float], list[dict]]:
     """Posteriors that candidates of each pattern are personal data, and each labeler's reliability: how its votes fall on such data and on others.
 
     Expectation-maximisation with one prior a kind, from a start at the mean of the votes cast; where none is, from a low one. A labeler has
     a table over all kinds, smoothed by one candidate a cell, and one a kind that is mixed with it (``LEAN``): what vouches for one kind
-    says less of another.
+    says less of another. Labelers are held to their direction (``_directed``), so that none can be turned round where votes are few.
     """
     kinds = {k: i for i, k in enumerate(sorted({p[0] for p in patterns}))}
     kind = np.array([kinds[p[0]] for p in patterns], dtype=int)
@@ -236,8 +261,9 @@ def estimate(patterns: list[Pattern]) -> tuple[list[float], list[dict]]:
         odds = np.log(prior[1, kind] / prior[0, kind])
         for i in range(len(LABELERS)):
             cells = np.stack([np.bincount(kind * 3 + votes[:, i] + 1, w, minlength=3 * len(kinds)).reshape(-1, 3) for w in weights])
-            tables[i] = (1 + cells.sum(axis=1)) / (3 + cells.sum(axis=(1, 2)))[:, None]
-            own = (1 - LEAN) * cells / np.maximum(cells.sum(axis=2, keepdims=True), 1e-9) + LEAN * tables[i][:, None, :]
+            mass = cells.sum(axis=2)
+            tables[i] = _directed((1 + cells.sum(axis=1)) / (3 + mass.sum(axis=1))[:, None], mass.sum(axis=1))
+            own = _directed((1 - LEAN) * cells / np.maximum(mass[:, :, None], 1e-9) + LEAN * tables[i][:, None, :], mass)
             odds = odds + np.log(own[1, kind, votes[:, i] + 1] / own[0, kind, votes[:, i] + 1])
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     told = [{v: (float(t[1, v + 1]), float(t[0, v + 1])) for v in (-1, 0, 1)} for t in tables]
@@ -247,7 +273,7 @@ def estimate(patterns: list[Pattern]) -> tuple[list[float], list[dict]]:
 def classifier(patterns: list[Pattern], post: list[float]) -> dict[str, float]:
     """Weights of the span classifier by name: ``vote:<labeler>`` and what ``<labeler>:<kind>`` adds, ``<feature>:<class>``, ``kind:<kind>`` and ``bias``.
 
-    A logistic regression fitted to the posteriors by Newton's method, with a ridge.
+    A logistic regression fitted to the posteriors by Newton's method, with a ridge. A labeler's weight, and what it comes to on each kind, is held at 0 or above.
     """
     names = [*(f"vote:{x}" for x in LABELERS), *sorted({f"{f}:{c}" for p in patterns for f, c in zip(FEATURES, p[2], strict=True)}), *(f"{x}:{k}" for k in sorted({p[0] for p in patterns}) for x in ("kind", *LABELERS)), "bias"]
     at = {x: i for i, x in enumerate(names)}
@@ -265,6 +291,10 @@ def classifier(patterns: list[Pattern], post: list[float]) -> dict[str, float]:
         curve = (x * (n * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(names))
         step = np.linalg.solve(curve, grad)
         w = w - step * min(1.0, 4 / max(float(np.abs(step).max()), 1e-12))
+        for i, labeler in enumerate(LABELERS):
+            w[i] = max(w[i], 0.0)
+            own = [j for name, j in at.items() if name.startswith(f"{labeler}:")]
+            w[own] = np.maximum(w[own], -w[i])
     return dict(zip(names, w.tolist(), strict=True))
 
 
@@ -280,7 +310,7 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """One row a row of docs: doc_id and ``spans`` (kind, start, end), by kind as listed, then start.
 
     Base spans are those that pass their checks; the looser kinds are added where the classifier
-    says so, the longest of those that overlap. A null text has none; nulls, repeated and very long texts need nothing special.
+    says so and more labelers of ``VOUCHING`` vote for them than against, the longest of those that overlap. A null text has none; nulls, repeated and very long texts need nothing special.
     """
     told = materialize(candidates(docs, key, text), "pii")
     weights = fit(told)
@@ -292,7 +322,8 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         for name in (*FEATURES, "kind"):
             known = {k.split(":")[1]: w for k, w in weights.items() if k.startswith(f"{name}:")}
             odds = odds + (_case(c[name].cast("string"), {k: F.lit(w) for k, w in known.items()}, F.lit(0.0)) if known else F.lit(0.0))
-        return F.when(c["base"], c["ok"]).otherwise(odds > 0)
+        vouched = sum((c[x] for x in VOUCHING), F.lit(0)) > 0
+        return F.when(c["base"], c["ok"]).otherwise(vouched & (odds > 0))
 
     told = told.select("doc_id", F.filter("found", good).alias("spans"))
     size = lambda c: c["end"] - c["start"]
