@@ -80,27 +80,37 @@ def _uppermost(state: list, at: int, opens: bool, begin: int, number: int) -> tu
     return state, (state[-1][1] if state else None,)
 
 
+#: The last microsecond there is: periods may end there, that is, until further notice.
+FOREVER = (1 << 63) - 1
+
+
 def within(rows: DataFrame, periods: DataFrame, keys: list[str], start: str, end: str, keep: list[str], stretch_us: int = 86_400_000_000) -> DataFrame:
     """rows with the columns ``keep`` of the latest begun period of their key that holds their time, ends included; null without one.
 
-    Of periods begun at once any may be the latest, but the same for all rows; those that end before they begin hold nothing.
-    The bounds of a key's periods, in order, say where which one is uppermost: a table of segments, in which rows look up
-    the last one begun. Segments are copied to each stretch of time that they touch, so the rows of a hot key are split.
+    Of periods begun at once any may be the latest, but the same for all rows; those that end before they begin hold nothing. An end may be as far as ``FOREVER``; a null one
+    is that. The bounds of a key's periods, in order, say where which one is uppermost: a table of segments, in which rows look up
+    the last one begun. Rows are dealt by key and stretch of time, so those of a hot key are split: a stretch is handed the segments that begin in it and the one that
+    reaches into it, which is found for each stretch that has rows, not for each that a period touches.
     """
-    p = periods.filter(F.col(end) >= F.col(start)).select(*keys, F.col(start).cast("long").alias("begin_"), F.col(end).cast("long").alias("end_"), F.struct(*keep).alias("kept_"))
+    p = periods.withColumn("until_", F.coalesce(F.col(end).cast("long"), F.lit(FOREVER))).filter(F.col("until_") >= F.col(start))
+    p = p.select(*keys, F.col(start).cast("long").alias("begin_"), F.col("until_").alias("end_"), F.struct(*keep).alias("kept_"))
     p = p.withColumn("number_", F.xxhash64("end_", "kept_"))
     bound = lambda at, opens: F.struct(at.alias("at_"), F.lit(opens).alias("opens_"))
-    bounds = p.withColumn("bound_", F.explode(F.array(bound(F.col("begin_"), True), bound(F.col("end_") + 1, False)))).select(*keys, "bound_.*", "begin_", "number_")
+    closing = F.when(F.col("end_") < FOREVER, bound(F.when(F.col("end_") < FOREVER, F.col("end_")).otherwise(0) + 1, False))
+    bounds = p.withColumn("bound_", F.explode(F.array_compact(F.array(bound(F.col("begin_"), True), closing)))).select(*keys, "bound_.*", "begin_", "number_")
     top = folds.fold(bounds, keys, ["at_", "opens_", "begin_", "number_"], ["at_", "opens_", "begin_", "number_"], list, _uppermost, {"top_": "long"})
     by_time = Window.partitionBy(*keys).orderBy("at_")
     # of bounds at one time the last in the fold's order tells what is uppermost then
     segments = top.groupBy(*keys, "at_").agg(F.max_by("top_", F.struct("opens_", "begin_", "number_")).alias("top_"))
-    segments = segments.withColumn("until_", F.lead("at_").over(by_time) - 1).filter("top_ IS NOT NULL")
+    segments = segments.withColumn("until_", F.coalesce(F.lead("at_").over(by_time) - 1, F.lit(FOREVER))).filter("top_ IS NOT NULL")
     stretch = lambda c: F.floor(F.col(c) / stretch_us)
     segments = segments.join(p.dropDuplicates([*keys, "number_"]).select(*keys, F.col("number_").alias("top_"), "kept_"), [*keys, "top_"])
-    seen = segments.withColumn("stretch", F.explode(F.sequence(stretch("at_"), stretch("until_"))))
+    segments = segments.select(*keys, F.col("at_").alias("ts_us"), F.struct("until_", "kept_").alias("period_"))
     left = rows.select(*keys, "ts_us", F.struct(*rows.columns).alias("row_"), stretch("ts_us").alias("stretch"), F.lit(1).alias("tag"))
-    right = seen.select(*keys, F.col("at_").alias("ts_us"), "stretch", F.lit(0).alias("tag"), F.struct("until_", "kept_").alias("period_"))
+    touched = left.select(*keys, "stretch").distinct().select(*keys, (F.col("stretch") * stretch_us).alias("ts_us"), "stretch")
+    running = Window.partitionBy(*keys).orderBy("ts_us", F.col("stretch").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    reaching = segments.unionByName(touched, allowMissingColumns=True).withColumn("period_", F.last("period_", ignorenulls=True).over(running)).filter("stretch IS NOT NULL AND period_ IS NOT NULL")
+    right = segments.withColumn("stretch", stretch("ts_us")).unionByName(reaching).withColumn("tag", F.lit(0))
     w = Window.partitionBy(*keys, "stretch").orderBy("ts_us", "tag").rowsBetween(Window.unboundedPreceding, 0)
     at = left.unionByName(right, allowMissingColumns=True).withColumn("at", F.last("period_", ignorenulls=True).over(w)).filter("tag = 1")
     inside = F.col("ts_us") <= F.col("at.until_")
@@ -141,7 +151,7 @@ def reloaded(rows: DataFrame, versions: DataFrame) -> DataFrame:
 def sequences(rows: DataFrame, keys: list[str], letter: Column, pattern: str, window_us: int) -> DataFrame:
     """Events that end the pattern, a string of letters, within the window.
 
-    Only adjacent events of a key match, one letter each in order: another event in between breaks the pattern.
+    Only adjacent events of a key match, one letter each in order: another event in between breaks the pattern. With other events between: ``patterns.matches``.
     """
     if not re.fullmatch(r"[A-Za-z]+", pattern):
         raise ValueError("a pattern is a string of letters")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import correlate, detect, reports
+from ..operators import correlate, detect, patterns, reports
 from ..sources import capture, decoders, formats, protocols, streams
 from .frames import _hellos, _MAC, _TEXT, be, raw
-from .tables import HOUR, WEB, P, packets, web
+from .tables import DAY, HOUR, WEB, P, packets, read, web
 
 QUERIES, SQL = {}, {}
 
@@ -208,6 +208,32 @@ def dns_over_tcp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(F.col("dst_ip4").alias("client_ip4"), "conn", "nth", F.col("dns_id").cast("long").alias("id"), F.col("dns_qname").alias("qname"), F.col("answer_value").alias("address"))
 
 
+@query("""WITH h AS (SELECT page_id, html, lower(html) AS low FROM pages WHERE length(html) > 0), c AS (
+  SELECT page_id, octet_length(encode(html))::BIGINT AS size, (length(low) - length(replace(low, '<script', ''))) // 7 AS scripts, (length(html) - length(replace(html, 'href', ''))) // 4 AS links,
+         CASE WHEN contains(html, '<p>') THEN octet_length(encode(split_part(html, '<p>', 1))) END AS p FROM h)
+SELECT page_id, size, 'scripted' AS rule FROM c WHERE scripts >= 1 UNION ALL SELECT page_id, size, 'many_links' FROM c WHERE links >= 3 AND size < 100000 UNION ALL SELECT page_id, size, 'late_text' FROM c WHERE p > 200""")
+def stream_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages sent in segments of 5 bytes: every signature is cut; counts, places and sizes in conditions."""
+    h = read(spark, sf_dir, "pages").filter("length(html) > 0")
+    s = segments(h.select(F.col("page_id").alias("id"), (F.col("page_id") * 1_000_000).alias("opened"), F.encode("html", "UTF-8").alias("data"), *(F.col("page_id").alias(c) for c in streams.SIDE)), 5)
+    rules = [
+        patterns.Signature("scripted", {"s": b"<SCRIPT"}, "n_s >= 1", frozenset("s")),
+        patterns.Signature("many_links", {"a": b"href"}, "n_a >= 3 AND size < 100000"),
+        patterns.Signature("late_text", {"p": b"<p>"}, "first_p > 200"),
+    ]
+    return patterns.signatures(s, rules).select(F.col("src_ip4").alias("page_id"), "size", "rule")
+
+
+@query(f"""WITH {P}, o AS (SELECT src_ip4, seq, ts_us, kind, max(CASE WHEN kind = 'view' THEN ts_us END) OVER w AS v, max(CASE WHEN kind = 'signup' THEN ts_us END) OVER w AS broken FROM p WINDOW w AS (PARTITION BY src_ip4 ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, last_value(CASE WHEN kind = 'click' THEN ts_us END IGNORE NULLS) OVER w AS clicked, last_value(CASE WHEN kind = 'click' THEN v END IGNORE NULLS) OVER w AS began FROM o WINDOW w AS (PARTITION BY src_ip4 ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING))
+SELECT src_ip4, seq, ts_us, began AS began_us, ts_us - began AS took_us FROM c WHERE kind = 'purchase' AND began IS NOT NULL AND ts_us - began <= {2 * DAY} AND (broken IS NULL OR broken < clicked)""")
+def pattern_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view, later a click, later a purchase within two days, with anything between, but no signup between click and purchase."""
+    kind = lambda name: F.col("kind") == name
+    steps = [patterns.Step(kind("view")), patterns.Step(kind("click")), patterns.Step(kind("purchase"), unless=kind("signup"))]
+    return patterns.matches(packets(spark, sf_dir), ["src_ip4"], steps, 2 * DAY)
+
+
 @query(f"""WITH {P}, a AS (SELECT *, CASE WHEN len > 500 THEN 'error' ELSE 'warning' END AS severity FROM p WHERE kind = 'signup') SELECT src_ip4::VARCHAR AS key,
 'kind=signup,severity=' || severity AS headers, '{{"timeUnixNano":"' || ts_us * 1000 || '","severityNumber":' || CASE severity WHEN 'error' THEN 17 ELSE 13 END || ',"severityText":"' || upper(severity) || '","body":{{"stringValue":"signup"}},"attributes":[{{"key":"key","value":{{"stringValue":"' || src_ip4 ||
 '"}}}},{{"key":"dst","value":{{"stringValue":"' || dst_port || '"}}}},{{"key":"len","value":{{"doubleValue":' || len::DOUBLE || '}}}}]}}' AS log,
