@@ -29,6 +29,10 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def ip4_text(ip4: Column) -> Column:
+    return F.when(ip4.isNotNull(), _dotted(ip4))
+
+
+def _dotted(ip4: Column) -> Column:
     return F.concat_ws(".", *(F.shiftright(ip4, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)))
 
 
@@ -140,6 +144,17 @@ def in_cidr6(ip6: Column, net: str) -> Column:
     return ip6.between(F.lit(n.network_address.packed), F.lit(n.broadcast_address.packed))
 
 
+def ip_text(ip4: Column, ip6: Column | None = None) -> Column:
+    """The text of an end that has an IPv4 address as a number or an IPv6 address of 16 bytes; null if it has neither."""
+    return ip4_text(ip4) if ip6 is None else F.coalesce(ip4_text(ip4), ip6_text(ip6))
+
+
+def ip_octets(ip4: Column, ip6: Column | None = None) -> Column:
+    """The 4 or 16 bytes of such an end."""
+    four = F.when(ip4.isNotNull(), _octets(ip4, 4))
+    return four if ip6 is None else F.coalesce(four, ip6)
+
+
 def unit_interval(h: Column) -> Column:
     """A 64-bit hash as a double in [0, 1)."""
     return F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
@@ -168,19 +183,38 @@ def _octets(value: Column, size: int) -> Column:
 
 
 def community_id(proto: Column, ip_a: Column, port_a: Column, ip_b: Column, port_b: Column, seed: int = 0) -> Column:
-    """Version 1 of the public community id for IPv4 flows given as numbers."""
-    first = (ip_a < ip_b) | ((ip_a == ip_b) & (port_a <= port_b))
-    end = lambda ip, port: F.struct(ip.alias("ip"), port.alias("port"))
-    lo, hi = F.when(first, end(ip_a, port_a)).otherwise(end(ip_b, port_b)), F.when(first, end(ip_b, port_b)).otherwise(end(ip_a, port_a))
-    raw = F.concat(F.lit(seed.to_bytes(2, "big")), _octets(lo["ip"], 4), _octets(hi["ip"], 4), _octets(proto, 1), F.lit(b"\0"), _octets(lo["port"], 2), _octets(hi["port"], 2))
+    """Version 1 of the public community id for flows whose ends are IPv4 addresses as numbers; ``community_id_of`` takes their bytes."""
+    return community_id_of(proto, _octets(ip_a, 4), port_a, _octets(ip_b, 4), port_b, seed)
+
+
+def community_id_of(proto: Column, a: Column, port_a: Column, b: Column, port_b: Column, seed: int = 0) -> Column:
+    """Version 1 of the public community id for flows between addresses of 4 or 16 bytes."""
+    first = (a < b) | ((a == b) & (port_a <= port_b))
+    pick = lambda yes, no: F.when(first, yes).otherwise(no)
+    raw = F.concat(F.lit(seed.to_bytes(2, "big")), pick(a, b), pick(b, a), _octets(proto, 1), F.lit(b"\0"), _octets(pick(port_a, port_b), 2), _octets(pick(port_b, port_a), 2))
     return F.concat(F.lit("1:"), F.base64(F.unhex(F.sha1(raw))))
 
 
+#: A key whose 16-bit words are all the same: both ways of a flow get one hash.
+SYMMETRIC_KEY = bytes.fromhex("6d5a" * 20)
+
+
+def rss_hash6(src_ip6: Column, dst_ip6: Column, src_port: Column | None = None, dst_port: Column | None = None, key: bytes = RSS_KEY) -> Column:
+    """The Toeplitz hash of a pair of IPv6 addresses of 16 bytes, with ports if given."""
+    word = lambda ip, k: F.conv(F.hex(F.substring(ip, 4 * k + 1, 4)), 16, 10).cast("long")
+    fields = [(word(ip, k), 32) for ip in (src_ip6, dst_ip6) for k in range(4)]
+    return _toeplitz(fields + ([(src_port, 16), (dst_port, 16)] if src_port is not None else []), key)
+
+
 def rss_hash(src_ip4: Column, dst_ip4: Column, src_port: Column | None = None, dst_port: Column | None = None, key: bytes = RSS_KEY) -> Column:
-    """Toeplitz hash of an IPv4 pair, with ports if given: the key's 32-bit windows at all set bits, XORed."""
+    """Toeplitz hash of an IPv4 pair, with ports if given. With ``SYMMETRIC_KEY`` both ways of a flow have the same."""
+    return _toeplitz([(src_ip4, 32), (dst_ip4, 32)] + ([(src_port, 16), (dst_port, 16)] if src_port is not None else []), key)
+
+
+def _toeplitz(fields: list[tuple[Column, int]], key: bytes) -> Column:
+    """The key's 32-bit windows at all set bits, XORed."""
     bits = int.from_bytes(key, "big")
     window = lambda i: (bits >> (8 * len(key) - 32 - i)) & 0xFFFFFFFF
-    fields = [(src_ip4, 32), (dst_ip4, 32)] + ([(src_port, 16), (dst_port, 16)] if src_port is not None else [])
     out, at = F.lit(0).cast("long"), 0
     for column, width in fields:
         windows = F.array(*(F.lit(window(at + i)).cast("long") for i in range(width)))

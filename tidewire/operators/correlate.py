@@ -130,9 +130,15 @@ def indicator_hosts(rows: DataFrame, name: str, indicators: DataFrame) -> DataFr
 
 
 def indicator_addresses(rows: DataFrame, indicators: DataFrame) -> DataFrame:
-    """One row a side of rows whose address is an indicator's ip4: the destination's and the source's."""
-    sides = F.array(F.struct(F.lit("dst").alias("side"), F.col("dst_ip4").alias("ip4")), F.struct(F.lit("src").alias("side"), F.col("src_ip4").alias("ip4")))
-    return rows.withColumn("s", F.explode(sides)).select(*rows.columns, "s.side", "s.ip4").join(dimension(indicators), "ip4")
+    """One row a side of rows whose address is an indicator's: the destination's and the source's. Indicators have ``ip4`` numbers, or ``ip`` as text of either family."""
+    side = lambda name, *columns: F.struct(F.lit(name).alias("side"), *columns)
+    if "ip" not in indicators.columns:
+        sides = F.array(*(side(x, F.col(f"{x}_ip4").alias("ip4")) for x in ("dst", "src")))
+        return rows.withColumn("s", F.explode(sides)).select(*rows.columns, "s.side", "s.ip4").join(dimension(indicators), "ip4")
+    octets = lambda x: net.ip_octets(F.col(f"{x}_ip4"), F.col(f"{x}_ip6") if f"{x}_ip6" in rows.columns else None)
+    bad = indicators.withColumn("octets_", F.coalesce(net.ip_octets(net.ip4_number(F.col("ip"))), net.ip6_bytes(F.col("ip"))))
+    each = rows.withColumn("s_", F.explode(F.array(*(side(x, octets(x).alias("octets_")) for x in ("dst", "src"))))).select(*rows.columns, "s_.*")
+    return each.join(dimension(bad), "octets_").drop("octets_")
 
 
 def indicator_fingerprints(rows: DataFrame, kinds: list[str], indicators: DataFrame) -> DataFrame:

@@ -212,9 +212,11 @@ def _finished(parts: DataFrame) -> DataFrame:
 
 
 def records(f: DataFrame) -> DataFrame:
-    """IPv4 flows as export records: endpoints as text, community id, reason."""
-    ids = net.community_id(F.col("proto"), F.col("a_ip4"), F.col("a_port"), F.col("b_ip4"), F.col("b_port"))
-    return f.withColumns({"a_ip": net.ip4_text(F.col("a_ip4")), "b_ip": net.ip4_text(F.col("b_ip4")), "community_id": ids})
+    """Flows of either family as export records: endpoints as text, community id, reason."""
+    six = lambda x: F.col(f"{x}_ip6") if f"{x}_ip6" in f.columns else None
+    ends = {x: net.ip_octets(F.col(f"{x}_ip4"), six(x)) for x in "ab"}
+    ids = net.community_id_of(F.col("proto"), ends["a"], F.col("a_port"), ends["b"], F.col("b_port"))
+    return f.withColumns({f"{x}_ip": net.ip_text(F.col(f"{x}_ip4"), six(x)) for x in "ab"} | {"community_id": ids})
 
 
 def interim(packets: DataFrame, period_us: int, idle: Column | None = None) -> DataFrame:

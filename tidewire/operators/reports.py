@@ -43,8 +43,12 @@ def talkers(packets: DataFrame, period_us: int, n: int, key: str = "src_ip4") ->
 
 
 def matrix(packets: DataFrame) -> DataFrame:
-    """Bytes and packets of each pair of hosts, whoever sends."""
-    return packets.groupBy(F.least("src_ip4", "dst_ip4").alias("host_a"), F.greatest("src_ip4", "dst_ip4").alias("host_b")).agg(F.sum("len").alias("bytes"), F.count(F.lit(1)).alias("packets"))
+    """Bytes and packets of each pair of hosts, whoever sends: IPv4 addresses as numbers; where there are IPv6 ends all as text."""
+    ends = ["src_ip4", "dst_ip4"]
+    if "src_ip6" in packets.columns:
+        packets = packets.withColumns({f"{x}_host_": net.ip_text(F.col(f"{x}_ip4"), F.col(f"{x}_ip6")) for x in ("src", "dst")})
+        ends = ["src_host_", "dst_host_"]
+    return packets.groupBy(F.least(*ends).alias("host_a"), F.greatest(*ends).alias("host_b")).agg(F.sum("len").alias("bytes"), F.count(F.lit(1)).alias("packets"))
 
 
 def bandwidth_by(packets: DataFrame, label: Column, window_us: int = 10_000_000, bucket_us: int = 1_000_000) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import net
 from ..operators import correlate, flows, reports
-from ..sources import capture, decoders
+from ..sources import capture, decoders, formats
 from .tables import DAY, HOUR, WEB, P, packets, read, two_way, web
 
 QUERIES, SQL = {}, {}
@@ -166,6 +166,68 @@ def icmp_error_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("seq", "icmp_kind", F.col("flow_start_us").alias("start_us"), F.col("flow_end_us").alias("end_us"))
 
 
+#: Idle flows of both families with their ends as text and as bytes in hex.
+_DUAL = f"""{FLAGGED}, dq AS (SELECT *, {_SIX} AS six, CASE WHEN {_SIX} THEN CASE WHEN user_id = 0 THEN '2001:db8::' ELSE '2001:db8::' || printf('%x', user_id) END ELSE {_TEXT("src_ip4")} END AS a,
+  CASE WHEN {_SIX} THEN '2001:db8:1::' || printf('%x:%x', dst_ip4 >> 16, dst_ip4 & 65535) ELSE {_TEXT("dst_ip4")} END AS b, CASE WHEN {_SIX} THEN '20010db8' || printf('%024x', user_id) ELSE printf('%08x', src_ip4) END AS ah,
+  CASE WHEN {_SIX} THEN '20010db80001' || printf('%020x', dst_ip4) ELSE printf('%08x', dst_ip4) END AS bh FROM t),
+dw AS (SELECT *, coalesce(ts_us - lag(ts_us) OVER w > {6 * HOUR}, true)::INT AS new FROM dq WINDOW w AS (PARTITION BY proto, user_id, dst_ip4, dst_port ORDER BY ts_us, seq)),
+dn AS (SELECT *, sum(new) OVER (PARTITION BY proto, user_id, dst_ip4, dst_port ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS nth FROM dw),
+df AS (SELECT a, b, ah, bh, six, user_id, dst_ip4, proto, src_port, dst_port, nth, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS packets FROM dn GROUP BY ALL)"""
+
+
+def _dual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture.decoded(frames(spark, sf_dir))
+
+
+@query(f"""WITH {_DUAL} SELECT a AS orig_h, src_port AS orig_p, b AS resp_h, dst_port AS resp_p, CASE proto WHEN 6 THEN 'tcp' ELSE 'udp' END AS proto, round(start_us / 1e6, 3) AS ts, packets,
+'1:' || base64(unhex(sha1(unhex('0000' || ah || bh || printf('%02x', proto) || '00' || printf('%04x', src_port) || printf('%04x', dst_port))))) AS community_id FROM df""")
+def dual_stack_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The connection log and the ids of flows over both families."""
+    f = flows.flows(_dual(spark, sf_dir).drop("tcp_flags"), F.lit(6 * HOUR)).withColumn("row_", F.monotonically_increasing_id())
+    log = formats.conn_log(f)
+    ids = formats.export_records(f).select((F.col("flowStartMicroseconds") / 1e6).alias("ts"), F.coalesce(net.ip4_text(F.col("sourceIPv4Address")), "sourceIPv6Address").alias("orig_h"), F.col("sourceTransportPort").alias("orig_p"), F.coalesce(net.ip4_text(F.col("destinationIPv4Address")), "destinationIPv6Address").alias("resp_h"), F.col("destinationTransportPort").alias("resp_p"), F.col("packetTotalCount").alias("packets"), F.col("communityId").alias("community_id"))
+    both = log.join(ids, ["ts", "orig_h", "orig_p", "resp_h", "resp_p"])
+    longs = [F.col(c).cast("long").alias(c) for c in ("orig_p", "resp_p")]
+    return both.select("orig_h", *longs, "resp_h", "proto", F.round("ts", 3).alias("ts"), "packets", "community_id")
+
+
+@query(f"""WITH {_DUAL}, e AS (SELECT *, ts_us + {HOUR} AS at_us, CASE WHEN seq % 3 = 0 THEN 'port_unreachable' WHEN seq % 3 = 1 THEN 'time_exceeded' END AS icmp_kind FROM dq WHERE seq % 4 = 0 AND seq % 3 < 2)
+SELECT e.seq, icmp_kind, e.six, max(start_us) AS start_us FROM e LEFT JOIN df ON df.user_id = e.user_id AND df.dst_ip4 = e.dst_ip4 AND df.proto = e.proto AND df.dst_port = e.dst_port AND at_us BETWEEN start_us AND end_us + {HOUR // 2} GROUP BY ALL""")
+def icmp_errors_of_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth frame is answered an hour later by an error of its family that quotes it from its address on."""
+    p = packets(spark, sf_dir).filter("seq % 4 = 0").select("seq", "user_id")
+    f = frames(spark, sf_dir).filter("seq % 4 = 0").join(p, "seq")
+    six = F.col("user_id") % 5 == 0
+    inner = F.substring("data", F.when(F.col("seq") % 7 == 0, 19).otherwise(15), F.lit(60))
+    head = lambda a, b: F.when(F.col("seq") % 3 == 0, raw(a)).when(F.col("seq") % 3 == 1, raw(b)).otherwise(raw("0501"))
+    body = F.concat(F.when(six, F.when(F.col("seq") % 3 == 2, raw("8900")).otherwise(head("0104", "0300"))).otherwise(head("0303", "0b00")), be(0, 6), inner)
+    none = F.lit(None).cast("binary")
+    errors = f.select("seq", (F.floor(F.col("ts_ns") / 1000) + HOUR).alias("ts_us"), F.when(six, 58).otherwise(1).alias("proto"), none.alias("src_ip6"), body.alias("payload"), six.alias("six"))
+    told = decoders.about_flows(decoders.icmp(errors), flows.flows(_dual(spark, sf_dir).drop("tcp_flags"), F.lit(6 * HOUR)), HOUR // 2, ["start_us"])
+    return told.select("seq", "icmp_kind", "six", F.col("flow_start_us").alias("start_us"))
+
+
+@query(f"""WITH {_DUAL}, b AS (SELECT * FROM (VALUES ('2001:db8::5', 90::BIGINT), ('10.0.0.7', 50), ('2001:db8:1::c0a8:101', 70), ('9.9.9.9', 1)) AS v(ip, reputation))
+SELECT seq, 'dst' AS side, ip, reputation FROM dq JOIN b ON dq.b = b.ip UNION ALL SELECT seq, 'src', ip, reputation FROM dq JOIN b ON dq.a = b.ip""")
+def indicators_of_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators given as text in any spelling."""
+    bad = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(i).alias("ip"), F.lit(r).cast("long").alias("reputation")) for i, r in (("2001:DB8:0::5", 90), ("10.0.0.7", 50), ("2001:db8:1::192.168.1.1", 70), ("9.9.9.9", 1))))))
+    hits = correlate.indicator_addresses(_dual(spark, sf_dir), bad)
+    return hits.select("seq", "side", net.ip_text(F.when(F.col("side") == "dst", F.col("dst_ip4")).otherwise(F.col("src_ip4")), F.when(F.col("side") == "dst", F.col("dst_ip6")).otherwise(F.col("src_ip6"))).alias("ip"), "reputation")
+
+
+@query(f"""WITH {_DUAL}, l AS (SELECT *, CASE WHEN proto = 17 THEN CASE WHEN len % 50 > 0 THEN 'd' ELSE 'a' END WHEN tcp_flags = 2 THEN 's' WHEN tcp_flags = 17 THEN 'f' WHEN tcp_flags = 20 THEN 'r' WHEN len % 50 > 0 THEN 'd' ELSE 'a' END AS c FROM dq)
+SELECT a, b, string_agg(upper(c), '' ORDER BY ts_us, seq) AS history, sum(octets)::BIGINT AS bytes FROM (SELECT *, CASE WHEN proto = 17 THEN 28 ELSE 40 END + CASE WHEN six THEN 20 ELSE 0 END + 14 + CASE WHEN seq % 7 = 0 THEN 4 ELSE 0 END + len % 50 AS octets FROM l) GROUP BY a, b""")
+def dual_stack_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories and bytes of pairs of hosts of both families."""
+    d = _dual(spark, sf_dir)
+    h = flows.history(flows.with_key(d), ["a_ip4", "a_ip6", "b_ip4", "b_ip6"])
+    h = h.select(net.ip_text(F.col("a_ip4"), F.col("a_ip6")).alias("a"), net.ip_text(F.col("b_ip4"), F.col("b_ip6")).alias("b"), "history")
+    m = reports.matrix(d)
+    same = (F.least("a", "b") == F.col("host_a")) & (F.greatest("a", "b") == F.col("host_b"))
+    return h.join(m, same).select("a", "b", "history", "bytes")
+
+
 @query("SELECT page_id, octet_length(encode(html))::BIGINT AS n_bytes, md5(html) AS digest FROM pages WHERE length(html) > 0")
 def stream_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages cut into segments of 500 bytes that overlap by 100, put together again."""

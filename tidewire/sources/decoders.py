@@ -20,25 +20,43 @@ def number(c: Column, at: int, size: int) -> Column:
 
 
 def icmp(packets: DataFrame) -> DataFrame:
-    """ICMPv4 errors with their slug and the 5-tuple of the packet that they are about; ``about_flows`` finds its flow."""
-    p = packets.filter("proto = 1").filter(F.length("payload") >= 8)
+    """ICMP errors of both families with their slug (told alike) and the 5-tuple of the packet that they are about; ``about_flows`` finds its flow.
+
+    An IPv6 packet that an error is about is read without option headers.
+    """
+    six = "src_ip6" in packets.columns
     body = F.col("payload")
+    p = packets.filter(F.col("proto").isin(1, 58) if six else F.col("proto") == 1).filter(F.length("payload") >= 8)
+    new = F.col("proto") == 58
+    out = p.withColumns({"icmp_type": number(body, 0, 1), "icmp_code": number(body, 1, 1)})
+    kinds = [k(F.col("icmp_type"), F.col("icmp_code")) for k in (net.icmp6_kind, net.icmp_kind)]
+    out = out.withColumn("icmp_kind", F.when(new, kinds[0]).otherwise(kinds[1]) if six else kinds[1]).filter("icmp_kind IS NOT NULL")
     inner = F.substring(body, 9, 1 << 16)
     head = F.conv(F.hex(F.substring(inner, 1, 1)), 16, 10).cast("int").bitwiseAND(F.lit(15)) * 4
+    head = F.when(new, 40).otherwise(head) if six else head
     port = lambda at: F.conv(F.nullif(F.hex(F.substring(inner, head + at, F.lit(2))), F.lit("")), 16, 10).cast("long")
-    out = p.withColumns({"icmp_type": number(body, 0, 1), "icmp_code": number(body, 1, 1)})
-    out = out.withColumn("icmp_kind", net.icmp_kind(F.col("icmp_type"), F.col("icmp_code"))).filter("icmp_kind IS NOT NULL")
-    return out.withColumns({"about_proto": number(inner, 9, 1), "about_src_ip4": number(inner, 12, 4), "about_dst_ip4": number(inner, 16, 4), "about_src_port": port(1), "about_dst_port": port(3)})
+    four = lambda c: F.when(~new, c) if six else c
+    told = {"about_src_ip4": four(number(inner, 12, 4)), "about_dst_ip4": four(number(inner, 16, 4)), "about_src_port": port(1), "about_dst_port": port(3)}
+    if six:
+        end = lambda at: F.when(new & (F.length(inner) >= at + 16), F.substring(inner, at + 1, 16))
+        told |= {"about_proto": F.when(new, number(inner, 6, 1)).otherwise(number(inner, 9, 1)), "about_src_ip6": end(8), "about_dst_ip6": end(24)}
+    else:
+        told["about_proto"] = number(inner, 9, 1)
+    return out.withColumns(told)
 
 
 def about_flows(errors: DataFrame, flows_: DataFrame, grace_us: int, keep: list[str]) -> DataFrame:
     """ICMP errors (ts_us, about_*) with the columns ``keep`` of the flow that they are about: the latest begun one of its key
     that had not ended more than ``grace_us`` before; null without one."""
-    about = {f"{x}_{c}": F.col(f"about_{x}_{c}") for x in ("src", "dst") for c in ("ip4", "port")} | {"proto": F.col("about_proto")}
+    both = "about_src_ip6" in errors.columns and "a_ip6" in flows_.columns
+    fields = ("ip4", "port", "ip6") if both else ("ip4", "port")
+    about = {f"{x}_{c}": F.col(f"about_{x}_{c}") for x in ("src", "dst") for c in fields} | {"proto": F.col("about_proto")}
     named = errors.select("*").withColumn("error_", F.struct(*errors.columns)).select("error_", "ts_us", *(c.alias(n) for n, c in about.items()))
-    keyed = flows.with_key(named).select("error_", "ts_us", *flows.KEY)
-    periods = flows_.select(*flows.KEY, "start_us", (F.col("end_us") + grace_us).alias("until_us"), *(F.col(c).alias(f"flow_{c}") for c in keep))
-    found = correlate.within(keyed, periods, flows.KEY, "start_us", "until_us", [f"flow_{c}" for c in keep])
+    key = flows.key_of(flows_) if both else flows.KEY
+    plain = lambda t: t.withColumns({c: F.coalesce(F.col(c).cast("long"), F.lit(-1)) for c in key if not c.endswith("ip6")} | {c: F.coalesce(c, F.lit(b"")) for c in key if c.endswith("ip6")})
+    keyed = plain(flows.with_key(named)).select("error_", "ts_us", *key)
+    periods = plain(flows_).select(*key, "start_us", (F.col("end_us") + grace_us).alias("until_us"), *(F.col(c).alias(f"flow_{c}") for c in keep))
+    found = correlate.within(keyed, periods, key, "start_us", "until_us", [f"flow_{c}" for c in keep])
     return found.select("error_.*", *(f"flow_{c}" for c in keep))
 
 

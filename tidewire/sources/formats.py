@@ -16,6 +16,7 @@ EXPORT_NAMES = {
     "start_us": "flowStartMicroseconds", "end_us": "flowEndMicroseconds", "proto": "protocolIdentifier",
     "src_ip4": "sourceIPv4Address", "src_port": "sourceTransportPort", "dst_ip4": "destinationIPv4Address", "dst_port": "destinationTransportPort",
     "packets_initiator": "initiatorPackets", "bytes_initiator": "initiatorOctets", "packets_responder": "responderPackets", "bytes_responder": "responderOctets",
+    "src_ip6": "sourceIPv6Address", "dst_ip6": "destinationIPv6Address",
     "packets": "packetTotalCount", "bytes": "octetTotalCount", "reason": "originalEndReason", "community_id": "communityId",
 }
 #: Severity numbers of telemetry logs.
@@ -117,21 +118,43 @@ def metric_values(f: DataFrame) -> DataFrame:
 
 
 def export_records(f: DataFrame) -> DataFrame:
-    """IPv4 flows under the names of the flow export standard, its initiator as the source, with the standard's code for why it ended and the reason itself."""
+    """Flows under the names of the flow export standard, their initiator as the source, with the standard's code for why they ended and the reason itself.
+
+    Flows with IPv6 ends (a_ip6, b_ip6) have those as text, and null IPv4 ends.
+    """
     own = F.col("a_initiated")
-    ends = {f"{to}_{c}": F.when(own, F.col(f"{yes}_{c}")).otherwise(F.col(f"{no}_{c}")) for to, yes, no in (("src", "a", "b"), ("dst", "b", "a")) for c in ("ip4", "port")}
+    six = "a_ip6" in f.columns
+    pick = lambda yes, no: F.when(own, yes).otherwise(no)
+    ends = {f"{to}_{c}": pick(F.col(f"{yes}_{c}"), F.col(f"{no}_{c}")) for to, yes, no in (("src", "a", "b"), ("dst", "b", "a")) for c in ("ip4", "port")}
+    if six:
+        ends |= {f"{to}_ip6": pick(net.ip6_text(F.col(f"{yes}_ip6")), net.ip6_text(F.col(f"{no}_ip6"))) for to, yes, no in (("src", "a", "b"), ("dst", "b", "a"))}
     totals = {c: F.col(f"{c}_initiator") + F.col(f"{c}_responder") for c in ("packets", "bytes")}
-    f = f.withColumns(ends | totals | {"community_id": net.community_id(F.col("proto"), F.col("a_ip4"), F.col("a_port"), F.col("b_ip4"), F.col("b_port"))})
-    return f.select(*(F.col(c).alias(n) for c, n in EXPORT_NAMES.items()), F.coalesce(_code(F.col("reason"), END_REASONS), F.lit(2)).cast("long").alias("flowEndReason"))
+    f = f.withColumns(ends | totals | {"community_id": flow_id(f)})
+    names = {c: n for c, n in EXPORT_NAMES.items() if six or not c.endswith("ip6")}
+    return f.select(*(F.col(c).alias(n) for c, n in names.items()), F.coalesce(_code(F.col("reason"), END_REASONS), F.lit(2)).cast("long").alias("flowEndReason"))
+
+
+def flow_id(f: DataFrame) -> Column:
+    """The community id of flows of either family."""
+    ends = [net.ip_octets(F.col(f"{x}_ip4"), F.col(f"{x}_ip6") if f"{x}_ip6" in f.columns else None) for x in "ab"]
+    return net.community_id_of(F.col("proto"), ends[0], F.col("a_port"), ends[1], F.col("b_port"))
+
+
+#: States of the connection log by our states of a connection.
+LOG_STATES = {"reset": "RSTO", "closed": "SF", "half_closed": "S2", "established": "S1", "opening": "S0", "midstream": "OTH"}
 
 
 def conn_log(f: DataFrame) -> DataFrame:
-    """Flows as a connection log; write it with ``csv(sep="\\t")``."""
+    """Flows of either family as a connection log; write it with ``csv(sep="\\t")``. Without states of connections they are told by the reason and by whether there was an answer."""
     own = F.col("a_initiated")
     pick = lambda a, b: F.when(own, F.col(a)).otherwise(F.col(b))
+    text = {x: net.ip_text(F.col(f"{x}_ip4"), F.col(f"{x}_ip6") if f"{x}_ip6" in f.columns else None) for x in "ab"}
     state = F.when(F.col("reason") == "rst", "RSTO").when((F.col("packets_responder") > 0) & (F.col("reason") == "fin"), "SF").when(F.col("packets_responder") > 0, "S1").otherwise("S0")
+    if "state" in f.columns:
+        told = F.when((F.col("state") == "opening") & (F.col("packets_responder") > 0), "S1").otherwise(_code(F.col("state"), LOG_STATES))
+        state = F.coalesce(told, state)
     return f.select(
-        (F.col("start_us") / 1e6).alias("ts"), net.ip4_text(pick("a_ip4", "b_ip4")).alias("orig_h"), pick("a_port", "b_port").alias("orig_p"), net.ip4_text(pick("b_ip4", "a_ip4")).alias("resp_h"), pick("b_port", "a_port").alias("resp_p"),
+        (F.col("start_us") / 1e6).alias("ts"), F.when(own, text["a"]).otherwise(text["b"]).alias("orig_h"), pick("a_port", "b_port").alias("orig_p"), F.when(own, text["b"]).otherwise(text["a"]).alias("resp_h"), pick("b_port", "a_port").alias("resp_p"),
         net.proto_label(F.col("proto")).alias("proto"), ((F.col("end_us") - F.col("start_us")) / 1e6).alias("duration"), F.col("bytes_initiator").alias("orig_bytes"), F.col("bytes_responder").alias("resp_bytes"), state.alias("conn_state"),
     )
 
