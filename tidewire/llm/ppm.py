@@ -47,6 +47,8 @@ WINDOW = 1 << 20
 ORDER = 5
 #: Training text a bucket of words or grams, beside the first buckets, and blocks a group.
 BUCKET_BYTES, BUCKETS, GROUP_BLOCKS = 32 << 20, 64, 1024
+#: Training text for each task of the last stage, at least.
+TASK_BYTES = 64 << 20
 
 
 def _laid(raw: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -334,27 +336,54 @@ def _values(of: pa.ChunkedArray, kind: str, bucket: pa.ChunkedArray, each: list[
     return pa.table({"of": of, "kind": pa.array([kind] * n, pa.string()), "bucket": bucket, "values": pa.array([pack(x) for x in each], pa.binary())} | more)
 
 
-def word_counts(told: DataFrame) -> DataFrame:
-    """Corpus-wide counts (64-bit) of each block's words of a bucket; and a row a bucket, ``of`` null, with their sum and how many are over 0."""
+def word_sums(told: DataFrame, groups: int) -> DataFrame:
+    """A row a bucket: its distinct words of the whole corpus with their counts (64-bit), their sum (``total``) and how many are over 0 (``kinds``).
 
-    def run(rows: pa.Table) -> pa.Table:
-        each = [zstandard.decompress(x.as_py()).split(b" ") for x in rows["keys"]]
-        coded = pa.array([w for x in each for w in x], pa.large_binary()).dictionary_encode()
-        which = coded.indices.to_numpy()
-        c = np.bincount(which, np.concatenate([unpack(x.as_py(), "<u4") for x in rows["counts"]]), minlength=len(coded.dictionary)).astype("<i8")
-        own = np.split(c[which], np.cumsum([len(x) for x in each])[:-1])
-        none = lambda t: pa.nulls(rows.num_rows, t)
-        out = _values(rows["block"], "words", rows["bucket"], own, total=none(pa.int64()), kinds=none(pa.int64()))
-        sums = {"bucket": rows["bucket"][:1], "total": pa.array([int(c.sum())]), "kinds": pa.array([int((c > 0).sum())])}
-        return pa.concat_tables([out, pa.table({f.name: sums.get(f.name, pa.nulls(1, f.type)) for f in out.schema})])
+    Words are summed by bucket and group of blocks first, so a word that all blocks have comes to a bucket once a group.
+    """
+
+    def summed(rows: pa.Table, kind: str) -> dict:
+        coded = pa.array([w for x in rows["keys"] for w in zstandard.decompress(x.as_py()).split(b" ")], pa.large_binary()).dictionary_encode()
+        n = np.concatenate([unpack(x.as_py(), kind) for x in rows["counts"]])
+        c = np.bincount(coded.indices.to_numpy(), n, minlength=len(coded.dictionary)).astype("<i8")
+        packed = zstandard.compress(b" ".join(coded.dictionary.to_pylist()), 3)
+        return {"bucket": rows["bucket"][:1], "keys": pa.array([packed], pa.binary()), "counts": pa.array([pack(c)], pa.binary()), "total": pa.array([int(c.sum())]), "kinds": pa.array([int((c > 0).sum())])}
+
+    of_part = lambda rows: pa.table(summed(rows, "<u4")).select(["bucket", "keys", "counts"])
+    of_bucket = lambda rows: pa.table(summed(rows, "<i8"))
+    parts = _grouped(told, "words", groups).groupBy("bucket", "part").applyInArrow(of_part, "bucket int, keys binary, counts binary")
+    return parts.groupBy("bucket").applyInArrow(of_bucket, "bucket int, keys binary, counts binary, total long, kinds long")
+
+
+def _grouped(told: DataFrame, kind: str, groups: int) -> DataFrame:
+    return told.filter(F.col("kind") == kind).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+
+
+def _copied(model: DataFrame, groups: int, *columns: str) -> DataFrame:
+    """A model's buckets, one for each group of blocks."""
+    return model.select(F.col("bucket").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), *columns)
+
+
+def word_counts(told: DataFrame, sums: DataFrame, groups: int) -> DataFrame:
+    """Corpus-wide counts (64-bit) of each block's words of a bucket, in their order."""
+
+    def look_up(rows: pa.Table, model: pa.Table) -> pa.Table:
+        if not rows.num_rows:  # no block of the group has a word of the bucket
+            return _values(rows["block"], "words", rows["bucket"], [])
+        known = pa.array(zstandard.decompress(model["keys"][0].as_py()).split(b" "), pa.large_binary())
+        c = unpack(model["counts"][0].as_py(), "<i8")
+        each = [pa.array(zstandard.decompress(x.as_py()).split(b" "), pa.large_binary()) for x in rows["keys"]]
+        at = pc.index_in(pa.concat_arrays(each), value_set=known).to_numpy(zero_copy_only=False)
+        return _values(rows["block"], "words", rows["bucket"], np.split(c[at], np.cumsum([len(x) for x in each])[:-1]))
 
-    return told.filter("kind = 'words'").groupBy("bucket").applyInArrow(run, VALUES + ", total long, kinds long")
+    words = _grouped(told, "words", groups).select("block", "bucket", "part", "keys")
+    return words.groupBy("bucket", "part").cogroup(_copied(sums, groups, "keys", "counts").groupBy("of", "group")).applyInArrow(look_up, VALUES)
 
 
 def gram_lengths(told: DataFrame, trie: Trie, order: int, groups: int) -> DataFrame:
     """log10 probabilities (32-bit floats) of each block's grams of a bucket."""
     shared = told.sparkSession.sparkContext.broadcast(trie)
-    grams = told.filter("kind = 'grams'").withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    grams = _grouped(told, "grams", groups)
 
     def summed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         found, where = np.unique(np.concatenate([np.cumsum(unpack(x.as_py(), "<i8")) for x in rows["keys"]]), return_inverse=True)
@@ -380,8 +409,8 @@ def gram_lengths(told: DataFrame, trie: Trie, order: int, groups: int) -> DataFr
 
     parts = grams.groupBy("bucket", "part").applyInArrow(of_part, "bucket int, keys binary, counts binary")
     model = parts.groupBy("bucket").applyInArrow(of_bucket, "bucket int, keys binary, lengths binary")
-    copied = model.select(F.col("bucket").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "keys", "lengths")
-    return grams.select("block", "bucket", "part", "keys").groupBy("bucket", "part").cogroup(copied.groupBy("of", "group")).applyInArrow(look_up, VALUES)
+    copied = _copied(model, groups, "keys", "lengths").groupBy("of", "group")
+    return grams.select("block", "bucket", "part", "keys").groupBy("bucket", "part").cogroup(copied).applyInArrow(look_up, VALUES)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -402,8 +431,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     trained = int(trie.counts.sum())
     buckets, groups = BUCKETS + trained // BUCKET_BYTES, 1 + trained // (WORDS_BYTES * GROUP_BLOCKS)
     told = materialize(tell_blocks(d, order, buckets), "blocks")
-    counted = materialize(word_counts(told), "counts")
-    known = counted.filter("of IS NOT NULL").drop("total", "kinds").unionByName(gram_lengths(told, trie, order, groups))
+    counted = materialize(word_sums(told, groups), "counts")
+    known = word_counts(told, counted, groups).unionByName(gram_lengths(told, trie, order, groups))
     total, kinds = (x or 0 for x in counted.agg(F.sum("total"), F.sum("kinds")).first())
     ends = told.agg(F.sum("trained")).first()[0] or 0
     total, kinds = total + ends, kinds + (ends > 0)
@@ -423,6 +452,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
         out = [part.column(0), part.column(1), *(pa.array(x, t) for x, t in ((size + 1, pa.int64()), (hits + int(ends > 0), pa.int64()), (sums + np.log10(ends + 0.5) - rest, pa.float64()), (scores, pa.float64())))]
         return pa.table(out, names=[x.split()[0] for x in SCORES.split(", ")])
 
-    documents = told.filter("kind = 'documents'").select("block", "keys")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + trained // TASK_BYTES)
+    documents = told.filter("kind = 'documents'").select("block", "keys").repartition(parts, "block")
     scored = documents.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(run, SCORES)
     return scored.withColumn("train_tokens", F.lit(int(total)).cast("long"))
