@@ -235,8 +235,8 @@ def _filler(x: Column) -> Column:
     return (x.bitwiseAND(F.lit(0x0F0F)) == 0x0A0A) & (F.shiftright(x, 8) == x.bitwiseAND(F.lit(255)))
 
 
-def ja4(version: Column, versions: Column, ciphers: Column, extensions: Column, signatures: Column, alpn: Column) -> Column:
-    """The published JA4 fingerprint of a client hello over TCP: counts in the open, then hashes of the sorted ciphers and extensions."""
+def ja4(version: Column, versions: Column, ciphers: Column, extensions: Column, signatures: Column, alpn: Column, transport: str = "t") -> Column:
+    """The published JA4 fingerprint of a client hello over TCP (``transport`` t) or QUIC (q): counts in the open, then hashes of the sorted ciphers and extensions."""
     real = lambda a: F.filter(F.coalesce(a, F.array().cast("array<int>")), lambda x: ~_filler(x))
     code = lambda x: F.lower(F.lpad(F.hex(x), 4, "0"))
     listed = lambda a: F.array_join(F.transform(a, code), ",")
@@ -250,7 +250,7 @@ def ja4(version: Column, versions: Column, ciphers: Column, extensions: Column,
     exts, sign = real(extensions), real(signatures)
     hashed = listed(F.array_sort(F.filter(exts, lambda x: ~x.isin(0, 16))))
     hashed = F.when(F.size(sign) > 0, F.concat(hashed, F.lit("_"), listed(sign))).otherwise(hashed)
-    head = F.concat(F.lit("t"), named, F.when(F.array_contains(exts, 0), "d").otherwise("i"), count(real(ciphers)), count(exts), offer)
+    head = F.concat(F.lit(transport), named, F.when(F.array_contains(exts, 0), "d").otherwise("i"), count(real(ciphers)), count(exts), offer)
     return F.concat_ws("_", head, digest(real(ciphers), listed(F.array_sort(real(ciphers)))), digest(exts, hashed))
 
 

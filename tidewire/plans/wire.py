@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import correlate, detect, patterns, reports
-from ..sources import capture, decoders, formats, protocols, streams
+from ..sources import capture, decoders, formats, protocols, quic, streams
 from .frames import _hellos, _MAC, _TEXT, be, raw
 from .tables import DAY, HOUR, WEB, P, packets, read, web
 
@@ -234,6 +234,33 @@ def pattern_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.matches(packets(spark, sf_dir), ["src_ip4"], steps, 2 * DAY)
 
 
+@query(f"WITH {WEB} SELECT page_id, http_host AS sni, 'h3' AS alpn, 'q13d0103h3' AS ja4_a FROM web WHERE http_host <> ''")
+def quic_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hellos in two Initial packets each, the second part first, on eleven connection ids."""
+    host = _text(F.upper("http_host"))
+    extension = lambda kind, body: F.concat(be(kind, 2), be(F.length(body), 2), body)
+    exts = F.concat(extension(0, F.concat(be(F.length(host) + 3, 2), raw("00"), be(F.length(host), 2), host)), extension(16, raw("0003026833")), extension(43, raw("020304")))
+    body = F.concat(raw("0303"), raw("00" * 32), raw("00000213010100"), be(F.length(exts), 2), exts)
+    w = web(spark, sf_dir).filter("http_host <> ''").withColumn("hello", F.concat(raw("01"), be(F.length(body), 3), body))
+    ids = [bytes([7, k]) * 4 for k in range(11)]
+    made = F.array(*(F.struct(F.lit(c).alias("cid"), *(F.lit(x).alias(n) for x, n in zip(quic.keys(1, c), ("key", "iv", "hp"), strict=True))) for c in ids))
+    w = w.withColumns({"own": F.element_at(made, (F.col("page_id") % 11 + 1).cast("int")), "n": F.explode(F.array(F.lit(1), F.lit(0)))})
+    cut = F.lit(60)
+    piece = F.when(F.col("n") == 0, F.substring(F.col("hello"), F.lit(1), cut)).otherwise(F.substring(F.col("hello"), cut + 1, F.length("hello")))
+    offset = F.when(F.col("n") == 0, 0).otherwise(60)
+    plain = F.concat(raw("06"), be(offset + (1 << 30) * 2, 4), be(F.length(piece) + 0x4000, 2), piece, raw("00" * 30))
+    head = F.concat(raw("c00000000108"), F.col("own.cid"), raw("0000"), be(F.length(plain) + 17 + 0x4000, 2))
+    nonce = F.concat(F.substring(F.col("own.iv"), 1, 11), be(F.conv(F.hex(F.substring(F.col("own.iv"), 12, 1)), 16, 10).cast("int").bitwiseXOR(F.col("n")), 1))
+    sealed = F.substring(F.aes_encrypt(plain, F.col("own.key"), F.lit("GCM"), F.lit("DEFAULT"), nonce, F.concat(head, be(F.col("n"), 1))), 13, 1 << 16)
+    w = w.withColumns({"head": head, "sealed": sealed})
+    mask = F.aes_encrypt(F.substring("sealed", 4, 16), F.col("own.hp"), F.lit("ECB"))
+    octet = lambda c, at: F.conv(F.hex(F.substring(c, at, 1)), 16, 10).cast("int")
+    first = be(F.lit(0xC0).bitwiseOR(octet(mask, 1).bitwiseAND(F.lit(15))), 1)
+    data = F.concat(first, F.substring("head", 2, 1 << 10), be(octet(mask, 2).bitwiseXOR(F.col("n")), 1), F.col("sealed"))
+    p = w.select("page_id", (F.lit(1) - F.col("n")).cast("long").alias("ts_us"), F.col("n").cast("long").alias("seq"), F.lit(17).alias("proto"), data.alias("payload"))
+    return quic.hellos(p, ["page_id"]).select("page_id", "sni", "alpn", F.substring_index("ja4", "_", 1).alias("ja4_a"))
+
+
 @query(f"""WITH {P}, a AS (SELECT *, CASE WHEN len > 500 THEN 'error' ELSE 'warning' END AS severity FROM p WHERE kind = 'signup') SELECT src_ip4::VARCHAR AS key,
 'kind=signup,severity=' || severity AS headers, '{{"timeUnixNano":"' || ts_us * 1000 || '","severityNumber":' || CASE severity WHEN 'error' THEN 17 ELSE 13 END || ',"severityText":"' || upper(severity) || '","body":{{"stringValue":"signup"}},"attributes":[{{"key":"key","value":{{"stringValue":"' || src_ip4 ||
 '"}}}},{{"key":"dst","value":{{"stringValue":"' || dst_port || '"}}}},{{"key":"len","value":{{"doubleValue":' || len::DOUBLE || '}}}}]}}' AS log,

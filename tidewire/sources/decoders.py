@@ -138,7 +138,7 @@ def tls(packets: DataFrame) -> DataFrame:
     return _hellos(packets.filter("proto = 6").filter((number(F.col("payload"), 0, 1) == 22) & (number(F.col("payload"), 5, 1) == 1)), client_hello)
 
 
-def _hellos(rows: DataFrame, read: Callable[[bytes], dict | None]) -> DataFrame:
+def _hellos(rows: DataFrame, read: Callable[[bytes], dict | None], transport: str = "t") -> DataFrame:
     names = [f.split()[0] for f in _HELLO.split(", ")]
     kinds = [pa.string(), pa.string(), pa.int32(), *[pa.list_(pa.int32())] * 6, pa.bool_()]
 
@@ -152,7 +152,7 @@ def _hellos(rows: DataFrame, read: Callable[[bytes], dict | None]) -> DataFrame:
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), _HELLO])
     out = rows.mapInArrow(run, schema).withColumn("ja3", net.ja3(F.col("tls_version"), F.col("ciphers"), F.col("extensions"), F.col("curves"), F.col("formats")))
-    return out.withColumn("ja4", net.ja4(*(F.col(c) for c in ("tls_version", "versions", "ciphers", "extensions", "signatures", "alpn"))))
+    return out.withColumn("ja4", net.ja4(*(F.col(c) for c in ("tls_version", "versions", "ciphers", "extensions", "signatures", "alpn")), transport))
 
 
 def app_label(port: Column, overrides: dict[int, str] | None = None) -> Column:

@@ -73,7 +73,11 @@ def messages(packets: DataFrame, reader: Callable[[], Reader], schema: str, by:
     s = placed(packets, by)
     if head is not None:
         s = s.filter(F.col("offset") < head)
-    keys = [*by, "conn"]
+    return cut(s, [*by, "conn"], reader, schema, most)
+
+
+def cut(parts: DataFrame, keys: list[str], reader: Callable[[], Reader], schema: str, most: int = MOST) -> DataFrame:
+    """The messages of streams whose parts (keys, offset, ts_us, seq, payload) may come in any order, twice, or overlap."""
     fields = [T.StructField("nth", T.LongType()), T.StructField("ts_us", T.LongType()), *T._parse_datatype_string(schema).fields]
     kinds = {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}
     types = [kinds[f.dataType.simpleString()] for f in fields]
@@ -107,7 +111,7 @@ def messages(packets: DataFrame, reader: Callable[[], Reader], schema: str, by:
                 kept = batch.take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*kept.columns[: len(keys)], *(pa.array(c, t) for c, t in zip(zip(*told, strict=True), types, strict=True))], [*keys, *(f.name for f in fields)])
 
-    s = s.select(*keys, "offset", "ts_us", "payload", F.length("payload").alias("size_"), "seq")
+    s = parts.select(*keys, "offset", "ts_us", "payload", F.length("payload").alias("size_"), "seq")
     out = T.StructType([*(s.schema[k] for k in keys), *fields])
     return s.repartition(*keys).sortWithinPartitions(*keys, "offset", F.desc("size_"), "seq").mapInArrow(run, out)
 
@@ -130,6 +134,19 @@ def prefixed(size: int, least: int = 1, extra: int = 0) -> Callable[[], Reader]:
     return lambda: read
 
 
+def bare_handshakes() -> Reader:
+    """Messages of a handshake (kind, body) that comes without records, as over QUIC."""
+
+    def read(data: bytes) -> tuple[int, list[tuple], bool]:
+        at, found = 0, []
+        while at + 4 <= len(data) and at + 4 + (size := int.from_bytes(data[at + 1 : at + 4], "big")) <= len(data):
+            found.append((data[at], data[at : at + 4 + size]))
+            at += 4 + size
+        return at, found, True
+
+    return read
+
+
 #: Types of TLS records: change of ciphers, handshake; and the longest record.
 CHANGE, HANDSHAKE, LONGEST = 20, 22, (1 << 14) + 2048
 
