@@ -336,6 +336,20 @@ def _values(of: pa.ChunkedArray, kind: str, bucket: pa.ChunkedArray, each: list[
     return pa.table({"of": of, "kind": pa.array([kind] * n, pa.string()), "bucket": bucket, "values": pa.array([pack(x) for x in each], pa.binary())} | more)
 
 
+def _listed(packed: bytes) -> pa.Array:
+    """Words that were joined by spaces, without an object a word."""
+    data = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    gaps = np.flatnonzero(data == 32)
+    offsets = np.concatenate(([0], gaps - np.arange(len(gaps)), [len(data) - len(gaps)])).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[data != 32].tobytes())])
+
+
+def _joined(words: pa.Array) -> bytes:
+    """The words joined by spaces and packed."""
+    one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.binary()))
+    return zstandard.compress(pc.binary_join(one, b" ")[0].as_buffer(), 3)
+
+
 def word_sums(told: DataFrame, groups: int) -> DataFrame:
     """A row a bucket: its distinct words of the whole corpus with their counts (64-bit), their sum (``total``) and how many are over 0 (``kinds``).
 
@@ -343,11 +357,10 @@ def word_sums(told: DataFrame, groups: int) -> DataFrame:
     """
 
     def summed(rows: pa.Table, kind: str) -> dict:
-        coded = pa.array([w for x in rows["keys"] for w in zstandard.decompress(x.as_py()).split(b" ")], pa.large_binary()).dictionary_encode()
+        coded = pa.concat_arrays([_listed(x.as_py()) for x in rows["keys"]]).dictionary_encode()
         n = np.concatenate([unpack(x.as_py(), kind) for x in rows["counts"]])
         c = np.bincount(coded.indices.to_numpy(), n, minlength=len(coded.dictionary)).astype("<i8")
-        packed = zstandard.compress(b" ".join(coded.dictionary.to_pylist()), 3)
-        return {"bucket": rows["bucket"][:1], "keys": pa.array([packed], pa.binary()), "counts": pa.array([pack(c)], pa.binary()), "total": pa.array([int(c.sum())]), "kinds": pa.array([int((c > 0).sum())])}
+        return {"bucket": rows["bucket"][:1], "keys": pa.array([_joined(coded.dictionary)], pa.binary()), "counts": pa.array([pack(c)], pa.binary()), "total": pa.array([int(c.sum())]), "kinds": pa.array([int((c > 0).sum())])}
 
     of_part = lambda rows: pa.table(summed(rows, "<u4")).select(["bucket", "keys", "counts"])
     of_bucket = lambda rows: pa.table(summed(rows, "<i8"))
@@ -370,9 +383,9 @@ def word_counts(told: DataFrame, sums: DataFrame, groups: int) -> DataFrame:
     def look_up(rows: pa.Table, model: pa.Table) -> pa.Table:
         if not rows.num_rows:  # no block of the group has a word of the bucket
             return _values(rows["block"], "words", rows["bucket"], [])
-        known = pa.array(zstandard.decompress(model["keys"][0].as_py()).split(b" "), pa.large_binary())
+        known = _listed(model["keys"][0].as_py())
         c = unpack(model["counts"][0].as_py(), "<i8")
-        each = [pa.array(zstandard.decompress(x.as_py()).split(b" "), pa.large_binary()) for x in rows["keys"]]
+        each = [_listed(x.as_py()) for x in rows["keys"]]
         at = pc.index_in(pa.concat_arrays(each), value_set=known).to_numpy(zero_copy_only=False)
         return _values(rows["block"], "words", rows["bucket"], np.split(c[at], np.cumsum([len(x) for x in each])[:-1]))
 
