@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import correlate, detect, patterns, reports
-from ..sources import capture, decoders, formats, protocols, quic, streams
+from ..sources import capture, decoders, formats, http2, protocols, quic, streams
 from .frames import _hellos, _MAC, _TEXT, be, raw
 from .tables import DAY, HOUR, WEB, P, packets, read, web
 
@@ -261,6 +261,22 @@ def quic_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quic.hellos(p, ["page_id"]).select("page_id", "sni", "alpn", F.substring_index("ja4", "_", 1).alias("ja4_a"))
 
 
+@query(f"""WITH {P}, r AS (SELECT *, row_number() OVER (PARTITION BY src_ip4 ORDER BY ts_us) AS conn FROM p WHERE kind = 'click')
+SELECT src_ip4, conn, n::BIGINT AS nth, 2 * n + 1 AS stream, CASE WHEN n = 1 THEN 'POST' ELSE 'GET' END AS method, CASE WHEN n = 1 THEN '/pkg.Service/Call' || seq % 5 ELSE '/' END AS path, 'h' || seq % 37 || '.example' AS authority, CASE WHEN n = 1 THEN 'Call' || seq % 5 END AS grpc_method
+FROM r, unnest(range(0, 3)) AS u(n)""")
+def http2_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three requests a connection on reused ends, in segments of 23 bytes; the second and third name their host by the dynamic table."""
+    p = packets(spark, sf_dir).filter("kind = 'click'")
+    host = _text(F.concat(F.lit("h"), (F.col("seq") % 37).cast("string"), F.lit(".example")))
+    path = _text(F.concat(F.lit("/pkg.Service/Call"), (F.col("seq") % 5).cast("string")))
+    frame = lambda flags, stream, body: F.concat(be(F.length(body), 3), raw("01"), be(flags, 1), be(stream, 4), body)
+    first = F.concat(raw("82868441"), be(F.length(host), 1), host)
+    call = F.concat(raw("8386be04"), be(F.length(path), 1), path, raw("5f10"), _text(F.lit("application/grpc")))
+    data = F.concat(F.lit(http2.PREFACE), raw("000000040000000000"), frame(5, 1, first), frame(4, 3, call), frame(5, 5, raw("828684bf")))
+    h = http2.http2(segments(_reused(p.withColumn("data", data), 80), 23))
+    return h.select("src_ip4", "conn", "nth", "stream", "method", "path", "authority", "grpc_method")
+
+
 @query(f"""WITH {P}, a AS (SELECT *, CASE WHEN len > 500 THEN 'error' ELSE 'warning' END AS severity FROM p WHERE kind = 'signup') SELECT src_ip4::VARCHAR AS key,
 'kind=signup,severity=' || severity AS headers, '{{"timeUnixNano":"' || ts_us * 1000 || '","severityNumber":' || CASE severity WHEN 'error' THEN 17 ELSE 13 END || ',"severityText":"' || upper(severity) || '","body":{{"stringValue":"signup"}},"attributes":[{{"key":"key","value":{{"stringValue":"' || src_ip4 ||
 '"}}}},{{"key":"dst","value":{{"stringValue":"' || dst_port || '"}}}},{{"key":"len","value":{{"doubleValue":' || len::DOUBLE || '}}}}]}}' AS log,
