@@ -9,29 +9,22 @@ from pyspark.sql import functions as F
 
 from . import detect, reports
 
-#: kind: (severity, condition over parsed messages); a condition on an absent field does not hold.
+#: kind: (severity, the columns that it reads, condition over parsed messages).
 LATERAL = {
-    "smb_admin_share": ("warning", "lower(smb_share) IN ('admin$', 'c$', 'ipc$')"),
-    "smb_remote_service": ("error", "lower(smb_pipe) IN ('svcctl', 'atsvc', 'winreg')"),
-    "directory_replication": ("critical", "lower(smb_pipe) = 'drsuapi'"),
-    "kerberoast": ("error", "kerberos_type = 'TGS-REQ' AND kerberos_etype = 23"),
-    "kerberos_failures": ("warning", "kerberos_error IN (18, 24)"),
-    "ldap_service_names": ("warning", "lower(ldap_filter) LIKE '%serviceprincipalname=%'"),
-    "rdp_login": ("info", "rdp_user IS NOT NULL"),
+    "smb_admin_share": ("warning", ["smb_share"], "lower(smb_share) IN ('admin$', 'c$', 'ipc$')"),
+    "smb_remote_service": ("error", ["smb_pipe"], "lower(smb_pipe) IN ('svcctl', 'atsvc', 'winreg')"),
+    "directory_replication": ("critical", ["smb_pipe"], "lower(smb_pipe) = 'drsuapi'"),
+    "kerberoast": ("error", ["kerberos_type", "kerberos_etype"], "kerberos_type = 'TGS-REQ' AND kerberos_etype = 23"),
+    "kerberos_failures": ("warning", ["kerberos_error"], "kerberos_error IN (18, 24)"),
+    "ldap_service_names": ("warning", ["ldap_filter"], "lower(ldap_filter) LIKE '%serviceprincipalname=%'"),
+    "rdp_login": ("info", ["rdp_user"], "rdp_user IS NOT NULL"),
 }
 
 
 def lateral_movement(messages: DataFrame, key: str = "src_ip4") -> DataFrame:
-    """Findings of all conditions whose columns the table has, in one pass over it."""
-    held = []
-    for kind, (severity, condition) in LATERAL.items():
-        try:
-            messages.select(F.expr(condition)).schema  # noqa: B018  names are resolved here
-        except Exception as e:
-            if "UNRESOLVED_COLUMN" not in str(e):
-                raise
-            continue
-        held.append(F.when(F.expr(condition), F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"))))
+    """Findings of all conditions whose columns the table has (``services.windows`` has them all), in one pass over it."""
+    there = {c.lower() for c in messages.columns}
+    held = [F.when(F.expr(condition), F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"))) for kind, (severity, columns, condition) in LATERAL.items() if there >= set(columns)]
     hits = F.array_compact(F.array(*held)) if held else F.array().cast("array<struct<kind:string,severity:string>>")
     return _named(messages.withColumn("hit_", F.explode(hits)), F.col("hit_.kind"), F.col("hit_.severity"), key)
 

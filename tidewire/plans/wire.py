@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import correlate, detect, patterns, reports
-from ..sources import capture, decoders, formats, http2, protocols, quic, streams
+from ..operators import correlate, detect, patterns, reports, triage
+from ..sources import capture, decoders, formats, http2, protocols, quic, services, streams
 from .frames import _hellos, _MAC, _TEXT, be, raw
 from .tables import DAY, HOUR, WEB, P, packets, read, web
 
@@ -277,6 +279,39 @@ def http2_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("src_ip4", "conn", "nth", "stream", "method", "path", "authority", "grpc_method")
 
 
+def tlv(tag: int, *parts: Column) -> Column:
+    """An element of nested messages, with a length of two bytes."""
+    body = F.concat(*parts)
+    return F.concat(be(tag, 1), raw("82"), be(F.length(body), 2), body)
+
+
+@query(f"""WITH {P}, k AS (SELECT *, CASE kind WHEN 'click' THEN CASE WHEN seq % 4 = 0 THEN 'smb_admin_share' END WHEN 'view' THEN CASE seq % 4 WHEN 1 THEN 'smb_remote_service' WHEN 2 THEN 'directory_replication' END
+WHEN 'purchase' THEN CASE WHEN seq % 2 = 0 THEN 'kerberoast' END WHEN 'signup' THEN 'rdp_login' ELSE CASE WHEN seq % 3 = 0 THEN 'ldap_service_names' END END AS found FROM p)
+SELECT found AS kind, CASE found WHEN 'smb_admin_share' THEN 'warning' WHEN 'smb_remote_service' THEN 'error' WHEN 'directory_replication' THEN 'critical' WHEN 'kerberoast' THEN 'error' WHEN 'rdp_login' THEN 'info' ELSE 'warning' END AS severity, src_ip4::VARCHAR AS key, count(*) AS n FROM k WHERE found IS NOT NULL GROUP BY ALL""")
+def lateral_movement_on_the_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File sharing, Kerberos, directory and remote desktop messages as bytes, a connection each on reused ends, in segments of 60 bytes."""
+    p = packets(spark, sf_dir)
+    wide = lambda c: F.encode(c, "UTF-16LE")
+    little = lambda n: F.concat(be(n % 256, 1), be(F.floor(n / 256), 1)) if isinstance(n, Column) else raw(n.to_bytes(2, "little").hex())
+    framed = lambda body: F.concat(be(F.length(body), 4), body)
+    head = lambda command: F.concat(raw("fe534d42400000000000000000000000"[:24]), little(command), raw("0000" + "00000000" + "00000000" + "00" * 40))
+    share = wide(F.when(F.col("seq") % 4 == 0, "\\\\host\\ADMIN$").otherwise("\\\\host\\public"))
+    tree = framed(F.concat(head(3), raw("09000000"), little(72), little(F.length(share)), share))
+    pipe = wide(F.when(F.col("seq") % 4 == 1, "svcctl").when(F.col("seq") % 4 == 2, "DRSUAPI").otherwise("browser"))
+    create = framed(F.concat(head(5), raw("3900" + "00" * 42), little(120), little(F.length(pipe)), raw("00" * 8), pipe))
+    ticket = framed(tlv(0x6C, tlv(0x30, tlv(0xA1, raw("020105")), tlv(0xA2, raw("02010c")), tlv(0xA4, tlv(0x30, tlv(0xA0, raw("030500400000 00".replace(" ", ""))), tlv(0xA2, raw("1b0541424344 45".replace(" ", ""))), tlv(0xA8, tlv(0x30, F.when(F.col("seq") % 2 == 0, raw("020117")).otherwise(raw("020112")), raw("020111"))))))))
+    asked = F.when(F.col("seq") % 3 == 0, _text(F.lit("servicePrincipalName"))).otherwise(_text(F.lit("objectClass")))
+    search = tlv(0x30, raw("020101"), tlv(0x63, raw("0400" + "0a0102" + "0a0100" + "020100" + "020100" + "010100"), tlv(0xA0, tlv(0x87, asked), tlv(0xA3, raw("0402636e"), raw("040161"))), raw("3000")))
+    cookie = _text(F.concat(F.lit("Cookie: mstshash=user"), F.col("user_id").cast("string"), F.lit("\r\n")))
+    desktop = F.concat(raw("0300"), be(F.length(cookie) + 11, 2), be(F.length(cookie) + 6, 1), raw("e00000000000"), cookie)
+    parts = []
+    for kind, port, data in (("click", 445, tree), ("view", 445, create), ("purchase", 88, ticket), ("signup", 3389, desktop), ("error", 389, search)):
+        own = _reused(p.filter(F.col("kind") == kind).withColumn("data", data), port)
+        parts.append(own.withColumn("src_port", F.lit(4000 + len(parts)).cast("long")))
+    m = services.windows(segments(reduce(DataFrame.unionByName, parts), 60))
+    return triage.lateral_movement(m).groupBy("kind", "severity", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""WITH {P}, a AS (SELECT *, CASE WHEN len > 500 THEN 'error' ELSE 'warning' END AS severity FROM p WHERE kind = 'signup') SELECT src_ip4::VARCHAR AS key,
 'kind=signup,severity=' || severity AS headers, '{{"timeUnixNano":"' || ts_us * 1000 || '","severityNumber":' || CASE severity WHEN 'error' THEN 17 ELSE 13 END || ',"severityText":"' || upper(severity) || '","body":{{"stringValue":"signup"}},"attributes":[{{"key":"key","value":{{"stringValue":"' || src_ip4 ||
 '"}}}},{{"key":"dst","value":{{"stringValue":"' || dst_port || '"}}}},{{"key":"len","value":{{"doubleValue":' || len::DOUBLE || '}}}}]}}' AS log,
