@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import net
 from ..operators import correlate, flows, reports
-from ..sources import capture, decoders, formats
+from ..sources import bits, capture, decoders, formats, ipfix
 from .tables import DAY, HOUR, WEB, P, packets, read, two_way, web
 
 QUERIES, SQL = {}, {}
@@ -228,6 +228,25 @@ def dual_stack_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.join(m, same).select("a", "b", "history", "bytes")
 
 
+_BITS = lambda h: f"array_to_string(list_transform(string_split({h}, ''), lambda c: list_extract(['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'], ascii(c) - CASE WHEN ascii(c) > 90 THEN 86 ELSE 47 END)), '')"
+
+
+@query(f"""WITH {FLAGGED}, h AS (SELECT *, {_SIX} AS six, CASE WHEN proto = 17 THEN 8 ELSE 20 END + len % 50 AS n,
+CASE WHEN proto = 17 THEN printf('%04x', src_port) || printf('%04x', dst_port) || printf('%04x', 8 + len % 50) || '0000' ELSE printf('%04x', src_port) || printf('%04x', dst_port) || printf('%08x', seq) || '0000000050' || printf('%02x', tcp_flags) || '010000000000' END AS l4 FROM t)
+SELECT seq, CASE WHEN six THEN repeat('.', 480) ELSE {_BITS("'4500' || printf('%04x', n + 20) || printf('%04x', seq % 65536) || '400040' || printf('%02x', proto) || '0000' || printf('%08x', src_ip4) || printf('%08x', dst_ip4)")} || repeat('.', 320) END AS ipv4,
+CASE WHEN six THEN {_BITS("'60000000' || printf('%04x', n) || printf('%02x', proto) || '40' || '20010db8' || printf('%024x', user_id) || '20010db80001' || printf('%020x', dst_ip4)")} ELSE repeat('.', 320) END AS ipv6,
+CASE WHEN proto = 6 THEN {_BITS("l4")} || repeat('.', 320) ELSE repeat('.', 480) END AS tcp, CASE WHEN proto = 17 THEN {_BITS("l4")} ELSE repeat('.', 64) END AS udp FROM h""")
+def packet_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header bits of all frames, over both families, as text: a dot where there is no bit."""
+    b = bits.bits(frames(spark, sf_dir).select("seq", "data"))
+    out, at = [], 1
+    for name, size in bits.HEADERS.items():
+        part = F.transform(F.slice("bits", at, 8 * size), lambda x: F.when(x < 0, ".").otherwise(x.cast("string")))
+        out.append(F.array_join(part, "").alias(name))
+        at += 8 * size
+    return b.select("seq", *out).drop("icmp")
+
+
 @query("SELECT page_id, octet_length(encode(html))::BIGINT AS n_bytes, md5(html) AS digest FROM pages WHERE length(html) > 0")
 def stream_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages cut into segments of 500 bytes that overlap by 100, put together again."""
@@ -355,5 +374,19 @@ def red_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("period", "requests", "errors", F.round("p50", 3).alias("p50"))
 
 
+@query(f"""WITH RECURSIVE {FLAG_FLOWS}, x AS (SELECT *, end_us // 1000000 AS sec, start_us % 4 AS share,
+printf('%02x', proto) || CASE WHEN a_initiated THEN printf('%04x', a_port) || printf('%04x', b_port) || printf('%08x', a_ip4) || printf('%08x', b_ip4) ELSE printf('%04x', b_port) || printf('%04x', a_port) || printf('%08x', b_ip4) || printf('%08x', a_ip4) END
+|| printf('%016x', bytes_initiator) || printf('%016x', pi) || printf('%016x', ba + bb) || printf('%016x', packets) || printf('%016x', start_us // 1000) || printf('%016x', end_us // 1000) || '0000' || CASE reason WHEN 'idle' THEN '01' ELSE '03' END AS rec
+FROM fr JOIN (SELECT k, nth, count(*) FILTER (WHERE forward) AS pa, count(*) FILTER (WHERE NOT forward) AS pb FROM fn GROUP BY ALL) USING (k, nth), LATERAL (SELECT CASE WHEN a_initiated THEN pa ELSE pb END AS pi)),
+r AS (SELECT *, (row_number() OVER (PARTITION BY sec, share ORDER BY end_us, rec) - 1) // 2 AS part FROM x),
+m AS (SELECT sec, share, part, count(*) AS n, string_agg(rec, '' ORDER BY end_us, rec) AS body FROM r GROUP BY ALL),
+z AS (SELECT *, row_number() OVER (ORDER BY sec, share, part) - 1 AS number, coalesce(sum(n) OVER (ORDER BY sec, share, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sequence FROM m)
+SELECT number, sequence, n AS n_records, '000a' || printf('%04x', 20 + length(body) // 2) || printf('%08x', sec) || printf('%08x', sequence) || '00000009' || '0100' || printf('%04x', 4 + length(body) // 2) || body AS message FROM z WHERE number > 0""")
+def export_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows as export messages of two records; all but the first, which has the templates."""
+    m = ipfix.messages(flag_flows(spark, sf_dir), 9, 2, 0, 4).filter("number > 0")
+    return m.select("number", "sequence", "n_records", F.lower(F.hex("message")).alias("message"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
