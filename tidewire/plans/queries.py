@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import net
 from ..operators import correlate, detect, filters, flows, folds, layers, reports
 from ..sources import formats
-from . import frames, more, wire
+from . import frames, live, more, wire
 from .oracle import SQL
 from .tables import DAY, HOUR, owners, packets, read, two_way, web
 
@@ -322,8 +322,8 @@ def conversation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return QUERIES | frames.QUERIES | more.QUERIES | wire.QUERIES
+    return QUERIES | frames.QUERIES | more.QUERIES | wire.QUERIES | live.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in SQL.items() if k in QUERIES} | frames.SQL | more.SQL | wire.SQL
+    return {k: v for k, v in SQL.items() if k in QUERIES} | frames.SQL | more.SQL | wire.SQL | live.SQL

@@ -107,6 +107,21 @@ def telemetry_log(f: DataFrame) -> Column:
     return F.to_json(F.struct(*fields, attributes.alias("attributes")))
 
 
+def telemetry_sum(name: str, value: Column, time_ns: Column, attributes: dict[str, Column]) -> Column:
+    """A count as a metric of the open telemetry protocol, in JSON: a sum of the time since the point before."""
+    own = F.array(*(F.struct(F.lit(k).alias("key"), F.struct(v.cast("string").alias("stringValue")).alias("value")) for k, v in attributes.items()))
+    point = F.struct(value.cast("long").cast("string").alias("asInt"), time_ns.cast("string").alias("timeUnixNano"), own.alias("attributes"))
+    return F.to_json(F.struct(F.lit(name).alias("name"), F.struct(F.array(point).alias("dataPoints"), F.lit(1).alias("aggregationTemporality"), F.lit(True).alias("isMonotonic")).alias("sum")))
+
+
+def telemetry_gauge(name: str, value: Column, time_ns: Column, attributes: dict[str, Column]) -> Column:
+    """A measure as a metric of the open telemetry protocol, in JSON; numbers that JSON has no sign for have none."""
+    own = F.array(*(F.struct(F.lit(k).alias("key"), F.struct(v.cast("string").alias("stringValue")).alias("value")) for k, v in attributes.items()))
+    v = value.cast("double")
+    point = F.struct(F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v).alias("asDouble"), time_ns.cast("string").alias("timeUnixNano"), own.alias("attributes"))
+    return F.to_json(F.struct(F.lit(name).alias("name"), F.struct(F.array(point).alias("dataPoints")).alias("gauge")))
+
+
 def metric_counts(f: DataFrame) -> DataFrame:
     return f.groupBy("kind", "severity").agg(F.count(F.lit(1)).alias("n"))
 
