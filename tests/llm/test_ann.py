@@ -58,3 +58,13 @@ def test_magnitudes(spark):
         for q in (0, 100, 200):
             want = sorted((float(np.sqrt(((v - every[q]) ** 2).sum())), i) for i, v in every.items() if i != q)[:10]
             assert [(r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(pytest.approx(s, rel=1e-12, abs=0), i) for s, i in want], (scale, q)
+
+
+def test_copies_of_shards_answer_alike(spark, sf, monkeypatch):
+    """Blocks of a few queries, and a copy of each shard for every other block, change nothing."""
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    run = lambda: sorted(tuple(r) for r in ann.neighbours(table, 10, 5, shard_rows=100).collect())
+    want = run()
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(ann, "COPY_BLOCKS", 2)
+    assert run() == want and len(want) > 0

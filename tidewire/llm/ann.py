@@ -25,6 +25,8 @@ from .common import materialize
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 24, 40, 160, 1.2
 #: Points a shard, queries a block.
 SHARD_ROWS, QUERY_BLOCK = 8192, 1024
+#: Blocks of queries that a copy of a shard answers.
+COPY_BLOCKS = 64
 BATCH = 256
 SALTS = 32
 
@@ -161,24 +163,31 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> Dat
 def search(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
     """The k nearest rows of each of queries (vec_id, v): query_id, rank, vec_id, score.
 
-    Queries go to every shard of their dimension in blocks; a block and a shard meet in one task.
+    Queries go to every shard of their dimension in blocks. A shard moves once for each ``COPY_BLOCKS`` blocks, not for each: it goes first in a sorted
+    stream, its blocks after it, and a task holds one graph and one block.
     """
     n = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    copies = math.ceil(n / COPY_BLOCKS)
     of_dim = index.groupBy("dim").agg(F.collect_list("shard").alias("shards"))
     asked = queries.groupBy(F.size("v").cast("long").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block")).agg(F.collect_list("vec_id").alias("query_ids"), F.collect_list("v").alias("vs"))
-    asked = asked.join(of_dim, "dim").select(F.explode("shards").alias("shard"), "query_ids", "vs")
-    pairs = index.join(asked, "shard").select("dim", "points", "edges", "entry", "ids", "query_ids", "vs")
+    asked = asked.join(of_dim, "dim").select(F.explode("shards").alias("shard"), (F.col("block") % copies).alias("copy"), "block", "query_ids", "vs")
+    graphs = index.withColumns({"copy": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))), "block": F.lit(-1).cast("long")})
+    both = graphs.unionByName(asked, allowMissingColumns=True).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "block")
+    both = both.select("block", "dim", "points", "edges", "entry", "ids", "query_ids", "vs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = g = ids = None
         for batch in batches:
             for row in range(batch.num_rows):
-                dim, points, edges, entry, ids, query_ids = (batch.column(c)[row].as_py() for c in range(6))
-                x = np.frombuffer(points, "<f8").reshape(-1, dim)
-                q = np.array(batch.column(6)[row].as_py(), dtype=np.float64)
-                g = Graph(x, np.frombuffer(edges, "<i4").reshape(-1, DEGREE), entry)
+                at = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
+                if at(0) < 0:
+                    x = np.frombuffer(at(2), "<f8").reshape(-1, at(1))
+                    g, ids = Graph(x, np.frombuffer(at(3), "<i4").reshape(-1, DEGREE), at(4)), at(5)
+                    continue
+                q = np.array(at(7), dtype=np.float64)
                 beams, _ = g.search(g.placed(q), beam)
                 out: list[tuple] = []
-                for one, v, found in zip(query_ids, q, beams, strict=True):
+                for one, v, found in zip(at(6), q, beams, strict=True):
                     found = found[found >= 0]
                     d = np.sqrt(((x[found] - v) ** 2).sum(axis=1))
                     best = sorted((s, i) for s, p in zip(d.tolist(), found.tolist(), strict=True) for i in ids[p] if i != one)[:k]
@@ -187,7 +196,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM
                     a, b, c = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = both.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
