@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from hypothesis import given, settings
@@ -61,3 +62,24 @@ def test_redact_and_edges(spark):
     assert got[1].text is None and got[2].text.endswith("x [SECRET]") and got[2] == got[3]
     assert [len(r.spans) for r in secret_scan.find_secrets(df).collect()] == [1, 0, 1, 1]
     assert secret_scan.find_secrets(df.limit(0)).count() == 0
+
+
+def test_all_kinds_against_plain_search():
+    """Every rule tried on every text, without the index, gives the same spans: those of the added kinds too."""
+    rng = random.Random(9)
+    word = lambda k, chars="abcXYZ019_-": "".join(rng.choice(chars) for _ in range(k))
+    made = [
+        lambda: "-----BEGIN RSA PRIVATE KEY-----", lambda: "-----BEGIN PRIVATE KEY----", lambda: f"gh{rng.choice('pousrx')}_{word(rng.randrange(30, 45), 'abXY01')}", lambda: f"xox{rng.choice('abprsz')}-{word(rng.randrange(5, 20), 'ab01-')}",
+        lambda: f"eyJ{word(rng.randrange(6, 12))}.eyJ{word(rng.randrange(6, 12))}.{word(rng.randrange(6, 12))}", lambda: f"AIza{word(rng.randrange(30, 40))}", lambda: f"{rng.choice('srp')}k_live_{word(rng.randrange(10, 20), 'abXY01')}",
+        lambda: f"https://{word(3, 'abc')}:{word(4, 'abc1')}@host", lambda: f"PassWord = '{word(rng.randrange(5, 12))}'", lambda: f"AKIA{word(rng.randrange(8, 18), 'AB01')}", lambda: word(rng.randrange(28, 36), "0af"), lambda: word(5, "é x"), lambda: "eyJ eyJ", lambda: "",
+    ]
+    texts = [rng.choice(["", " ", "\n"]).join(rng.choice(made)() for _ in range(rng.randrange(6))) for _ in range(500)] + [None]
+    got = secret_scan.Scanner().scan(pa.array(texts))
+    kinds = set()
+    for text, spans in zip(texts, got, strict=True):
+        want = []
+        for order, r in enumerate(secret_scan.RULES):
+            want += [(m.start(), order, r.kind, m.end()) for m in re.finditer(r.pattern, text or "", re.ASCII) if m.end(r.group) - m.start(r.group) >= r.least]
+        assert spans == [(k, a, b) for a, _, k, b in sorted(want)], text
+        kinds |= {k for k, _, _ in spans}
+    assert kinds == {r.kind for r in secret_scan.RULES}

@@ -28,6 +28,11 @@ def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy rejects, and rejects alone, out of the ledger's bits."""
+    return quality.ablation(quality.ledger(_read(spark, sf_dir, "documents")), "v2")
+
+
 def op3_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(_read(spark, sf_dir, "embeddings"), 100, 10)
 
@@ -88,7 +93,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     ops = (
         op1_harmonic_packing, op2_quality_ledger, op3_graph_neighbours, op4_ngram_join, op5_byte_gru_language, op6_source_mix, op7_chat_round_trip,
-        op8_weak_pii, op9_secret_index, op10_ppm_score, op11_license_rules, op12_hamerly_clusters, op13_conversation_repair,
+        op8_weak_pii, op9_secret_index, op10_ppm_score, op11_license_rules, op12_hamerly_clusters, op13_conversation_repair, quality_ablation,
     )
     return {f.__name__: f for f in ops}
 
@@ -171,6 +176,12 @@ SELECT doc_id, size, source_size, target, (size * (rounds + CASE WHEN run <= tar
 """
 
 
+def _ablation() -> str:
+    mask = quality.mask("v2")
+    each = [f"SELECT '{n}' AS rule, count(*) FILTER (WHERE failed & {quality.BITS[n]} <> 0) AS n_failed, count(*) FILTER (WHERE failed & {mask} = {quality.BITS[n]}) AS n_only, count(*) AS n_docs FROM q" for n in quality.POLICIES["v2"]]
+    return f"WITH q AS ({_OP2}) " + " UNION ALL ".join(each)
+
+
 def _op12(rounds: int = 3) -> str:
     """Full scans, each assignment a step of common table expressions."""
     distance = "list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.v[i]) * (v.v[i] - c.v[i])))"
@@ -251,4 +262,4 @@ FROM best AS b LEFT JOIN told AS t ON t.conv_id IS NOT DISTINCT FROM b.conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_ledger": _OP2, "op4_ngram_join": _OP4, "op6_source_mix": _OP6, "op12_hamerly_clusters": _op12(), "op13_conversation_repair": _OP13}
+    return {"op2_quality_ledger": _OP2, "op4_ngram_join": _OP4, "op6_source_mix": _OP6, "op12_hamerly_clusters": _op12(), "op13_conversation_repair": _OP13, "quality_ablation": _ablation()}
