@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import correlate, detect, patterns, reports, triage
-from ..sources import capture, decoders, formats, http2, protocols, quic, services, streams
+from ..sources import capture, decoders, formats, http1, http2, protocols, quic, services, streams
 from .frames import _hellos, _MAC, _TEXT, be, raw
 from .tables import DAY, HOUR, WEB, P, packets, read, web
 
@@ -279,6 +279,20 @@ def http2_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("src_ip4", "conn", "nth", "stream", "method", "path", "authority", "grpc_method")
 
 
+@query("SELECT page_id, 200 AS status, octet_length(encode(html))::BIGINT AS body_size, sha256(html) AS body_sha256 FROM pages WHERE length(html) > 0")
+def http_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as answers, every other one in two chunks, in segments of 400 bytes."""
+    h = read(spark, sf_dir, "pages").filter("length(html) > 0").withColumn("body", F.encode("html", "UTF-8"))
+    size = F.length("body")
+    half = F.floor(size / 2).cast("int")
+    chunk = lambda part: F.when(F.length(part) > 0, F.concat(_text(F.concat(F.lower(F.hex(F.length(part))), F.lit("\r\n"))), part, _text(F.lit("\r\n")))).otherwise(raw(""))
+    chunked = F.concat(_text(F.lit("HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n")), chunk(F.substring(F.col("body"), F.lit(1), half)), chunk(F.substring(F.col("body"), half + 1, size)), _text(F.lit("0\r\n\r\n")))
+    plain = F.concat(_text(F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Length: "), size.cast("string"), F.lit("\r\n\r\n"))), F.col("body"))
+    data = F.when(F.col("page_id") % 2 == 0, chunked).otherwise(plain)
+    s = segments(h.select(F.col("page_id").alias("id"), (F.col("page_id") * 1_000_000).alias("opened"), data.alias("data"), *(F.col("page_id").alias(c) for c in streams.SIDE)), 400)
+    return http1.http_streams(s).select(F.col("src_ip4").alias("page_id"), F.col("http_status").alias("status"), "body_size", "body_sha256")
+
+
 def tlv(tag: int, *parts: Column) -> Column:
     """An element of nested messages, with a length of two bytes."""
     body = F.concat(*parts)

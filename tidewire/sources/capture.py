@@ -3,19 +3,22 @@
 Spark lists and reads the files (``binaryFile``), from any store that it knows; a task decodes its
 files into rows batch by batch. Headers at fixed places are decoded here; payloads stay bytes, and
 protocol fields are columns over them. Capture tools rotate files well below the 2 GB that a cell
-holds; that is the unit of work.
+holds; that is the unit of work here. ``pcap_source`` splits files of any size.
 """
 
 from __future__ import annotations
 
-import ipaddress
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import net
+
 #: File magics, as read little-endian, with the byte order and the nanoseconds a tick.
 MAGICS = {0xA1B2C3D4: ("<", 1000), 0xD4C3B2A1: (">", 1000), 0xA1B23C4D: ("<", 1), 0x4D3CB2A1: (">", 1)}
 SECTION, INTERFACE, PACKET = 0x0A0D0D0A, 1, 6
@@ -23,9 +26,10 @@ SECTION, INTERFACE, PACKET = 0x0A0D0D0A, 1, 6
 OPTIONS = (0, 43, 60)
 ROWS = 4096
 
-SCHEMA = "source string, seq long, ts_ns long, cap_len long, len long, src_mac string, dst_mac string, ethertype int, vlan_id int, proto int, src_ip string, dst_ip string, src_ip4 long, dst_ip4 long, src_ip6 binary, dst_ip6 binary, src_port int, dst_port int, tcp_flags int, tcp_seq long, ident int, frag_offset int, more_fragments boolean, payload binary"
-_TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
-_FIELDS = [tuple(f.split()) for f in SCHEMA.split(", ")]
+#: What workers tell of frames: numbers and bytes; ``named`` makes text of them where it is asked for.
+RAW = "source string, seq long, ts_ns long, cap_len long, len long, src_mac6 binary, dst_mac6 binary, ethertype int, vlan_id int, proto int, src_ip4 long, dst_ip4 long, src_ip6 binary, dst_ip6 binary, src_port int, dst_port int, tcp_flags int, tcp_seq long, ident int, frag_offset int, more_fragments boolean, payload binary"
+#: The columns of decoded packets, in order; ts_us is ts_ns in whole microseconds.
+COLUMNS = "source seq ts_ns cap_len len src_mac dst_mac ethertype vlan_id proto src_ip dst_ip src_ip4 dst_ip4 src_ip6 dst_ip6 src_port dst_port tcp_flags tcp_seq ident frag_offset more_fragments payload ts_us".split()
 
 
 def frames(data: bytes) -> Iterator[tuple[int, int, bytes]]:
@@ -78,45 +82,104 @@ def _tick(order: str, options: bytes) -> int:
     return 1_000_000
 
 
+class Frames:
+    """Ethernet frames in one buffer of bytes, told by numpy all at once: each step looks at the same place of every frame."""
+
+    def __init__(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray):
+        self.data, self.begin, self.end = data, begin, end
+        self.n = len(begin)
+
+    def octet(self, at: np.ndarray) -> np.ndarray:
+        """The byte at a place; 0 beyond the data."""
+        fine = (at >= 0) & (at < len(self.data))
+        return np.where(fine, self.data[np.where(fine, at, 0)], 0).astype(np.int64) if len(self.data) else np.zeros(self.n, np.int64)
+
+    def number(self, at: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(self.n, np.int64)
+        for k in range(size):
+            out = out << 8 | self.octet(at + k)
+        return out
+
+    def fixed(self, at: np.ndarray, size: int, there: np.ndarray) -> pa.Array:
+        """So many bytes from a place; null where they are not there."""
+        index = np.where(there[:, None], at[:, None] + np.arange(size), 0)
+        raw = self.data[index] if len(self.data) else np.zeros((self.n, size), np.uint8)
+        whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), self.n, [None, pa.py_buffer(np.ascontiguousarray(raw).tobytes())])
+        return pc.if_else(pa.array(there), whole, pa.nulls(self.n, pa.binary(size))).cast(pa.binary())
+
+    def slices(self, at: np.ndarray, end: np.ndarray, there: np.ndarray) -> pa.Array:
+        """The bytes from a place to another; null where there is no frame."""
+        size = np.where(there, np.maximum(end - at, 0), 0)
+        offsets = np.concatenate(([0], np.cumsum(size)))
+        index = np.repeat(at - offsets[:-1], size) + np.arange(offsets[-1])
+        raw = self.data[index].tobytes() if len(index) else b""
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), self.n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
+        return pc.if_else(pa.array(there), whole, pa.nulls(self.n, pa.large_binary())).cast(pa.binary())
+
+    def columns(self) -> dict[str, pa.Array]:
+        """Header fields; what is not there is null. Tags and IPv6 option headers are passed over, however many; padding behind a packet's own length is no payload."""
+        begin, end = self.begin, self.end.copy()
+        real = end - begin >= 14
+        kind, at = np.where(real, self.number(begin + 12, 2), 0), begin + 14
+        vlan, tagged = np.zeros(self.n, np.int64), np.zeros(self.n, bool)
+        while (tag := real & np.isin(kind, (0x8100, 0x88A8)) & (end >= at + 4)).any():
+            vlan = np.where(tag & ~tagged, self.number(at, 2) & 0x0FFF, vlan)
+            tagged |= tag
+            kind, at = np.where(tag, self.number(at + 2, 2), kind), np.where(tag, at + 4, at)
+        four, six = real & (kind == 0x0800) & (end >= at + 20), real & (kind == 0x86DD) & (end >= at + 40)
+        total, place = self.number(at + 2, 2), self.number(at + 6, 2)
+        ident, source, target = self.number(at + 4, 2), self.number(at + 12, 4), self.number(at + 16, 4)
+        size = self.number(at + 4, 2)
+        six_at = at + 8
+        proto = np.where(four, self.octet(at + 9), self.octet(at + 6))
+        end = np.where(four & (total > 0), np.minimum(end, at + total), np.where(six & (size > 0), np.minimum(end, at + 40 + size), end))
+        at = np.where(four, at + (self.octet(at) & 15) * 4, np.where(six, at + 40, at))
+        while (option := six & np.isin(proto, OPTIONS) & (end >= at + 8)).any():
+            proto, at = np.where(option, self.octet(at), proto), np.where(option, at + 8 + 8 * self.octet(at + 1), at)
+        first = six | (four & (place & 0x1FFF == 0))
+        ported = first & np.isin(proto, (6, 17)) & (end >= at + 8)
+        ports = self.number(at, 2), self.number(at + 2, 2)
+        tcp = ported & (proto == 6) & (end >= at + 20)
+        seq, flags = self.number(at + 4, 4), self.octet(at + 13)
+        at = np.where(tcp, at + (self.octet(at + 12) >> 4) * 4, np.where(ported & (proto == 17), at + 8, at))
+        some = lambda x, there, kind: pa.array(x, kind, mask=~there)
+        i32, i64 = pa.int32(), pa.int64()
+        return {
+            "src_mac6": self.fixed(begin + 6, 6, real), "dst_mac6": self.fixed(begin, 6, real), "ethertype": some(kind, real, i32), "vlan_id": some(vlan, tagged, i32), "proto": some(proto, four | six, i32),
+            "src_ip4": some(source, four, i64), "dst_ip4": some(target, four, i64), "src_ip6": self.fixed(six_at, 16, six), "dst_ip6": self.fixed(six_at + 16, 16, six),
+            "src_port": some(ports[0], ported, i32), "dst_port": some(ports[1], ported, i32), "tcp_flags": some(flags, tcp, i32), "tcp_seq": some(seq, tcp, i64),
+            "ident": some(ident, four, i32), "frag_offset": some((place & 0x1FFF) * 8, four, i32), "more_fragments": some(place & 0x2000 != 0, four, pa.bool_()), "payload": self.slices(at, end, real),
+        }
+
+
+def table(source: pa.Array, seq: pa.Array, ts_ns: pa.Array, sizes: pa.Array | None, frames_: pa.Array) -> pa.RecordBatch:
+    """Frames as a batch of ``RAW``; ``sizes`` are their original lengths (None: as they are)."""
+    frames_ = frames_.cast(pa.large_binary()).fill_null(b"")
+    raw = np.frombuffer(frames_.buffers()[1], np.int64)[frames_.offset : frames_.offset + len(frames_) + 1]
+    data = np.frombuffer(frames_.buffers()[2], np.uint8) if frames_.buffers()[2] else np.zeros(0, np.uint8)
+    held = pa.array(np.diff(raw), pa.int64())
+    columns = {"source": source, "seq": seq, "ts_ns": ts_ns, "cap_len": held, "len": held if sizes is None else sizes} | Frames(data, raw[:-1], raw[1:]).columns()
+    names = [f.split()[0] for f in RAW.split(", ")]
+    return pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """(source, seq, ts_ns, original length, frame) rows as a batch."""
+    source, seq, ts, whole, data = zip(*rows, strict=True)
+    return table(pa.array(source, pa.string()), pa.array(seq, pa.int64()), pa.array(ts, pa.int64()), pa.array(whole, pa.int64()), pa.array(data, pa.large_binary()))
+
+
 def decode(frame: bytes) -> dict:
-    """Header fields of an Ethernet frame; what is not there is left out."""
-    if len(frame) < 14:
-        return {}
-    out = {"dst_mac": frame[:6].hex(":"), "src_mac": frame[6:12].hex(":")}
-    kind, at = struct.unpack_from(">H", frame, 12)[0], 14
-    while kind in (0x8100, 0x88A8) and len(frame) >= at + 4:
-        tag, kind = struct.unpack_from(">HH", frame, at)
-        out.setdefault("vlan_id", tag & 0x0FFF)
-        at += 4
-    out["ethertype"] = kind
-    first = True
-    if kind == 0x0800 and len(frame) >= at + 20:
-        head, total, out["ident"], place = frame[at], *struct.unpack_from(">HHH", frame, at + 2)
-        out["frag_offset"], out["more_fragments"] = (place & 0x1FFF) * 8, bool(place & 0x2000)
-        first, out["proto"] = not place & 0x1FFF, frame[at + 9]
-        a, b = struct.unpack_from(">II", frame, at + 12)
-        out |= {"src_ip4": a, "dst_ip4": b, "src_ip": str(ipaddress.IPv4Address(a)), "dst_ip": str(ipaddress.IPv4Address(b))}
-        frame, at = frame[: at + total] if total else frame, at + (head & 15) * 4
-    elif kind == 0x86DD and len(frame) >= at + 40:
-        out["proto"], ends = frame[at + 6], (frame[at + 8 : at + 24], frame[at + 24 : at + 40])
-        out |= {f"{x}_{c}": v for x, e in zip(("src", "dst"), ends, strict=True) for c, v in (("ip", str(ipaddress.IPv6Address(e))), ("ip6", e))}
-        frame, at = frame[: at + 40 + size] if (size := struct.unpack_from(">H", frame, at + 4)[0]) else frame, at + 40
-        while out["proto"] in OPTIONS and len(frame) >= at + 8:
-            out["proto"], at = frame[at], at + 8 + 8 * frame[at + 1]
-    else:
-        return out | {"payload": frame[at:]}
-    if first and out["proto"] in (6, 17) and len(frame) >= at + 8:
-        out["src_port"], out["dst_port"] = struct.unpack_from(">HH", frame, at)
-        if out["proto"] == 17:
-            at += 8
-        elif len(frame) >= at + 20:
-            out["tcp_seq"], out["tcp_flags"] = struct.unpack_from(">I", frame, at + 4)[0], frame[at + 13]
-            at += (frame[at + 12] >> 4) * 4
-    return out | {"payload": frame[at:]}
+    """The fields of one frame by their names in ``RAW``; what is not there is left out."""
+    row = _batch([("", 0, 0, len(frame), frame)]).to_pylist()[0]
+    return {k: v for k, v in row.items() if v is not None and k not in ("source", "seq", "ts_ns", "cap_len", "len")}
 
 
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _TYPES[t]) for n, t in _FIELDS], [n for n, _ in _FIELDS])
+def named(rows: DataFrame) -> DataFrame:
+    """Rows of ``RAW`` as ``COLUMNS``. Addresses become text as columns, so that nothing is spent on text that is not asked for."""
+    mac = lambda c: F.lower(F.regexp_replace(F.hex(c), "(..)(?=.)", "$1:"))
+    text = {f"{x}_ip": net.ip_text(F.col(f"{x}_ip4"), F.col(f"{x}_ip6")) for x in ("src", "dst")} | {f"{x}_mac": mac(f"{x}_mac6") for x in ("src", "dst")}
+    return rows.withColumns(text | {"ts_us": F.expr("(ts_ns - pmod(ts_ns, 1000)) DIV 1000")}).select(*COLUMNS)
 
 
 def decoded(rows: DataFrame) -> DataFrame:
@@ -124,21 +187,22 @@ def decoded(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield _batch([{"source": s, "seq": n, "ts_ns": t, "cap_len": len(data or b""), "len": len(data or b"")} | decode(data or b"") for s, n, t, data in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
+            for k in range(0, batch.num_rows, ROWS):
+                source, seq, ts, data = batch.slice(k, ROWS).columns
+                yield table(source, seq.cast(pa.int64()), ts.cast(pa.int64()), None, data)
 
-    return rows.select("source", "seq", "ts_ns", "data").mapInArrow(run, SCHEMA).withColumn("ts_us", F.expr("(ts_ns - pmod(ts_ns, 1000)) DIV 1000"))
+    return named(rows.select(F.col("source").cast("string"), F.col("seq").cast("long"), F.col("ts_ns").cast("long"), "data").mapInArrow(run, RAW))
 
 
 def read(spark: SparkSession, *paths: str) -> DataFrame:
-    """Packets of all capture files under the paths; ts_us is ts_ns in whole microseconds."""
+    """Packets of all capture files under the paths, a file a cell: any store of Spark's, files below 2 GB. Larger ones, and streams: ``pcap_source``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = []
                 for seq, (ts, whole, frame) in enumerate(frames(content.as_py() or b"")):
-                    rows.append({"source": path, "seq": seq, "ts_ns": ts, "cap_len": len(frame), "len": whole} | decode(frame))
+                    rows.append((path, seq, ts, whole, frame))
                     if len(rows) == ROWS:
                         yield _batch(rows)
                         rows = []
@@ -146,7 +210,7 @@ def read(spark: SparkSession, *paths: str) -> DataFrame:
                     yield _batch(rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "content")
-    return files.mapInArrow(run, SCHEMA).withColumn("ts_us", F.expr("(ts_ns - pmod(ts_ns, 1000)) DIV 1000"))
+    return named(files.mapInArrow(run, RAW))
 
 
 def file_bytes(packets: DataFrame, per_file: int = 100_000, snap: int = 262_144) -> DataFrame:

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from . import capture
@@ -162,7 +161,7 @@ def _rows(part: Range) -> Iterator[pa.RecordBatch]:
             return
         rows = []
         for place, ts, whole, frame in packets:
-            rows.append({"source": part.path, "seq": place, "ts_ns": ts, "cap_len": len(frame), "len": whole} | capture.decode(frame))
+            rows.append((part.path, place, ts, whole, frame))
             if len(rows) == capture.ROWS:
                 yield capture._batch(rows)
                 rows = []
@@ -255,14 +254,14 @@ class CaptureStream(DataSourceStreamReader):
 
 
 class CaptureSource(DataSource):
-    """Options: ``path`` (a file, or a folder of them), ``splitBytes`` (0: a file a task)."""
+    """Options: ``path`` (a file, or a folder of them), ``splitBytes`` (0: a file a task). Its columns are those of ``capture.RAW``; ``capture.named`` makes packets of them."""
 
     @classmethod
     def name(cls) -> str:
         return "capture"
 
     def schema(self) -> str:
-        return capture.SCHEMA
+        return capture.RAW
 
     def reader(self, schema) -> CaptureReader:  # noqa: ANN001
         return CaptureReader(self.options)
@@ -271,17 +270,13 @@ class CaptureSource(DataSource):
         return CaptureStream(self.options)
 
 
-def _clocked(df: DataFrame) -> DataFrame:
-    return df.withColumn("ts_us", F.expr("(ts_ns - pmod(ts_ns, 1000)) DIV 1000"))
-
-
 def scan(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> DataFrame:
     """Packets of the capture files under a path, with ts_us. ``seq`` is the packet's place in its file (pcapng: its number)."""
     spark.dataSource.register(CaptureSource)
-    return _clocked(spark.read.format("capture").option("splitBytes", split_bytes).load(path))
+    return capture.named(spark.read.format("capture").option("splitBytes", split_bytes).load(path))
 
 
 def follow(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> DataFrame:
     """The same as a stream over files that are added and grow."""
     spark.dataSource.register(CaptureSource)
-    return _clocked(spark.readStream.format("capture").option("splitBytes", split_bytes).load(path))
+    return capture.named(spark.readStream.format("capture").option("splitBytes", split_bytes).load(path))
