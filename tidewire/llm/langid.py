@@ -196,7 +196,7 @@ def predict(docs: DataFrame, modulus: int = 4, held: int = 2, key: str = "doc_id
 
     The network learns from documents that are not held out and have a text and a language.
     A null text, one without letters, or any text where there was nothing to learn from, is
-    UNKNOWN with score 0. A null id counts as an empty text.
+    UNKNOWN with score 0. A null id counts as an empty text. Every byte of a text is read, however long it is; repeated rows are told alike.
     """
     d = docs.select(F.col(key).cast("long").alias("doc_id"), (fold(F.col(key), modulus) == held).alias("held_out"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     net = train(d.filter("NOT held_out"))

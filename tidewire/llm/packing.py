@@ -80,7 +80,8 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     """One row a piece: where it lies in its document, and in which sequence at which offset.
 
     A null text is an empty one and still yields its end id; a null key stays null; repeated
-    rows are packed as often as they occur; no row gives no sequence. with_ids adds
+    rows are packed as often as they occur; no row gives no sequence. A very long text is cut over as many
+    sequences as it needs. with_ids adds
     ``ids``, the piece's ids as little-endian unsigned 32-bit integers.
     """
     schema = SCHEMA + (", ids binary" if with_ids else "")

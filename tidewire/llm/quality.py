@@ -145,7 +145,7 @@ def ablation(rows: DataFrame, policy: str, failed: str = "failed") -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, policy: str = "v2") -> DataFrame:
-    """The rows of docs that the policy keeps, with their own columns only.
+    """The rows of docs that the policy keeps, with their own columns only. A null text has no words, so it fails as an empty one does; repeated rows are judged alike.
 
     The row number keeps the filter above the measurements: pushed below them, it would be
     rewritten in terms of the text, with every measurement spelled out each time it is named.

@@ -227,7 +227,10 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret in ``text`` replaced by a mark, overlapping ones by one; ``n_chars``, where there is one, follows."""
+    """docs with every secret in ``text`` replaced by a mark, overlapping ones by one; ``n_chars``, where there is one, follows.
+
+    A null text stays null; texts are scanned whole, however long; repeated rows are treated alike and other columns are left alone.
+    """
     at = docs.columns.index("text")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
