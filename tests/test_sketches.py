@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.operators import sketches
+from tidewire.plans import live
 from tidewire.sources import services
 from tidewire.streaming import policy
 
@@ -89,3 +90,25 @@ def test_broken_rows_and_health(spark, tmp_path):
         assert "poison" in health.told()["failing"]["error"] and not health.healthy() and not health.told(stale_s=-1)["failing"]["live"]
     finally:
         spark.streams.removeListener(health)
+
+
+def test_heaviest_is_exact_with_many_items(spark):
+    rows = [(t, f"x{i}") for t in (1, 101, 202) for i in range(5000) if i % (t % 3 + 1) == 0] + [(5, "x0"), (205, None)]
+    counts = sketches.item_counts(spark.createDataFrame(rows, "ts_us long, item string").repartition(3), [], "item", 100)
+    all_ = {}
+    for t, x in rows:
+        for d in range(2):
+            all_[t // 100 + d, x] = all_.get((t // 100 + d, x), 0) + 1
+    assert {(r.bucket, r["item"]): r.n for r in sketches.heaviest(counts, [], None, 2).collect()} == all_
+    top = sketches.heaviest(counts, [], 2, 2).collect()
+    for b in range(4):
+        own = sorted((-n, x or "") for (at, x), n in all_.items() if at == b)[:2]
+        assert sorted((-r.n, r["item"] or "") for r in top if r.bucket == b) == own
+
+
+def test_heavy_hitters_of_many_senders(spark, tmp_path):
+    """More senders than the sketch's capacity held: each counts once."""
+    e = spark.range(9000).selectExpr("id AS event_id", "timestamp_micros(1704067200000000 + id) AS ts", "id AS user_id", "'click' AS event_type", "1.0D AS value")
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    got = live.heavy_hitters(spark, str(tmp_path)).collect()
+    assert sorted((r.bucket, r.n_items, r.total, r.most) for r in got) == [(19723 + d, 9000, 9000, 1) for d in range(3)]
