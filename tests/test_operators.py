@@ -185,3 +185,13 @@ def test_reports_of_an_empty_table(spark):
 
 def test_every_query_has_its_twin():
     assert set(queries.queries()) == set(queries.oracle_sql())
+
+
+@pytest.mark.parametrize("window", [1, 3, 10, 10**12])
+def test_rolling_distinct_over_any_window(spark, window):
+    """Long windows copy nothing: no row goes to each bucket of its window. Null is no value."""
+    rng = random.Random(window)
+    rows = [(rng.randrange(3), rng.choice([None, 1, 2, 3, 4]), rng.randrange(60)) for _ in range(150)] + [(7, None, 5), (None, 1, 5)]
+    got = reports.rolling_distinct(spark.createDataFrame(rows, "k int, v int, ts_us long").repartition(3), ["k"], "v", 2 * window, 2)
+    want = {(k, t // 2): len({v for k2, v, t2 in rows if k2 == k and t // 2 - window < t2 // 2 <= t // 2 and v is not None}) for k, _, t in rows if k is not None}
+    assert {(r.k, r.bucket): r.n_distinct for r in got.collect()} == want
