@@ -1,5 +1,7 @@
 """States of TCP connections: one flow for an ordinary close, and what begins a new one."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +79,9 @@ def test_history_of_ip6(spark):
     p = spark.createDataFrame([(n, t, f, None, a, port, 5, "k") for n, t, f, a, port in rows], "seq long, ts_us long, tcp_flags int, src_ip4 long, src_ip6 binary, src_port int, len long, k string")
     assert flows.history(p, ["k"]).first().history == "ShDD"
     assert flows.history(p.withColumn("a_port", F.lit(1)), ["k", "a_port"]).first().history == "ShDd"
+
+
+def test_states_take_one_order_of_a_key(spark):
+    """What a task sorts at once bounds its memory: packets and runs in order of time, and both for their sums; nothing is sorted once more for each state."""
+    plan = flows.flows(build(spark, ORDINARY))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bSort \[", plan)) <= 5

@@ -62,13 +62,13 @@ _SUMS = {
 def _partial(packets: DataFrame, by: list[str], more: dict[str, Column] | None = None) -> DataFrame:
     one = F.lit(1).cast("long")
     flags = F.col("tcp_flags") if "tcp_flags" in packets.columns else F.lit(0)
-    rows = packets.withColumns({
-        "start_us": F.col("ts_us"), "end_us": F.col("ts_us"),
-        "packets_a": F.when(F.col("forward"), one).otherwise(0), "packets_b": F.when(F.col("forward"), 0).otherwise(one),
-        "bytes_a": F.when(F.col("forward"), F.col("len")).otherwise(0), "bytes_b": F.when(F.col("forward"), 0).otherwise(F.col("len")),
-        "first": F.struct("ts_us", "seq", "forward"), "flags": flags.cast("int"),
-    })
-    return rows.groupBy(*by).agg(*(make().alias(n) for n, make in _SUMS.items()), *(c.alias(n) for n, c in (more or {}).items()))
+    sums = {  # of the packets' own columns, so that what is sorted for the sums has no others
+        "start_us": F.min("ts_us"), "end_us": F.max("ts_us"),
+        "packets_a": F.sum(F.when(F.col("forward"), one).otherwise(0)), "packets_b": F.sum(F.when(F.col("forward"), 0).otherwise(one)),
+        "bytes_a": F.sum(F.when(F.col("forward"), F.col("len")).otherwise(0)), "bytes_b": F.sum(F.when(F.col("forward"), 0).otherwise(F.col("len"))),
+        "first": F.min(F.struct("ts_us", "seq", "forward")), "flags": F.bit_or(flags.cast("int")),
+    }
+    return packets.groupBy(*by).agg(*(c.alias(n) for n, c in (sums | (more or {})).items()))
 
 
 def _numbered(p: DataFrame) -> DataFrame:
@@ -125,20 +125,21 @@ def _stated(p: DataFrame, linger_us: int) -> DataFrame:
     w = Window.partitionBy(*key).orderBy("first")
     former = w.rowsBetween(Window.unboundedPreceding, -1)
     r = r.withColumns({"at_": F.row_number().over(w), "gap_": F.col("start_us") - F.lag("end_us").over(w)})
-    last = lambda c: F.max(F.when(F.col(c), F.col("at_"))).over(former)
+    last = lambda c, rows=former: F.max(F.when(F.col(c) if isinstance(c, str) else c, F.col("at_"))).over(rows)
     number = lambda side: F.last(F.when(F.col("opens_") & (F.col("first.forward") == side), F.col("isn_")), ignorenulls=True).over(former)
     other = F.col("isn_") != F.when(F.col("first.forward"), number(True)).otherwise(number(False))
     anew = last("opens_").isNull() | F.coalesce(last("past_") >= last("opens_"), F.lit(False)) | F.coalesce(other, F.lit(False))
     r = r.withColumn("cut_", F.coalesce(F.col("gap_") > F.col("idle_us"), F.lit(True)) | (F.col("opens_") & anew))
-    r = r.withColumn("opening_", F.sum(F.col("cut_").cast("int")).over(w))
-    since = Window.partitionBy(*key, "opening_").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    done = lambda side: F.coalesce(F.max(f"fin_{side}").over(since), F.lit(False)) | F.coalesce(F.sum(f"packets_{side}").over(since) == 0, F.lit(True))
-    finished = F.coalesce(F.max(F.col("fin_a") | F.col("fin_b")).over(since), F.lit(False)) & done("a") & done("b")
-    closed = finished | F.coalesce(F.max(_bits(F.col("flags"), RST)).over(since), F.lit(False))
-    r = r.withColumn("late_", closed & (F.col("gap_") > linger_us) & (F.col("proto") == 6))
-    r = r.withColumn("nth", F.sum((F.col("cut_") | F.coalesce("late_", F.lit(False))).cast("int")).over(w))
-    own = Window.partitionBy(*key, "nth").orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
-    return r.withColumn("both_", F.max("syn_a").over(own) & F.max("syn_b").over(own))
+    # All places are told in the one order of a key: what was last seen at or behind the place where the opening began was seen since.
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumn("begin_", last("cut_", upto))
+    since = lambda c, rows=former: F.coalesce(last(c, rows) >= F.col("begin_"), F.lit(False))
+    done = lambda side: since(f"fin_{side}") | ~since(F.col(f"packets_{side}") > 0)
+    closed = (since(F.col("fin_a") | F.col("fin_b")) & done("a") & done("b")) | since(_bits(F.col("flags"), RST))
+    late = closed & (F.col("gap_") > linger_us) & (F.col("proto") == 6)
+    r = r.withColumn("cut_", F.col("cut_") | F.coalesce(late, F.lit(False)))
+    r = r.withColumns({"nth": F.sum(F.col("cut_").cast("int")).over(w), "begin_": last("cut_", upto)})
+    return r.withColumn("both_", since("syn_a", upto) & since("syn_b", upto))
 
 
 def _connections(p: DataFrame, linger_us: int) -> DataFrame:
